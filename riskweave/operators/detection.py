@@ -36,7 +36,7 @@ _FUNCTION_PATTERNS = [
 def split_lines(content: Column) -> Column:
     """Lines without their ends; a closing line end opens no further line."""
     parts = F.split(content, _LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def marked_lines(content: Column, pattern: str) -> Column:

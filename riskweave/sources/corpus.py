@@ -148,7 +148,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("body"))
+    return raw.select(F.try_element_at(F.split("path", "/"), F.lit(-1)).alias("archive"), F.col("content").alias("body"))
 
 
 # W4 -----------------------------------------------------------------------
