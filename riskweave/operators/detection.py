@@ -96,8 +96,46 @@ def _tagger(family: int, rule: int, kind: int = 0):
     return tag
 
 
-def _any_of(content: Column, patterns: list[str]) -> Column:
-    return content.rlike(_FLAGS + "|".join(f"(?:{p})" for p in patterns))
+# Literals of which a match must contain at least one (all of a tuple), in lower case.
+# They only rule files out; what passes is still decided by the rule's own pattern.
+_NEEDLES = {
+    "config.auth-bypass-flag": ["allowanonymous", "permitall", "skipauth", "skip_auth", "skip-auth",
+                                "authdisabled", "auth_disabled", "auth-disabled"],
+    "sast.weak-crypto-primitive": ["md5(", "sha1(", "des.", "rc4", "sslv3", "tlsv1"],
+    "sast.injection-sink": [("select", "+"), "execute(f", ("subprocess.", "shell"), "os.system(",
+                            "runtime.getruntime().exec"],
+    "sast.insecure-design-marker": [("todo", "security"), ("fixme", "auth"), "trust client side"],
+    "config.security-misconfiguration": [("debug", "true"), ("cors", "*"), ("origin", "*"), "defaultpassword",
+                                         "default_password", "default-password"],
+    "sast.weak-auth-session": ["jwtsecret", "jwt_secret", "jwt-secret", ("session", "request.args"), ("mfa", "false")],
+    "config.supply-chain-unsafe-install": [("curl", "|"), ("pip", "--trusted-host"), ("npm", "--force")],
+    "sast.logging-suppression": [("except", "exception"), "catch", "logger.disabled"],
+    "sast.ssrf-url-sink": ["requests.", "axios.", "fetch("],
+    "secret.aws-access-key": ["akia"],
+    "secret.github-token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "secret.gsk-key": ["gsk_"],
+    "secret.sk-key": ["sk-"],
+    "secret.private-key": ["private key-----"],
+    "secret.assignment": ["key", "token", "secret", "password"],
+}
+# Letters that equal i, k or s when case is ignored but do not lower to them: texts
+# with one of these skip the literal test.
+_ODD_LETTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
+
+
+def _table_gate(content: Column, low: Column, rules: list[dict]) -> Column:
+    odd = _either([content.contains(x) for x in _ODD_LETTERS])
+    parts = []
+    for rule in rules:
+        options = []
+        for needle in _NEEDLES[rule["rule_id"]]:
+            words = (needle,) if isinstance(needle, str) else needle
+            together = low.contains(words[0])
+            for word in words[1:]:
+                together = together & low.contains(word)
+            options.append(together)
+        parts.append((_either(options) | odd) & content.rlike(_FLAGS + rule["regex"]))
+    return _either(parts)
 
 
 def _table_hits(content: Column, family: int, rules: list[dict]) -> Column:
@@ -120,8 +158,9 @@ def _script_hits(content: Column) -> Column:
 
 def _taint_gate(rule: dict) -> Column:
     content = F.col("content")
-    return (suffix(F.col("file_path")) == rule["suffix"]) & content.rlike("(?d)" + rule["sources"]) \
-        & content.rlike("(?d)" + rule["sinks"])
+    literals = ["request."] if rule["suffix"] == ".py" else [".get", "@Request", "@PathVariable"]
+    return (suffix(F.col("file_path")) == rule["suffix"]) & _either([content.contains(x) for x in literals]) \
+        & content.rlike("(?d)" + rule["sources"]) & content.rlike("(?d)" + rule["sinks"])
 
 
 def _taint_hits(content: Column) -> Column:
@@ -149,19 +188,23 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
     array is built.  Taint marks carry their whole line as snippet.
     """
     path, content = F.col("file_path"), F.col("content")
-    table = {
-        TAINT: (_either([_taint_gate(r) for r in fv.TAINT_RULES]), _taint_hits(content)),
-        SCRIPT: (suffix(path).isin(*fv.JS_SUFFIXES) & _either([content.contains(r["needle"]) for r in fv.JS_SINKS]),
-                 _script_hits(content)),
-        PATTERN: (is_scannable(path) & _any_of(content, [r["regex"] for r in fv.PATTERN_RULES]),
-                  _table_hits(content, PATTERN, fv.PATTERN_RULES)),
-        SECRET: (_any_of(content, [r["regex"] for r in fv.SECRET_RULES]),
-                 _table_hits(content, SECRET, fv.SECRET_RULES)),
+    gates = {
+        TAINT: lambda low: _either([_taint_gate(r) for r in fv.TAINT_RULES]),
+        SCRIPT: lambda low: suffix(path).isin(*fv.JS_SUFFIXES) & _either([content.contains(r["needle"]) for r in fv.JS_SINKS]),
+        PATTERN: lambda low: is_scannable(path) & _table_gate(content, low, fv.PATTERN_RULES),
+        SECRET: lambda low: _table_gate(content, low, fv.SECRET_RULES),
+    }
+    none = F.array().cast(_HIT)
+    made = {
+        TAINT: lambda: _taint_hits(content),
+        SCRIPT: lambda: F.when(suffix(path).isin(*fv.JS_SUFFIXES), _script_hits(content)).otherwise(none),
+        PATTERN: lambda: F.when(is_scannable(path), _table_hits(content, PATTERN, fv.PATTERN_RULES)).otherwise(none),
+        SECRET: lambda: _table_hits(content, SECRET, fv.SECRET_RULES),
     }
-    gated = [(f"_g{f}", *table[f]) for f in families]
-    marked = files.select("scan_id", "file_path", "content", *[gate.alias(name) for name, gate, _ in gated]) \
-        .filter(_either([F.col(name) for name, _, _ in gated]))
-    parts = [F.when(F.col(name), made).otherwise(F.array().cast(_HIT)) for name, _, made in gated]
+    # one lower-cased copy per file serves every literal test: the lambda binds it once
+    passes = F.exists(F.array(F.lower(content)), lambda low: _either([gates[f](low) for f in families]))
+    marked = files.select("scan_id", "file_path", "content").filter(passes)
+    parts = [made[f]() for f in families]
     found = (
         marked.select("scan_id", "file_path", F.concat(*parts).alias("hits"), split_lines(content).alias("lines"))
         .withColumn("names", function_names(F.col("lines"), strict))

@@ -1 +1,357 @@
-"""Registered queries."""
+"""Queries over source texts: detection, context, masking, evaluation, report readers."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from riskweave.functions import text as tx
+from riskweave.operators import detection as d, enrichment as en, evaluation as ev
+from riskweave.plans.registry import query
+from riskweave.plans.scan_plan import scan
+from riskweave.sources import corpus as co, external_reports as xr
+from riskweave.views import Views
+
+# base name without folders, and its suffix ('' when the name starts or ends with its only dot)
+_NAME = "lower(regexp_extract(file_path, '([^/]*)$', 1))"
+_SUFFIX = f"regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1)"
+_SCANNABLE = (f"({_NAME} IN ('dockerfile', 'jenkinsfile', '.gitlab-ci.yml') OR {_SUFFIX} IN ('.py', '.js', '.jsx', '.ts', '.tsx', '.java', '.cs', '.go', '.rb', "
+              "'.php', '.yml', '.yaml', '.json', '.env', '.ini', '.conf', '.properties', '.xml'))")
+
+
+def _hits_sql(rules: list[tuple[str, str]], where: str) -> str:
+    """Every match of every rule with its line, from match and gap texts in order."""
+    union = " UNION ALL ".join(
+        f"SELECT scan_id, file_path, content, '{rule}' AS rule_id, regexp_extract_all(content, '{rx}') AS ms, regexp_split_to_array(content, '{rx}') AS gs "
+        f"FROM source_files WHERE {where} AND regexp_matches(content, '{rx}')" for rule, rx in rules)
+    return f"""WITH m AS ({union}),
+u AS (SELECT scan_id, file_path, rule_id, unnest(ms) AS snippet, unnest(gs[:len(ms)]) AS gap, unnest(range(len(ms))) AS pos FROM m),
+n AS (SELECT *, len(gap) - len(replace(gap, chr(10), '')) AS g, len(snippet) - len(replace(snippet, chr(10), '')) AS s FROM u)
+SELECT scan_id, file_path, rule_id, CAST(1 + sum(g) OVER w + sum(s) OVER w - s AS INT) AS line, snippet FROM n
+WINDOW w AS (PARTITION BY scan_id, file_path, rule_id ORDER BY pos)"""
+
+
+@query("p1_scannable_files", f"SELECT scan_id, file_path, {_SCANNABLE} AS scannable FROM source_files")
+def p1(v: Views) -> DataFrame:
+    return v.source_files.select("scan_id", "file_path", co.is_scannable(F.col("file_path")).alias("scannable"))
+
+
+_D1 = [
+    ("config.auth-bypass-flag", r"(?i)(allowanonymous|permitall|skip[_-]?auth|auth[_-]?disabled\s*=\s*true)"),
+    ("sast.weak-crypto-primitive", r"(?i)(md5\(|sha1\(|des\.|rc4|sslv3|tlsv1)"),
+    ("sast.injection-sink", r"(?i)(select\s+.+\+|execute\(f[\"'']|subprocess\..*shell\s*=\s*true|os\.system\(|Runtime\.getRuntime\(\)\.exec)"),
+    ("sast.insecure-design-marker", r"(?i)(TODO\s*:\s*security|FIXME\s*:\s*auth|trust client side)"),
+    ("config.security-misconfiguration", r"(?i)(debug\s*=\s*true|cors\s*[:=].*\*|origins?\s*=\s*\[?[''\"]\*[''\"]|default[_-]?password)"),
+    ("sast.weak-auth-session", r"(?i)(jwt[_-]?secret\s*[:=]\s*[''\"].+[''\"]|session[_-]?id\s*=\s*request\.args|mfa[_-]?enabled\s*=\s*false)"),
+    ("config.supply-chain-unsafe-install", r"(?i)(curl\s+.+\|\s*(bash|sh)|pip\s+install\s+--trusted-host|npm\s+install\s+--force)"),
+    ("sast.logging-suppression", r"(?i)(except\s+Exception\s*:\s*pass|catch\s*\(.*\)\s*\{\s*\}|logger\.disabled\s*=\s*true)"),
+    ("sast.ssrf-url-sink", r"(?i)(requests\.(get|post|put|patch)\(\s*(url|target_url|user_url|request\.|input)|axios\.(get|post)\(\s*(url|target_url|user_url)|fetch\(\s*(url|target_url|user_url))"),
+]
+
+
+@query("d1_pattern_rules", _hits_sql(_D1, _SCANNABLE))
+def d1(v: Views) -> DataFrame:
+    return d.pattern_findings(v.source_files).select(
+        "scan_id", "file_path", "rule_id", F.col("line_start").alias("line"), F.col("code_snippet").alias("snippet"))
+
+
+@query("d2_script_sinks", f"""WITH n AS (SELECT 'dangerouslySetInnerHTML' AS needle, 'regex-js.dangerouslysetinnerhtml' AS rule_id UNION ALL SELECT 'eval(', 'regex-js.eval' UNION ALL SELECT 'new Function(', 'regex-js.new function')
+SELECT scan_id, file_path, rule_id, CAST(1 + len(p) - len(replace(p, chr(10), '')) AS INT) AS line FROM (SELECT scan_id, file_path, rule_id, substr(content, 1, strpos(content, needle) - 1) AS p
+  FROM source_files, n WHERE {_SUFFIX} IN ('.js', '.jsx', '.ts', '.tsx') AND contains(content, needle))""")
+def d2(v: Views) -> DataFrame:
+    return d.js_sink_findings(v.source_files).select("scan_id", "file_path", "rule_id", F.col("line_start").alias("line"))
+
+
+def _components(v: Views) -> DataFrame:
+    """One small script component per part, written from its columns."""
+    return v.sql("""SELECT p_brand AS scan_id, 'ui/c' || CAST(p_partkey AS STRING) || CASE WHEN p_size % 2 = 0 THEN '.tsx' ELSE '.JS' END AS file_path,
+      'const name = "' || p_name || '";' || chr(10) || CASE p_type WHEN 'ECONOMY' THEN 'eval(name);' || chr(10) || 'eval(name)' WHEN 'PROMO' THEN chr(10) || '<b dangerouslySetInnerHTML=x/>'
+      ELSE chr(10) || 'new Function(name); eval(x)' END AS content FROM {part}""")
+
+
+@query("d2_script_components", """SELECT p_brand AS scan_id, 'ui/c' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.tsx' ELSE '.JS' END AS file_path,
+  unnest(CASE p_type WHEN 'ECONOMY' THEN ['regex-js.eval'] WHEN 'PROMO' THEN ['regex-js.dangerouslysetinnerhtml'] ELSE ['regex-js.eval', 'regex-js.new function'] END) AS rule_id,
+  CASE p_type WHEN 'ECONOMY' THEN 2 ELSE 3 END AS line FROM part""")
+def d2_components(v: Views) -> DataFrame:
+    return d.js_sink_findings(_components(v)).select("scan_id", "file_path", "rule_id", F.col("line_start").alias("line"))
+
+
+_LANG = f"""CASE {_SUFFIX} WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript'
+  WHEN '.java' THEN 'java' WHEN '.cs' THEN 'dotnet' WHEN '.go' THEN 'go' WHEN '.rb' THEN 'ruby' WHEN '.php' THEN 'php' END"""
+
+
+@query("d3_language_summary", f"""WITH g AS (SELECT scan_id, {_LANG} AS language, count(*) AS n FROM source_files WHERE {_LANG} IS NOT NULL GROUP BY ALL)
+SELECT * FROM g UNION ALL SELECT DISTINCT scan_id, 'unknown', CAST(1 AS BIGINT) FROM source_files WHERE scan_id NOT IN (SELECT scan_id FROM g)""")
+def d3(v: Views) -> DataFrame:
+    scans = v.source_files.select("scan_id").distinct()
+    maps = d.language_summary(v.source_files, scans)
+    return maps.select("scan_id", F.explode("language_summary").alias("language", "n"))
+
+
+def _manifests(v: Views) -> DataFrame:
+    """Root manifests written from parts and customers: one project each."""
+    return v.sql("""SELECT 'npm-' || CAST(p_partkey AS STRING) AS scan_id, 'package.json' AS file_path,
+        to_json(named_struct('name', p_name, 'dependencies', map('express', '^' || CAST(p_size AS STRING) || '.0.1', replace(p_name, ' ', '-'), '~1.' || CAST(p_size AS STRING)))) AS content FROM {part}
+      UNION ALL SELECT 'pip-' || CAST(c_custkey AS STRING), 'requirements.txt',
+        '# pins' || chr(10) || 'Flask==' || CAST(c_nationkey AS STRING) || '.1 ' || chr(10) || ' # old==1' || chr(10) || lower(c_mktsegment) || ' == 2.' || CAST(c_nationkey AS STRING) || chr(10) || 'loose>=1' FROM {customer}""")
+
+
+_DEPS = """deps AS (SELECT 'npm-' || p_partkey AS scan_id, 'npm' AS ecosystem, 'express' AS package, p_size || '.0.1' AS version FROM part
+UNION ALL SELECT 'npm-' || p_partkey, 'npm', replace(p_name, ' ', '-'), '1.' || p_size FROM part
+UNION ALL SELECT 'pip-' || c_custkey, 'PyPI', 'Flask', c_nationkey || '.1' FROM customer UNION ALL SELECT 'pip-' || c_custkey, 'PyPI', lower(c_mktsegment), '2.' || c_nationkey FROM customer)"""
+
+
+@query("d4_frameworks", """SELECT 'npm-' || p_partkey AS scan_id, 'express' AS framework, CAST(1 AS BIGINT) AS n FROM part UNION ALL SELECT 'pip-' || c_custkey, 'flask', 1 FROM customer""")
+def d4(v: Views) -> DataFrame:
+    return d.framework_counts(_manifests(v))
+
+
+@query("d5_dependencies", f"WITH {_DEPS} SELECT * FROM deps")
+def d5(v: Views) -> DataFrame:
+    return d.dependencies(_manifests(v)).select("scan_id", "ecosystem", "package", "version")
+
+
+def _advisories(v: Views) -> DataFrame:
+    """Advisories written from suppliers, several for some versions."""
+    return v.sql("""SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, CASE WHEN s_suppkey % 2 = 0 THEN 'express' ELSE 'Flask' END AS package,
+      CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS STRING) || '.0.1' ELSE CAST(s_nationkey AS STRING) || '.1' END AS version,
+      s_acctbal AS rank, 'OSV-' || CAST(s_suppkey AS STRING) AS vuln_id, s_name AS summary FROM {supplier}""")
+
+
+@query("d6_advisory_match", f"""WITH {_DEPS}, adv AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, CASE WHEN s_suppkey % 2 = 0 THEN 'express' ELSE 'Flask' END AS package,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey || '.0.1' ELSE s_nationkey || '.1' END AS version, s_acctbal AS rank, 'OSV-' || s_suppkey AS vuln_id, s_name AS summary FROM supplier),
+top AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package, version ORDER BY rank, vuln_id) AS nth FROM adv)
+SELECT d.scan_id, t.vuln_id AS rule_id, t.summary AS title, CASE WHEN d.ecosystem = 'npm' THEN 'package.json' ELSE 'requirements.txt' END AS file_path,
+  CASE WHEN d.ecosystem = 'npm' THEN 'express@^' || d.version ELSE 'Flask==' || d.version END AS source
+FROM deps d JOIN top t ON d.ecosystem = t.ecosystem AND d.package = t.package AND d.version = t.version WHERE nth <= 3""")
+def d6(v: Views) -> DataFrame:
+    """J12 and W5 inside: short advisory lists meet the dependencies."""
+    return d.advisory_findings(d.dependencies(_manifests(v)), _advisories(v)).select("scan_id", "rule_id", "title", "file_path", "source")
+
+
+_D7 = [
+    ("secret.aws-access-key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("secret.github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("secret.gsk-key", r"\bgsk_[A-Za-z0-9]{20,}\b"),
+    ("secret.sk-key", r"\bsk-[A-Za-z0-9_-]{20,}"),
+    ("secret.private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("secret.assignment", r"(?i)\b[a-z0-9_]*(key|token|secret|password)[a-z0-9_]*\s*[:=]\s*[\"''][a-z0-9_./+-]{16,}[\"'']"),
+]
+
+
+@query("d7_secret_rules", f"""SELECT scan_id, file_path, rule_id, line, regexp_replace(snippet, '([a-zA-Z0-9_-]{{4}})[a-zA-Z0-9_-]{{8,}}([a-zA-Z0-9_-]{{4}})', '\\1...\\2', 'g') AS evidence
+FROM ({_hits_sql(_D7, 'true')})""")
+def d7(v: Views) -> DataFrame:
+    return d.secret_findings(v.source_files).select(
+        "scan_id", "file_path", "rule_id", F.col("line_start").alias("line"), "evidence")
+
+
+@query("d8_taint_flows")
+def d8(v: Views) -> DataFrame:
+    """J13: source and sink lines come from the texts of lineitem-sized handlers."""
+    return d.taint_findings(_handlers(v)).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace", "severity")
+
+
+def _handlers(v: Views) -> DataFrame:
+    """One small Python handler per order, written from its columns."""
+    return v.sql("""SELECT o_custkey AS scan_id, 'app/h' || CAST(o_orderkey AS STRING) || '.py' AS file_path,
+      'def handler_' || CAST(o_orderkey AS STRING) || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) ||
+      CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END ||
+      CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END || chr(10) AS content FROM {orders}""")
+
+
+@query("d8_handler_flows", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, CASE WHEN o_orderpriority < '3' THEN 'python-command-injection-taint' ELSE 'python-ssrf-taint' END AS rule_id,
+  CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS line_start, CASE WHEN o_orderpriority < '3' THEN 'os.system("run " + v)' ELSE 'requests.get(v)' END AS snippet
+FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority < '3')""")
+def d8_handlers(v: Views) -> DataFrame:
+    return d.taint_findings(_handlers(v)).select("scan_id", "file_path", "rule_id", "line_start", F.col("code_snippet").alias("snippet"))
+
+
+@query("f4_f5_context_function", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, 'handler_' || o_orderkey AS function_name,
+  'def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END || '    os.system("run " + v)' AS context
+FROM orders WHERE o_orderpriority < '3'""")
+def f4_f5(v: Views) -> DataFrame:
+    hits = d.rule_hits(_handlers(v), (d.PATTERN,)).filter(F.col("snippet") == "os.system(")
+    return hits.select("scan_id", "file_path", F.col("context_function").alias("function_name"), "context")
+
+
+@query("j15_attach_context", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, 'handler_' || o_orderkey AS function_name,
+  len('def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END ||
+  CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END) AS context_length FROM orders""")
+def j15(v: Views) -> DataFrame:
+    external = v.sql("""SELECT o_custkey AS scan_id, 'app/h' || CAST(o_orderkey AS STRING) || '.py' AS file_path, 2 AS line_start, 2 AS line_end FROM {orders}""")
+    return en.attach_context(external, _handlers(v)).select(
+        "scan_id", "file_path", F.col("context_function").alias("function_name"), F.length("context").cast("bigint").alias("context_length"))
+
+
+@query("full_scan_risk")
+def full_scan(v: Views) -> DataFrame:
+    """Detect, correlate, enrich, fold and score every source as a scan."""
+    files = v.source_files
+    scans = files.select("scan_id").distinct().select(
+        "scan_id", F.lit("repo_url").alias("source_type"), F.concat(F.lit("https://github.com/acme/"), "scan_id").alias("source_value"))
+    return scan(files, scans)[1]
+
+
+# --- F16, S1, S2, S3, P11, W4 ---------------------------------------------------
+@query("f16_mask_tokens", """SELECT scan_id, file_path, sha256(regexp_replace(content, '([a-zA-Z0-9_-]{4})[a-zA-Z0-9_-]{8,}([a-zA-Z0-9_-]{4})', '\\1...\\2', 'g')) AS masked FROM source_files""")
+def f16(v: Views) -> DataFrame:
+    return v.source_files.select("scan_id", "file_path", F.sha2(tx.mask_long_tokens(F.col("content")), 256).alias("masked"))
+
+
+@query("f16_mask_secrets")
+def f16_full(v: Views) -> DataFrame:
+    """Both masking steps; the first needs a lookahead, which the checking engine lacks."""
+    return v.source_files.select("scan_id", "file_path", F.sha2(tx.mask_secrets(F.col("content")), 256).alias("masked"))
+
+
+@query("s1_utf8_decode", "SELECT doc_id, sha256(replace(text, chr(65533), '')) AS decoded FROM documents")
+def s1(v: Views) -> DataFrame:
+    broken = F.concat(F.encode(F.col("text"), "UTF-8"), F.unhex(F.lit("ff80")))
+    return v.documents.select("doc_id", F.sha2(co.decode_utf8(broken), 256).alias("decoded"))
+
+
+@query("s2_pasted_payload", """SELECT conv_id AS scan_id, CASE WHEN role = 'system' THEN '../' ELSE 'src/' END || role || turn || '.py' AS file_path, text AS content, CAST(octet_length(encode(text)) AS BIGINT) AS size, role = 'system' AS rejected FROM conversations
+UNION ALL SELECT conv_id, 'empty.py', '', 0, role = 'system' FROM conversations""")
+def s2(v: Views) -> DataFrame:
+    payloads = v.conversations.select(F.col("conv_id").alias("scan_id"), F.col("role"), F.to_json(F.array(
+        F.struct(F.concat(F.when(F.col("role") == "system", "../").otherwise("src/"), "role", F.col("turn").cast("string"), F.lit(".py")).alias("path"),
+                 F.col("text").alias("content")),
+        F.struct(F.lit("empty.py").alias("path"), F.lit(None).cast("string").alias("content")),
+        F.struct(F.lit("").alias("path"), F.lit("dropped").alias("content")))).alias("files"))
+    wrapped = F.when(F.col("role") == "user", F.concat(F.lit('{"files":'), "files", F.lit("}"))).otherwise(F.col("files"))
+    return co.expand_pasted(payloads.select("scan_id", wrapped.alias("payload")))
+
+
+def _zip_documents(batches):
+    for batch in batches:
+        bodies = []
+        for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+                zf.writestr(f"{source}/main.py", text)
+                zf.writestr("../evil.py" if doc_id % 10 == 0 else "notes.md", "x")
+            bodies.append(out.getvalue())
+        yield pd.DataFrame({"archive": [f"{d}.zip" for d in batch["doc_id"]], "body": bodies})
+
+
+def _archives(v: Views) -> DataFrame:
+    """One zip per document, packed by Spark tasks."""
+    return v.documents.select("doc_id", "source", "text").mapInPandas(_zip_documents, "archive string, body binary")
+
+
+@query("s3_archive_expansion", """SELECT doc_id || '.zip' AS archive, 1 AS ordinal, source || '/main.py' AS member, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS content FROM documents
+UNION ALL SELECT doc_id || '.zip', 2, CASE WHEN doc_id % 10 = 0 THEN '../evil.py' ELSE 'notes.md' END, 1, sha256('x') FROM documents""")
+def s3(v: Views) -> DataFrame:
+    return co.expand_archives(_archives(v)).select(
+        "archive", "ordinal", "member", "size", F.sha2(F.col("content"), 256).alias("content"))
+
+
+@query("w4_archive_limits", """SELECT doc_id || '.zip' AS archive, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS total_size, CAST(2 AS BIGINT) AS member_count, doc_id % 10 = 0 AS unsafe,
+  octet_length(encode(text)) + 1 > 20000 AS too_large, NOT (doc_id % 10 = 0 OR octet_length(encode(text)) + 1 > 20000) AS accepted FROM documents""")
+def w4(v: Views) -> DataFrame:
+    verdicts = co.archive_verdicts(co.expand_archives(_archives(v)).drop("content"), max_bytes=20000, max_files=2)
+    return verdicts.select("archive", "total_size", "member_count", "unsafe", "too_large", "accepted")
+
+
+_PATHS = """p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a/b.py' WHEN 1 THEN '../b.py' WHEN 2 THEN 'a/../b.py' WHEN 3 THEN 'a/../../b.py' WHEN 4 THEN '/etc/passwd' ELSE 'a/%2e%2E/x' END AS path FROM pages)"""
+
+
+@query("p11_unsafe_paths", f"""WITH {_PATHS} SELECT page_id, path, path IN ('../b.py', 'a/../../b.py', '/etc/passwd') AS escapes, path <> 'a/b.py' AS bad_proxy FROM p""")
+def p11(v: Views) -> DataFrame:
+    p = v.sql("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a/b.py' WHEN 1 THEN '../b.py' WHEN 2 THEN 'a/../b.py' WHEN 3 THEN 'a/../../b.py' WHEN 4 THEN '/etc/passwd' ELSE 'a/%2e%2E/x' END AS path FROM {pages}""")
+    return p.select("page_id", "path", co.escapes_root(F.col("path")).alias("escapes"), co.bad_proxy_path(F.col("path")).alias("bad_proxy"))
+
+
+# --- evaluation -----------------------------------------------------------------
+@query("f17_f18_cwe_case", """SELECT file_path, upper(regexp_extract(file_path, '(?i)(BenchmarkTest[0-9]+)', 1)) AS test_case,
+  CASE cwe_id WHEN '89' THEN 'CWE-89' WHEN 'cwe-78' THEN 'CWE-78' WHEN 'cwe 22' THEN 'CWE-22' ELSE '' END AS cwe FROM truth_findings""")
+def f17(v: Views) -> DataFrame:
+    return v.truth_findings.select("file_path", tx.test_case_id(F.col("file_path")).alias("test_case"), tx.normalise_cwe(F.col("cwe_id")).alias("cwe"))
+
+
+_MATCH = """s AS (SELECT DISTINCT upper(regexp_extract(file_path, '(?i)(BenchmarkTest[0-9]+)', 1)) AS tc,
+  CASE cwe_id WHEN '89' THEN 'CWE-89' WHEN 'cwe-78' THEN 'CWE-78' WHEN 'cwe 22' THEN 'CWE-22' ELSE '' END AS cwe FROM truth_findings),
+m AS (SELECT t.*, s.tc IS NOT NULL AS has_match FROM truth t LEFT JOIN s ON upper(t.test_case_id) = s.tc AND t.cwe_id = s.cwe)"""
+
+
+@query("j10_truth_match", f"WITH {_MATCH} SELECT test_case_id, is_vulnerable, cwe_id, has_match FROM m")
+def j10(v: Views) -> DataFrame:
+    return ev.match_truth(v.truth, v.truth_findings).select("test_case_id", "is_vulnerable", "cwe_id", "has_match")
+
+
+@query("a14_accuracy", f"""WITH {_MATCH}, g AS (SELECT coalesce(cwe_id, 'ALL') AS cwe, CASE WHEN cwe_id IS NULL THEN 'Overall' ELSE min(category) END AS category,
+  count(*) FILTER (is_vulnerable AND has_match) AS tp, count(*) FILTER (NOT is_vulnerable AND has_match) AS fp, count(*) FILTER (is_vulnerable AND NOT has_match) AS fn,
+  count(*) FILTER (NOT is_vulnerable AND NOT has_match) AS tn, count(*) AS total FROM m GROUP BY ROLLUP (cwe_id)),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS q FROM g)
+SELECT cwe, category, tp, fp, fn, tn, round(p, 6) AS "precision", round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 6) AS f1, total FROM r""")
+def a14(v: Views) -> DataFrame:
+    return ev.accuracy(v.truth, v.truth_findings).withColumns({n: F.round(n, 6) for n in ("precision", "recall", "f1")})
+
+
+@query("s8_truth_csv", """SELECT 'Case' || doc_id AS test_case_id, toxic = 1 AS is_vulnerable, 'CWE-' || (doc_id % 100) AS cwe_id, CASE WHEN quality = 1 THEN 'Good, kind' ELSE '' END AS category FROM labels""")
+def s8(v: Views) -> DataFrame:
+    lines = v.sql("""SELECT ' Case' || CAST(doc_id AS STRING) || ',' || CASE WHEN toxic = 1 THEN 'TRUE ' ELSE 'false' END || ',' || CAST(doc_id % 100 AS STRING) ||
+        CASE WHEN quality = 1 THEN ',"Good, kind"' ELSE '' END AS value FROM {labels}
+      UNION ALL SELECT '# comment,' || CAST(doc_id AS STRING) || ',1' FROM {labels} UNION ALL SELECT 'short,' || CAST(doc_id AS STRING) FROM {labels} UNION ALL SELECT '' FROM {labels}""")
+    return xr.parse_truth(lines)
+
+
+@query("s15_accuracy_report")
+def s15(v: Views) -> DataFrame:
+    return ev.accuracy_report(ev.accuracy(v.truth, v.truth_findings))
+
+
+# --- external reports -------------------------------------------------------------
+_SHOW = ["scan_id", "title", "vuln_type", "severity", "cvss4_score", "confidence", "cwe_id", "owasp_category", "file_path", "line_start", "line_end", "rule_id", "source", "sink"]
+
+
+@query("s4_semgrep_report", """SELECT CAST(l_orderkey AS VARCHAR) AS scan_id, CASE WHEN l_suppkey % 2 = 0 THEN 'msg' ELSE 'Semgrep finding' END AS title, 'Security Misconfiguration' AS vuln_type,
+  CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Medium' ELSE 'Medium' END AS severity, CAST(CASE WHEN l_returnflag = 'A' THEN 7.5 ELSE 5.0 END AS DOUBLE) AS cvss4_score,
+  CAST(CASE WHEN l_linestatus = 'F' THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence, 'CWE-' || l_linenumber AS cwe_id, CASE WHEN l_suppkey % 2 = 0 THEN 'A01' ELSE '' END AS owasp_category,
+  'p' || l_partkey AS file_path, l_linenumber AS line_start, CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber + 2 ELSE l_linenumber END AS line_end, 'r' || (l_partkey % 5) AS rule_id,
+  '' AS source, '' AS sink, CASE WHEN l_suppkey % 2 = 0 THEN 'u1' || chr(10) || 'u2' ELSE 'u0' END AS refs FROM lineitem""")
+def s4(v: Views) -> DataFrame:
+    reports = v.sql("""SELECT CAST(l_orderkey AS STRING) AS scan_id, '{{"results":[{{"check_id":"r' || CAST(l_partkey % 5 AS STRING) || '","path":"p' || CAST(l_partkey AS STRING) || '","start":{{"line":' || CAST(l_linenumber AS STRING) || '}}' ||
+      CASE WHEN l_suppkey % 2 = 0 THEN ',"end":{{"line":' || CAST(l_linenumber + 2 AS STRING) || '}}' ELSE '' END || ',"extra":{{' || CASE WHEN l_suppkey % 2 = 0 THEN '"message":"msg",' ELSE '' END ||
+      '"severity":"' || CASE l_returnflag WHEN 'A' THEN 'ERROR' WHEN 'N' THEN 'WARNING' ELSE 'odd' END || '","lines":" x ","metadata":{{"cwe":' ||
+      CASE WHEN l_suppkey % 2 = 0 THEN '["CWE-' || CAST(l_linenumber AS STRING) || '","CWE-0"],"owasp":["A01"],"references":["u1","u2"]' ELSE '"CWE-' || CAST(l_linenumber AS STRING) || '","references":"u0"' END ||
+      ',"confidence":"' || CASE WHEN l_linestatus = 'F' THEN 'high' ELSE 'x' END || '"}}}}}}]}}' AS report FROM {lineitem}""")
+    return xr.semgrep_findings(reports).select(*_SHOW, F.col("references").alias("refs"))
+
+
+@query("s5_bandit_report", """SELECT CAST(l_orderkey AS VARCHAR) AS scan_id, 'text' AS title, 'tn' || (l_partkey % 3) AS vuln_type, CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Low' ELSE 'Medium' END AS severity,
+  CAST(CASE l_returnflag WHEN 'A' THEN 7.4 WHEN 'N' THEN 3.1 ELSE 5.4 END AS DOUBLE) AS cvss4_score, CAST(0.9 AS DOUBLE) AS confidence, '' AS cwe_id, 'A05:2021-Security Misconfiguration' AS owasp_category, 'p' || l_partkey AS file_path,
+  l_linenumber AS line_start, l_linenumber AS line_end, CASE WHEN l_suppkey % 2 = 0 THEN 'B1' ELSE 'tn' || (l_partkey % 3) END AS rule_id, '' AS source, 'tn' || (l_partkey % 3) AS sink FROM lineitem""")
+def s5(v: Views) -> DataFrame:
+    reports = v.sql("""SELECT CAST(l_orderkey AS STRING) AS scan_id, '{{"results":[{{"filename":"p' || CAST(l_partkey AS STRING) || '","line_number":' || CAST(l_linenumber AS STRING) || ',' ||
+      CASE WHEN l_suppkey % 2 = 0 THEN '"test_id":"B1",' ELSE '' END || '"test_name":"tn' || CAST(l_partkey % 3 AS STRING) || '","issue_text":"text","issue_severity":"' ||
+      CASE l_returnflag WHEN 'A' THEN 'HIGH' WHEN 'N' THEN 'low' ELSE 'odd' END || '","code":" c "}}]}}' AS report FROM {lineitem}""")
+    return xr.bandit_findings(reports).select(*_SHOW)
+
+
+@query("s6_eslint_report", """SELECT CAST(l_orderkey AS VARCHAR) AS scan_id, 'm' AS title, CASE WHEN l_suppkey % 2 = 0 THEN 'no-eval' ELSE 'JS/TS Security Issue' END AS vuln_type, CASE WHEN l_returnflag = 'A' THEN 'High' ELSE 'Medium' END AS severity,
+  CAST(CASE WHEN l_returnflag = 'A' THEN 7.1 ELSE 5.2 END AS DOUBLE) AS cvss4_score, CAST(0.8 AS DOUBLE) AS confidence, '' AS cwe_id, 'A03:2021-Injection' AS owasp_category, 'p' || l_partkey AS file_path, l_linenumber AS line_start,
+  l_linenumber AS line_end, CASE WHEN l_suppkey % 2 = 0 THEN 'no-eval' ELSE 'js/ts-security-issue' END AS rule_id, '' AS source, CASE WHEN l_suppkey % 2 = 0 THEN 'no-eval' ELSE '' END AS sink FROM lineitem""")
+def s6(v: Views) -> DataFrame:
+    reports = v.sql("""SELECT CAST(l_orderkey AS STRING) AS scan_id, '[{{"filePath":"p' || CAST(l_partkey AS STRING) || '","messages":[{{"ruleId":' || CASE WHEN l_suppkey % 2 = 0 THEN '"no-eval"' ELSE 'null' END ||
+      ',"severity":' || CASE WHEN l_returnflag = 'A' THEN '2' ELSE '1' END || ',"message":"m","line":' || CAST(l_linenumber AS STRING) || '}}]}},{{"filePath":"none","messages":[]}}]' AS report FROM {lineitem}""")
+    return xr.eslint_findings(reports).select(*_SHOW)
+
+
+@query("s7_trivy_report", """SELECT CAST(l_orderkey AS VARCHAR) AS scan_id, CASE WHEN l_suppkey % 2 = 0 THEN 'T' ELSE 'CVE-' || l_partkey END AS title, 'Dependency Vulnerability' AS vuln_type,
+  CASE l_returnflag WHEN 'A' THEN 'Critical' WHEN 'N' THEN 'High' ELSE 'Medium' END AS severity, CAST(CASE l_returnflag WHEN 'A' THEN 9.0 WHEN 'N' THEN 7.9 ELSE 5.1 END AS DOUBLE) AS cvss4_score, CAST(0.93 AS DOUBLE) AS confidence, '' AS cwe_id,
+  'A06:2021-Vulnerable and Outdated Components' AS owasp_category, 'lock' || l_suppkey AS file_path, 1 AS line_start, 1 AS line_end, 'CVE-' || l_partkey AS rule_id, 'pkg@' || l_linenumber AS source, 'Known vulnerable dependency' AS sink FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Secret detected', 'Hardcoded Secrets', CASE l_returnflag WHEN 'A' THEN 'Critical' WHEN 'N' THEN 'Unknown' ELSE 'High' END, CAST(8.0 AS DOUBLE), CAST(0.9 AS DOUBLE), 'CWE-798', 'A02:2021-Cryptographic Failures', 'lock' || l_suppkey,
+  l_linenumber, l_linenumber, 'key', 'committed source file', 'secret material' FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Configuration issue', 'Security Misconfiguration', CASE WHEN l_returnflag = 'A' THEN 'High' ELSE 'Medium' END, CAST(CASE WHEN l_returnflag = 'A' THEN 7.0 ELSE 5.0 END AS DOUBLE), CAST(0.86 AS DOUBLE), 'CWE-16',
+  'A05:2021-Security Misconfiguration', 'lock' || l_suppkey, 1, 1, 'DS1', 'lock' || l_suppkey, 'docker' FROM lineitem""")
+def s7(v: Views) -> DataFrame:
+    reports = v.sql("""SELECT CAST(l_orderkey AS STRING) AS scan_id, '{{"Results":[{{"Target":"lock' || CAST(l_suppkey AS STRING) || '","Vulnerabilities":[{{"VulnerabilityID":"CVE-' || CAST(l_partkey AS STRING) || '","PkgName":"pkg","InstalledVersion":"' ||
+      CAST(l_linenumber AS STRING) || '","Severity":"' || CASE l_returnflag WHEN 'A' THEN 'CRITICAL' WHEN 'N' THEN 'HIGH' ELSE 'UNKNOWN' END || '"' || CASE WHEN l_suppkey % 2 = 0 THEN ',"Title":"T"' ELSE '' END ||
+      '}}],"Secrets":[{{"RuleID":"key","StartLine":' || CAST(l_linenumber AS STRING) || CASE l_returnflag WHEN 'A' THEN ',"Severity":"CRITICAL"' WHEN 'N' THEN ',"Severity":"UNKNOWN"' ELSE '' END ||
+      '}}],"Misconfigurations":[{{"ID":"DS1","Type":"docker","Severity":"' || CASE WHEN l_returnflag = 'A' THEN 'HIGH' ELSE 'odd' END || '"}}]}},{{"Target":"empty"}}]}}' AS report FROM {lineitem}""")
+    return xr.trivy_findings(reports).select(*_SHOW)

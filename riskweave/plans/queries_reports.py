@@ -1 +1,102 @@
-"""Registered queries."""
+"""Queries that emit reports as lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from riskweave.operators import access as ac
+from riskweave.plans.registry import query
+from riskweave.sources import reports as rp, sinks
+from riskweave.views import Views
+
+_WHEN = "2024-01-01T00:00:00"
+
+
+def _scans(v: Views) -> DataFrame:
+    return v.scans.select("scan_id", "project_id", "status", "risk_level", "risk_percent", "source_type", "source_value")
+
+
+_FIRST = "x AS (SELECT *, seq = min(seq) OVER (PARTITION BY scan_id) AS is_first FROM scan_findings)"
+
+
+def _object(fields: list[tuple[str, str]]) -> str:
+    """SQL text of a JSON object from (key, expression) pairs; texts are escaped by to_json."""
+    return " || ',' || ".join(f"'\"{k}\":' || to_json({e})" for k, e in fields)
+
+
+_SERVICE_A = _object([
+    ("id", "id"), ("engine", "engine"), ("ruleId", "rule_id"), ("scanCategory", "scan_category"), ("title", "title"), ("vulnType", "vuln_type"),
+    ("owasp", "owasp_category"), ("cwe", "cwe_id"), ("severity", "severity"), ("cvss4", "cvss4_score"), ("confidence", "confidence"),
+    ("verificationStatus", "verification_status"), ("dedupeHash", "dedupe_hash"), ("file", "file_path"),
+    ("lineStart", "line_start"), ("lineEnd", "line_end"), ("source", "source"), ("sink", "sink"), ("functionName", "function_name")])
+_SERVICE_B = _object([
+    ("evidence", "evidence"), ("codeSnippet", "code_snippet"), ("impact", "impact"), ("whyVulnerable", "why_vulnerable"), ("attackScenario", "attack_scenario"),
+    ("poc", "poc"), ("remediation", "remediation"), ("secureExample", "secure_example"), ("pentestHint", "pentest_hint"), ("references", '"references"')])
+
+
+@query("s10_service_json", f"""WITH {_FIRST} SELECT scan_id, 0 AS section, '' AS place, '{{"scanId":"' || scan_id || '","status":"' || status || '","riskLevel":"' || risk_level ||
+  '","riskPercent":' || to_json(risk_percent) || ',"generatedAt":"{_WHEN}","findings":[' AS line FROM scans
+UNION ALL SELECT scan_id, 1, seq, CASE WHEN is_first THEN '' ELSE ',' END || '{{' || {_SERVICE_A} || ',"dataflowTrace":' || CASE WHEN dataflow_trace IN ('', 'not json') THEN '[]' ELSE dataflow_trace END || ',' || {_SERVICE_B} || '}}' FROM x
+UNION ALL SELECT scan_id, 2, '', ']}}' FROM scans""")
+def s10(v: Views) -> DataFrame:
+    return rp.service_json(_scans(v), v.scan_findings, _WHEN).withColumnRenamed("at", "place")
+
+
+@query("s11_executive_json")
+def s11(v: Views) -> DataFrame:
+    """Masked executive report of every scan."""
+    return rp.executive_json(_scans(v), v.scan_findings, "user-1", _WHEN).withColumnRenamed("at", "place")
+
+
+@query("s11_report_summary", """WITH c AS (SELECT scan_id, count(*) AS total, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (status = 'open') AS open FROM scan_findings GROUP BY scan_id),
+e AS (SELECT scan_id, string_agg(engine || '=' || n, ',' ORDER BY n DESC, engine) AS by_engine FROM (SELECT scan_id, engine, count(*) AS n FROM scan_findings GROUP BY ALL) GROUP BY scan_id),
+f AS (SELECT scan_id, string_agg(file_path || '=' || n, ',' ORDER BY n DESC, file_path) AS by_file FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, file_path) AS r
+  FROM (SELECT scan_id, file_path, count(*) AS n FROM scan_findings GROUP BY ALL)) WHERE r <= 10 GROUP BY scan_id)
+SELECT s.scan_id, coalesce(total, 0) AS total, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(open, 0) AS open, coalesce(by_engine, '') AS by_engine, coalesce(by_file, '') AS by_file
+FROM scans s LEFT JOIN c ON s.scan_id = c.scan_id LEFT JOIN e ON s.scan_id = e.scan_id LEFT JOIN f ON s.scan_id = f.scan_id""")
+def s11_summary(v: Views) -> DataFrame:
+    def shown(name, key):
+        return F.array_join(F.transform(name, lambda x: F.concat(x[key], F.lit("="), x["count"].cast("string"))), ",").alias(name)
+    return rp.report_summary(v.scan_findings, v.scans).select(
+        "scan_id", "total", "critical", "high", "open", shown("by_engine", "engine"), shown("by_file", "filePath"))
+
+
+@query("w6_rules_registry", """WITH f AS (SELECT scan_id, rule_id AS rule, min(seq) AS first_seq FROM scan_findings GROUP BY ALL)
+SELECT f.scan_id, f.rule, CAST(row_number() OVER (PARTITION BY f.scan_id ORDER BY f.first_seq, f.rule) - 1 AS INT) AS rule_index, g.title, g.severity
+FROM f JOIN scan_findings g ON g.scan_id = f.scan_id AND g.seq = f.first_seq""")
+def w6(v: Views) -> DataFrame:
+    return rp.rules_registry(v.scan_findings).select("scan_id", "rule", "rule_index", F.col("f.title").alias("title"), F.col("f.severity").alias("severity"))
+
+
+@query("s12_service_sarif")
+def s12(v: Views) -> DataFrame:
+    """Nested documents with conditional keys: checked by parsing in the tests."""
+    return rp.service_sarif(_scans(v), v.scan_findings, _WHEN).withColumnRenamed("at", "place")
+
+
+@query("s12_sarif_results", """WITH f AS (SELECT scan_id, rule_id AS rule, row_number() OVER (PARTITION BY scan_id ORDER BY min(seq), rule_id) - 1 AS i FROM scan_findings GROUP BY scan_id, rule_id)
+SELECT x.scan_id, x.seq AS place, x.rule_id AS rule, CAST(f.i AS INT) AS rule_index, CASE severity WHEN 'Critical' THEN 'error' WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level,
+  line_start, greatest(line_end, line_start) AS line_end, dedupe_hash FROM scan_findings x JOIN f ON x.scan_id = f.scan_id AND x.rule_id = f.rule""")
+def s12_results(v: Views) -> DataFrame:
+    lines = rp.service_sarif(_scans(v), v.scan_findings, _WHEN).filter("section = 3")
+    shape = ("struct<ruleId:string,ruleIndex:int,level:string,fingerprints:struct<`dedupeHash/v1`:string>,"
+             "locations:array<struct<physicalLocation:struct<region:struct<startLine:int,endLine:int>>>>>")
+    doc = F.from_json(F.regexp_replace("line", "^,", ""), shape)
+    region = doc["locations"][0]["physicalLocation"]["region"]
+    return lines.select("scan_id", F.col("at").alias("place"), doc["ruleId"].alias("rule"), doc["ruleIndex"].alias("rule_index"), doc["level"].alias("level"),
+                        region["startLine"].alias("line_start"), region["endLine"].alias("line_end"), doc["fingerprints"]["dedupeHash/v1"].alias("dedupe_hash"))
+
+
+@query("s13_dashboard_sarif")
+def s13(v: Views) -> DataFrame:
+    return rp.dashboard_sarif(_scans(v), v.scan_findings).withColumnRenamed("at", "place")
+
+
+@query("s14_ci_reports", """WITH o AS (SELECT r.request_id, r.scan_id FROM token_requests r JOIN api_tokens t ON sha256(r.token) = t.token_hash JOIN scans s ON r.scan_id = s.scan_id
+  WHERE r.token <> '' AND t.is_active = 'true' AND (contains(t.scopes, 'report:write') OR contains(t.scopes, 'scan:read')) AND s.project_id = t.project_id),
+n AS (SELECT scan_id, count(*) AS n FROM scan_findings GROUP BY scan_id)
+SELECT o.request_id, o.scan_id, coalesce(n, 0) + 2 AS lines FROM o LEFT JOIN n ON o.scan_id = n.scan_id""")
+def s14(v: Views) -> DataFrame:
+    resolved = ac.resolve_tokens(v.token_requests, v.api_tokens, v.scans, ["report:write", "scan:read"])
+    lines = rp.executive_json(_scans(v), v.scan_findings, "ci_pipeline", _WHEN, short=True)
+    return sinks.ci_reports(resolved, lines).groupBy("request_id", "scan_id").agg(F.count("line").alias("lines"))
