@@ -1 +1,98 @@
-"""Registered queries."""
+"""Streaming jobs run over what a data folder holds, then read back as tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from riskweave.plans.registry import query
+from riskweave.session import checkpoint_root
+from riskweave.streaming import jobs
+from riskweave.views import VIEWS, Views
+
+
+def _stream(v: Views, view: str, base: str) -> DataFrame:
+    """A view over one base table, with that table read as a file stream.
+
+    The byte limit bounds a micro-batch, and with it what one key can bring to a task.
+    """
+    raw = (v.spark.readStream.schema(v.base(base).schema).option("pathGlobFilter", f"{base}.parquet")
+           .option("maxBytesPerTrigger", 512 << 20).parquet(v.sf_dir))
+    return v.spark.sql(VIEWS[view], **{base: raw})
+
+
+_STATUS = "CASE event_type WHEN 'sast_scan_started' THEN 'running' ELSE event_type END"
+
+
+@query("t1_latest_status", f"""SELECT scan_id, created_at, status FROM (SELECT *, {_STATUS} AS status,
+  row_number() OVER (PARTITION BY scan_id ORDER BY created_at DESC, id DESC) AS r FROM scan_events) WHERE r = 1""")
+def t1_latest(v: Views) -> DataFrame:
+    base = f"{checkpoint_root(v.spark)}/streams"
+    run = f"{base}/t1-{uuid.uuid4().hex}"
+    q = (jobs.latest_status(_stream(v, "scan_events", "events")).writeStream.outputMode("update")
+         .foreachBatch(jobs.keep_latest(f"{run}/out")).option("checkpointLocation", f"{run}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return jobs.read_latest(v.spark, f"{run}/out")
+
+
+@query("t1_status_changes", f"""WITH e AS (SELECT *, {_STATUS} AS status FROM scan_events),
+w AS (SELECT *, lag(status) OVER o AS before, coalesce(sum(CASE WHEN status IN ('completed', 'failed') THEN 1 ELSE 0 END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+  FROM e WINDOW o AS (PARTITION BY scan_id ORDER BY created_at, id))
+SELECT scan_id, created_at, status FROM w WHERE ended = 0 AND (before IS NULL OR before <> status)""")
+def t1_changes(v: Views) -> DataFrame:
+    out = jobs.run_available(jobs.status_changes(_stream(v, "scan_events", "events")), "t1")
+    return out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query("t2_guest_rate_limit", """WITH RECURSIVE e AS (SELECT id, ip, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS i FROM requests),
+r AS (SELECT id, ip, i, CAST(1 AS BIGINT) AS n, us + 3600000000 AS expiry FROM e WHERE i = 1
+  UNION ALL SELECT e.id, e.ip, e.i, CASE WHEN e.us > r.expiry THEN 1 ELSE r.n + 1 END, CASE WHEN e.us > r.expiry THEN e.us + 3600000000 ELSE r.expiry END
+  FROM r JOIN e ON e.ip = r.ip AND e.i = r.i + 1)
+SELECT id, ip, n AS count, greatest(5 - n, 0) AS remaining, n <= 5 AS allowed FROM r""")
+def t2(v: Views) -> DataFrame:
+    return jobs.run_available(jobs.rate_limit(_stream(v, "requests", "events")), "t2")
+
+
+@query("t2_key_rate_limit", """WITH RECURSIVE e AS (SELECT id, ip, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS i FROM requests),
+r AS (SELECT id, ip, i, CAST(1 AS BIGINT) AS n, us + 86400000000 AS expiry, true AS ok FROM e WHERE i = 1
+  UNION ALL SELECT e.id, e.ip, e.i, CASE WHEN e.us >= r.expiry THEN 1 ELSE least(r.n + 1, 2) END, CASE WHEN e.us >= r.expiry THEN e.us + 86400000000 ELSE r.expiry END,
+    e.us >= r.expiry OR r.n < 2 FROM r JOIN e ON e.ip = r.ip AND e.i = r.i + 1)
+SELECT id, ip, n AS count, 2 - n AS remaining, ok AS allowed FROM r""")
+def t2_key(v: Views) -> DataFrame:
+    return jobs.run_available(jobs.rate_limit(_stream(v, "requests", "events"), 2, 86400, count_rejected=False), "t2")
+
+
+@query("t3_stale_reaper", f"""WITH e AS (SELECT scan_id, id, epoch_us(created_at) AS us, {_STATUS} AS status FROM scan_events),
+w AS (SELECT *, lead(us) OVER (PARTITION BY scan_id ORDER BY us, id) AS next, CASE status WHEN 'queued' THEN 180000000 WHEN 'running' THEN 1800000000 END AS lim,
+  (SELECT max(us) FROM e) - 300000000 AS mark FROM e)
+SELECT scan_id, make_timestamp(us + lim) AS failed_at, CASE status WHEN 'queued' THEN 'Scan timeout: Stuck in queue for more than 3 minutes.' ELSE 'Scan timeout: Stuck in running for more than 30 minutes.' END AS message
+FROM w WHERE lim IS NOT NULL AND (next > us + lim OR (next IS NULL AND mark // 1000 > (us + lim) // 1000))""")
+def t3(v: Views) -> DataFrame:
+    out = jobs.run_available(jobs.stale_scans(_stream(v, "scan_events", "events")), "t3")
+    return out.withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))
+
+
+@query("t4_notification_stream", """SELECT DISTINCT triggered_by AS user_id, CASE event_type WHEN 'completed' THEN 'scan_completed' ELSE 'scan_failed' END AS type, e.scan_id
+  FROM scan_events e JOIN scans s ON e.scan_id = s.scan_id WHERE event_type IN ('completed', 'failed') AND triggered_by IS NOT NULL""")
+def t4(v: Views) -> DataFrame:
+    told = jobs.notification_stream(_stream(v, "scan_events", "events"), v.scans, delay="60 days")
+    return jobs.run_available(told, "t4").select("user_id", "type", "scan_id")
+
+
+@query("t5_incremental_detection")
+def t5(v: Views) -> DataFrame:
+    """The batch detectors on a file stream; the tests hold it against the batch result."""
+    docs = (v.spark.readStream.schema(v.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
+            .select(F.col("source").alias("scan_id"), F.concat(F.lit("app/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
+                    F.col("text").alias("content")))
+    found = jobs.run_available(jobs.incremental_findings(docs), "t5")
+    return found.select("scan_id", "engine", "rule_id", "file_path", "line_start", "severity", "dedupe_hash")
+
+
+@query("t6_phase_rates", """WITH e AS (SELECT time_bucket(INTERVAL '1' HOUR, created_at) AS w, CASE WHEN event_type IN ('running', 'sast_scan_started') THEN 'started'
+  WHEN event_type = 'failed' THEN 'failed' WHEN event_type = 'completed' THEN 'completed' ELSE 'other' END AS phase FROM scan_events)
+SELECT w AS window_start, phase, count(*) AS n FROM e WHERE w + INTERVAL '1' HOUR <= (SELECT max(created_at) FROM scan_events) - INTERVAL '10' MINUTE GROUP BY ALL""")
+def t6(v: Views) -> DataFrame:
+    return jobs.run_available(jobs.phase_rates(_stream(v, "scan_events", "events")), "t6")

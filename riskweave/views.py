@@ -224,6 +224,8 @@ def oracle_text(body: str) -> str:
 
     head = ", ".join(cte(n) for n in needed)
     stripped = body.strip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {stripped[15:]}"
     if stripped.upper().startswith("WITH "):
         return f"WITH {head}, {stripped[5:]}"
     return f"WITH {head} {stripped}"
