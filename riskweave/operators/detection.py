@@ -13,7 +13,7 @@ from riskweave import fixed_values as fv
 from riskweave.functions import text as tx
 from riskweave.functions.scoring import lookup
 from riskweave.schemas import as_raw_findings, seq
-from riskweave.sources.corpus import is_scannable, suffix
+from riskweave.sources.corpus import has_suffix, is_scannable, suffix
 
 # (?d): only \n ends a line for '.'; (?U): Unicode classes and case rules.
 _FLAGS = "(?dU)"
@@ -156,11 +156,19 @@ def _script_hits(content: Column) -> Column:
     return F.array_compact(F.array(*options))
 
 
-def _taint_gate(rule: dict) -> Column:
+def _taint_pair(rule: dict) -> Column:
     content = F.col("content")
-    literals = ["request."] if rule["suffix"] == ".py" else [".get", "@Request", "@PathVariable"]
-    return (suffix(F.col("file_path")) == rule["suffix"]) & _either([content.contains(x) for x in literals]) \
-        & content.rlike("(?d)" + rule["sources"]) & content.rlike("(?d)" + rule["sinks"])
+    return content.rlike("(?d)" + rule["sources"]) & content.rlike("(?d)" + rule["sinks"])
+
+
+def _taint_gate() -> Column:
+    """Files that hold a source and a sink of one rule; the suffix is read once a language."""
+    literals = {".py": ["request."], ".java": [".get", "@Request", "@PathVariable"]}
+    out = []
+    for tail, words in literals.items():
+        pairs = [_taint_pair(r) for r in fv.TAINT_RULES if r["suffix"] == tail]
+        out.append(has_suffix(F.col("file_path"), [tail]) & _either([F.col("content").contains(w) for w in words]) & _either(pairs))
+    return _either(out)
 
 
 def _taint_hits(content: Column) -> Column:
@@ -168,7 +176,8 @@ def _taint_hits(content: Column) -> Column:
     for n, rule in enumerate(fv.TAINT_RULES):
         tags = [F.transform(match_hits(content, "(?d)" + rule[field]), _tagger(TAINT, n, kind))
                 for kind, field in enumerate(("sources", "sanitizers", "sinks"))]
-        parts.append(F.when(_taint_gate(rule), F.concat(*tags)).otherwise(F.array().cast(_HIT)))
+        here = has_suffix(F.col("file_path"), [rule["suffix"]]) & _taint_pair(rule)
+        parts.append(F.when(here, F.concat(*tags)).otherwise(F.array().cast(_HIT)))
     return F.concat(*parts)
 
 
@@ -189,15 +198,15 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
     """
     path, content = F.col("file_path"), F.col("content")
     gates = {
-        TAINT: lambda low: _either([_taint_gate(r) for r in fv.TAINT_RULES]),
-        SCRIPT: lambda low: suffix(path).isin(*fv.JS_SUFFIXES) & _either([content.contains(r["needle"]) for r in fv.JS_SINKS]),
+        TAINT: lambda low: _taint_gate(),
+        SCRIPT: lambda low: has_suffix(path, fv.JS_SUFFIXES) & _either([content.contains(r["needle"]) for r in fv.JS_SINKS]),
         PATTERN: lambda low: is_scannable(path) & _table_gate(content, low, fv.PATTERN_RULES),
         SECRET: lambda low: _table_gate(content, low, fv.SECRET_RULES),
     }
     none = F.array().cast(_HIT)
     made = {
         TAINT: lambda: _taint_hits(content),
-        SCRIPT: lambda: F.when(suffix(path).isin(*fv.JS_SUFFIXES), _script_hits(content)).otherwise(none),
+        SCRIPT: lambda: F.when(has_suffix(path, fv.JS_SUFFIXES), _script_hits(content)).otherwise(none),
         PATTERN: lambda: F.when(is_scannable(path), _table_hits(content, PATTERN, fv.PATTERN_RULES)).otherwise(none),
         SECRET: lambda: _table_hits(content, SECRET, fv.SECRET_RULES),
     }

@@ -50,3 +50,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/stage/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, grain: int = 1 << 20) -> DataFrame:
+    """Give a small table more tasks than its files would.
+
+    A table below the size of one input split is read by a single task, which hurts
+    when rows are costly (pattern search, JSON).  Only such a table is repartitioned,
+    so at most one split's worth of bytes ever moves; larger ones are left as read.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    parts = min(spark.sparkContext.defaultParallelism, -(-size // grain))
+    return df.repartition(parts) if size < split and parts > 1 else df

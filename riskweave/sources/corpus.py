@@ -192,5 +192,13 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(base_name(path), r"^.+(\.[^.]+)$", 1)
 
 
+def has_suffix(path: Column, tails: list[str]) -> Column:
+    """suffix(path) is one of tails, without taking the path apart."""
+    low, out = F.lower(path), F.lit(False)
+    for tail in tails:
+        out = out | (low.endswith(tail) & ~low.endswith("/" + tail) & (low != tail))
+    return out
+
+
 def is_scannable(path: Column) -> Column:
     return base_name(path).isin(*fv.SCANNABLE_NAMES) | suffix(path).isin(*fv.SCANNABLE_SUFFIXES)

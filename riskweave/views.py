@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.session import spread
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -185,7 +187,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
