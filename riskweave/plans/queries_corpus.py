@@ -149,7 +149,9 @@ def d7(v: Views) -> DataFrame:
         "scan_id", "file_path", "rule_id", F.col("line_start").alias("line"), "evidence")
 
 
-@query("d8_taint_flows")
+@query("d8_taint_flows", """WITH f AS (SELECT *, 'app/h' || o_orderkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS line FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority < '3'))
+SELECT o_custkey AS scan_id, path AS file_path, CASE WHEN o_orderpriority < '3' THEN 'python-command-injection-taint' ELSE 'python-ssrf-taint' END AS rule_id, line AS line_start,
+  '[{"message":"source","path":"' || path || '","line":2},{"message":"sink","path":"' || path || '","line":' || line || '}]' AS dataflow_trace, 'High' AS severity FROM f""")
 def d8(v: Views) -> DataFrame:
     """J13: source and sink lines come from the texts of lineitem-sized handlers."""
     return d.taint_findings(_handlers(v)).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace", "severity")

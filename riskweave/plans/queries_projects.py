@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions import text as tx
 from riskweave.operators import access as ac, analytics as an, governance as go, history as hi, intake as it
 from riskweave.plans.registry import query
 from riskweave.views import AS_OF, Views
 
-_NOW = F.lit(AS_OF.split("'")[1]).cast("timestamp_ntz")
+def _now() -> Column:
+    return F.lit(AS_OF.split("'")[1]).cast("timestamp_ntz")
 
 
 # --- platform figures ---------------------------------------------------------
@@ -106,7 +107,7 @@ a AS (SELECT *, CASE scopes WHEN '["view_findings"]' THEN ['view'] WHEN '["all"]
 SELECT r.user_id, r.project_id, r.action, EXISTS (SELECT 1 FROM a WHERE a.actor_id = r.user_id AND list_contains(a.acts, r.action)
   AND (a.project_id = r.project_id OR a.organization_id = p.organization_id)) AS allowed FROM r JOIN projects p ON r.project_id = p.project_id""")
 def j4(v: Views) -> DataFrame:
-    out = ac.support_access(_requests(v), v.projects, v.support_grants, v.users, _NOW)
+    out = ac.support_access(_requests(v), v.projects, v.support_grants, v.users, _now())
     return out.select("user_id", "project_id", "action", "allowed")
 
 
@@ -194,7 +195,7 @@ def o6(v: Views) -> DataFrame:
 
 @query("o6_active_grants", f"SELECT id, actor_id, expires_at FROM support_grants WHERE expires_at > {AS_OF} AND revoked_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 50")
 def o6_grants(v: Views) -> DataFrame:
-    return an.active_grants(v.support_grants, _NOW).select("id", "actor_id", "expires_at")
+    return an.active_grants(v.support_grants, _now()).select("id", "actor_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
 @query("j14_finding_timeline", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY created_at, id) AS nth FROM finding_events)
@@ -267,7 +268,7 @@ SELECT s.scan_id AS request_id, CASE WHEN b.token IS NULL OR r > 1 THEN 'not_fou
 FROM scans s LEFT JOIN b ON b.token = 'badge-' || s.scan_id""")
 def p17(v: Views) -> DataFrame:
     asked = v.scans.select(F.col("scan_id").alias("request_id"), F.concat(F.lit("badge-"), F.col("scan_id").cast("string")).alias("token"))
-    return hi.badge_lookup(asked, hi.current_badges(v.badge_publications), _NOW).select("request_id", "outcome")
+    return hi.badge_lookup(asked, hi.current_badges(v.badge_publications), _now()).select("request_id", "outcome")
 
 
 @query("w7_badge_replacement", """SELECT token, scan_id, CASE WHEN row_number() OVER (PARTITION BY scan_id ORDER BY published_at DESC, token DESC) = 1 THEN 'true' ELSE 'false' END AS is_active,
@@ -283,14 +284,14 @@ _STALE = f"""WITH s AS (SELECT *, CASE WHEN status = 'queued' AND epoch_us({AS_O
 @query("p18_stale_sweep", f"""{_STALE} SELECT scan_id, 'failed' AS status, {AS_OF} AS completed_at, CASE k WHEN 'q' THEN 'Scan timeout: Stuck in queue for more than 3 minutes.'
   ELSE 'Scan timeout: Stuck in running for more than 30 minutes.' END AS error_message FROM s WHERE k IS NOT NULL""")
 def p18(v: Views) -> DataFrame:
-    failed, _, _ = it.stale_sweep(v.scans, _NOW, v.notifications)
+    failed, _, _ = it.stale_sweep(v.scans, _now(), v.notifications)
     return failed.select("scan_id", "status", "completed_at", "error_message")
 
 
 @query("p18_stale_notifications", f"""{_STALE} SELECT triggered_by AS user_id, CAST(scan_id AS VARCHAR) AS ref, 'Scan ' || scan_id || ' failed.' AS message FROM s WHERE k IS NOT NULL AND triggered_by IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.user_id = s.triggered_by AND n.type = 'scan_failed' AND n.payload = '{{"scanId":"' || s.scan_id || '"}}')""")
 def p18_notes(v: Views) -> DataFrame:
-    _, _, notes = it.stale_sweep(v.scans, _NOW, v.notifications)
+    _, _, notes = it.stale_sweep(v.scans, _now(), v.notifications)
     return notes.select("user_id", "ref", "message")
 
 
@@ -304,7 +305,7 @@ def p19(v: Views) -> DataFrame:
   CASE WHEN status = 'completed' THEN 'not_cancellable' ELSE 'ok' END AS outcome FROM scans WHERE triggered_by IS NOT NULL""")
 def p20(v: Views) -> DataFrame:
     asked = v.scans.filter("triggered_by is not null").select("scan_id", (F.col("source_type") == "archive").alias("by_admin"))
-    return go.cancel_scans(v.scans, asked, _NOW).select("scan_id", "old_status", "status", "outcome")
+    return go.cancel_scans(v.scans, asked, _now()).select("scan_id", "old_status", "status", "outcome")
 
 
 # --- events and governance ----------------------------------------------------
@@ -314,15 +315,16 @@ def _after(v: Views) -> DataFrame:
         "id", F.when(c("severity") == "Critical", "confirmed").otherwise(c("status")).alias("status"),
         F.when(c("severity") == "Info", "skipped").otherwise(c("verification_status")).alias("verification_status"),
         F.when(c("severity") == "High", F.lit(None)).when(c("severity") == "Medium", "user-3").otherwise(c("assignee_id")).alias("assignee_id"),
-        F.lit("user-3").alias("actor_id"), F.when(c("severity") == "Low", F.concat(F.lit(" seen "), c("rule_id"))).alias("comment"))
+        F.when(c("status") == "open", "user-4").otherwise("user-3").alias("actor_id"), F.when(c("severity") == "Low", F.concat(F.lit(" seen "), c("rule_id"))).alias("comment"))
 
 
-_EVENTS = """e AS (SELECT id AS finding_id, 'user-3' AS user_id, 'status_changed' AS event_type, status AS old_value, 'confirmed' AS new_value, CAST(NULL AS VARCHAR) AS comment
+_ACTOR = "CASE WHEN status = 'open' THEN 'user-4' ELSE 'user-3' END"
+_EVENTS = f"""e AS (SELECT id AS finding_id, {_ACTOR} AS user_id, 'status_changed' AS event_type, status AS old_value, 'confirmed' AS new_value, CAST(NULL AS VARCHAR) AS comment
   FROM scan_findings WHERE severity = 'Critical' AND status <> 'confirmed'
-UNION ALL SELECT id, 'user-3', 'verification_status_changed', verification_status, 'skipped', NULL FROM scan_findings WHERE severity = 'Info' AND verification_status <> 'skipped'
-UNION ALL SELECT id, 'user-3', 'comment', NULL, NULL, 'seen ' || rule_id FROM scan_findings WHERE severity = 'Low'
-UNION ALL SELECT id, 'user-3', 'unassigned', assignee_id, NULL, NULL FROM scan_findings WHERE severity = 'High' AND assignee_id IS NOT NULL
-UNION ALL SELECT id, 'user-3', 'assigned', assignee_id, 'user-3', NULL FROM scan_findings WHERE severity = 'Medium' AND assignee_id IS DISTINCT FROM 'user-3')"""
+UNION ALL SELECT id, {_ACTOR}, 'verification_status_changed', verification_status, 'skipped', NULL FROM scan_findings WHERE severity = 'Info' AND verification_status <> 'skipped'
+UNION ALL SELECT id, {_ACTOR}, 'comment', NULL, NULL, 'seen ' || rule_id FROM scan_findings WHERE severity = 'Low'
+UNION ALL SELECT id, {_ACTOR}, 'unassigned', assignee_id, NULL, NULL FROM scan_findings WHERE severity = 'High' AND assignee_id IS NOT NULL
+UNION ALL SELECT id, {_ACTOR}, 'assigned', assignee_id, 'user-3', NULL FROM scan_findings WHERE severity = 'Medium' AND assignee_id IS DISTINCT FROM 'user-3')"""
 
 
 @query("e1_finding_events", f"WITH {_EVENTS} SELECT * FROM e")
@@ -330,10 +332,14 @@ def e1(v: Views) -> DataFrame:
     return go.finding_events(v.scan_findings, _after(v)).select("finding_id", "user_id", "event_type", "old_value", "new_value", "comment")
 
 
-@query("e2_finding_notifications", """WITH n AS (SELECT f.*, coalesce(nullif(u.name, ''), nullif(u.email, ''), 'A user') AS who FROM findings f LEFT JOIN users u ON u.user_id = 'user-3')
+@query("e2_finding_notifications", f"""WITH n AS (SELECT f.*, {_ACTOR.replace("status", "f.status")} AS actor FROM findings f),
+w AS (SELECT n.*, coalesce(nullif(u.name, ''), nullif(u.email, ''), 'A user') AS who FROM n LEFT JOIN users u ON u.user_id = n.actor)
 SELECT assignee_id AS user_id, 'finding_commented' AS type, who || ' commented on ' || title || '.' AS message,
-  '{"findingId":"' || id || '","projectId":"' || project_id || '","scanId":"' || scan_id || '","actorId":"user-3"}' AS payload
-FROM n WHERE severity = 'Low' AND assignee_id IS NOT NULL AND assignee_id <> 'user-3'""")
+  '{{"findingId":"' || id || '","projectId":"' || project_id || '","scanId":"' || scan_id || '","actorId":"' || actor || '"}}' AS payload
+FROM w WHERE severity = 'Low' AND assignee_id IS NOT NULL AND assignee_id <> actor
+UNION ALL SELECT 'user-3', 'finding_assigned', who || ' assigned ' || title || ' to you.',
+  '{{"findingId":"' || id || '","projectId":"' || project_id || '","scanId":"' || scan_id || '","actorId":"' || actor || '"}}'
+FROM w WHERE severity = 'Medium' AND assignee_id IS DISTINCT FROM 'user-3' AND actor <> 'user-3'""")
 def e2(v: Views) -> DataFrame:
     events = go.finding_events(v.scan_findings, _after(v))
     return go.finding_notifications(events, v.findings, v.users).select("user_id", "type", "message", "payload")
@@ -389,7 +395,7 @@ UNION ALL SELECT 'audit_events', count(*) + (SELECT count(*) FROM x), count(*) F
 UNION ALL SELECT 'organization_members', count(*), 0 FROM organization_members WHERE user_id NOT IN (SELECT user_id FROM x)
 UNION ALL SELECT 'users', count(*), count(*) FILTER (status = 'disabled') FROM users""")
 def e5(v: Views) -> DataFrame:
-    out = go.erase_users(v.users.filter("status = 'disabled'"), _NOW, users=v.users, members=v.organization_members,
+    out = go.erase_users(v.users.filter("status = 'disabled'"), _now(), users=v.users, members=v.organization_members,
                          findings=v.scan_findings.select("id", "assignee_id"), projects=v.projects, scans=v.scans, audit=v.audit_events)
     blank = {"findings": F.col("assignee_id").isNull(), "projects": F.col("created_by").isNull(), "scans": F.col("triggered_by").isNull(),
              "audit_events": F.col("user_id").isNull(), "organization_members": F.col("user_id").isNull(), "users": F.col("status") == "deleted"}
@@ -402,7 +408,7 @@ def e5(v: Views) -> DataFrame:
 
 @query("e6_invite_states", f"""SELECT id, CASE WHEN status = 'pending' AND expires_at < {AS_OF} THEN 'expired' ELSE status END AS effective_status, status = 'pending' AND expires_at >= {AS_OF} AS acceptable FROM invites""")
 def e6(v: Views) -> DataFrame:
-    return go.invite_states(v.invites, _NOW).select("id", "effective_status", "acceptable")
+    return go.invite_states(v.invites, _now()).select("id", "effective_status", "acceptable")
 
 
 @query("e7_policy_presets", """WITH ch AS (SELECT c_custkey AS project_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'Fast Scan' WHEN 'MACHINERY' THEN 'Strict Security' WHEN 'HOUSEHOLD' THEN 'AI Assisted' END AS preset
