@@ -498,16 +498,16 @@ def inbox(notifications: DataFrame, user_id: str | None = None, unread_only: boo
 def list_positions(findings: DataFrame) -> DataFrame:
     """Place of every finding in its scan's list (severity, CVSS, age, id).
 
-    Two levels: rows are numbered inside cells of equal severity and CVSS band, and the
+    Two levels: rows are numbered inside cells of equal severity, CVSS and day, and the
     sizes of the cells before are added.  A scan with very many findings is so numbered
-    by many tasks instead of one.
+    by many tasks instead of one; only its cells meet in one place.
     """
-    band = F.floor("cvss4_score").cast("int")
-    cell = ["scan_id", "_rank", "_band"]
-    slim = findings.select("scan_id", "id", "cvss4_score", "created_at",
-                           sc.severity_rank(F.col("severity")).alias("_rank"), band.alias("_band"))
-    inside = W.partitionBy(*cell).orderBy(F.desc("cvss4_score"), F.asc("created_at"), F.asc("id"))
-    above = W.partitionBy("scan_id").orderBy(F.desc("_rank"), F.desc("_band")).rowsBetween(W.unboundedPreceding, -1)
+    cell = ["scan_id", "_rank", "cvss4_score", "_day"]
+    slim = findings.select("scan_id", "id", "cvss4_score", "created_at", F.to_date("created_at").alias("_day"),
+                           sc.severity_rank(F.col("severity")).alias("_rank"))
+    inside = W.partitionBy(*cell).orderBy(F.asc("created_at"), F.asc("id"))
+    above = W.partitionBy("scan_id").orderBy(F.desc("_rank"), F.desc("cvss4_score"), F.asc("_day")) \
+        .rowsBetween(W.unboundedPreceding, -1)
     offsets = (slim.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
                .withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n"))
     numbered = slim.withColumn("nth", F.row_number().over(inside))
