@@ -135,7 +135,12 @@ def rule_name(title: Column, rule_id: Column) -> Column:
 
 
 # F24 / F25 ----------------------------------------------------------------
-def local_time(ts: Column, pattern: str = "dd/MM/yyyy HH:mm", tz: str = "Asia/Ho_Chi_Minh") -> Column:
+# Display forms of the dashboard's locale and its zone
+DATE_TIME, DATE, TIME = "HH:mm d 'thg' M, yyyy", "d 'thg' M, yyyy", "HH:mm:ss"
+ZONE = "Asia/Ho_Chi_Minh"
+
+
+def local_time(ts: Column, pattern: str = DATE_TIME, tz: str = ZONE) -> Column:
     """Wall-clock text of a UTC timestamp in a zone; '' for a missing value."""
     moved = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz"))
     return F.coalesce(F.date_format(moved, pattern), F.lit(""))
@@ -151,7 +156,7 @@ def micros_between(later: Column, earlier: Column) -> Column:
     return F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
 
 
-def relative_age(ts: Column, as_of: Column, tz: str = "Asia/Ho_Chi_Minh") -> Column:
+def relative_age(ts: Column, as_of: Column, tz: str = ZONE) -> Column:
     secs = seconds_between(as_of, ts)
     mins = F.floor(secs / 60)
     hours = F.floor(secs / 3600)
@@ -165,7 +170,7 @@ def relative_age(ts: Column, as_of: Column, tz: str = "Asia/Ho_Chi_Minh") -> Col
         .when(mins < 60, ago(mins, "min"))
         .when(hours < 24, ago(hours, "hour"))
         .when(days < 30, ago(days, "day"))
-        .otherwise(local_time(ts, "dd/MM/yyyy", tz))
+        .otherwise(local_time(ts, DATE, tz))
     )
 
 

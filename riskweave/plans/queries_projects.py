@@ -427,9 +427,9 @@ def e7(v: Views) -> DataFrame:
 # --- scalar functions on events, names, times -----------------------------------
 @query("f24_f25_times", f"""WITH t AS (SELECT id, created_at, date_diff('second', created_at, TIMESTAMP '2024-01-31 12:00:00') AS s0,
   CAST(floor((epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(created_at)) / 1000000) AS BIGINT) AS s FROM scan_events)
-SELECT id, strftime(created_at + INTERVAL '7' HOUR, '%d/%m/%Y %H:%M') AS local, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min' || CASE WHEN s // 60 > 1 THEN 's' ELSE '' END || ' ago'
+SELECT id, strftime(created_at + INTERVAL '7' HOUR, '%H:%M %-d thg %-m, %Y') AS local, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min' || CASE WHEN s // 60 > 1 THEN 's' ELSE '' END || ' ago'
   WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 > 1 THEN 's' ELSE '' END || ' ago' WHEN s < 2592000 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 > 1 THEN 's' ELSE '' END || ' ago'
-  ELSE strftime(created_at + INTERVAL '7' HOUR, '%d/%m/%Y') END AS age FROM t""")
+  ELSE strftime(created_at + INTERVAL '7' HOUR, '%-d thg %-m, %Y') END AS age FROM t""")
 def f24(v: Views) -> DataFrame:
     as_of = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     return v.scan_events.select("id", tx.local_time(F.col("created_at")).alias("local"), tx.relative_age(F.col("created_at"), as_of).alias("age"))
