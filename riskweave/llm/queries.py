@@ -9,12 +9,21 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe
-from riskweave.llm.common import table
+from riskweave.llm import bpe, packing, token_store
+from riskweave.llm.common import scratch, table
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch(spark, "tokens")
+    token_store.write_store(docs, folder, WORD_VOCABULARY, end=1)
+    return token_store.read_store(spark, folder).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     both = bpe.decode(ids, BYTE_RANKS)
@@ -32,8 +41,15 @@ def _decimals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_tokens", "decimal", "bytes"])
 
 
+def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": op4_byte_bpe}
+    return {
+        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op10_power_packing": op10_power_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
