@@ -46,7 +46,7 @@ def plain_space(pattern: str) -> str:
 class Encoder:
     """Ids of texts by merge ranks; a text is split by the pattern first."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
         self.find = regex.compile(plain_space(pattern)).findall
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -151,8 +151,8 @@ class Encoder:
 
     # -- texts -------------------------------------------------------------------
     def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        """Ids of chunks of text, each split by the pattern."""
-        split = [[m.encode("utf-8", "surrogatepass") for m in self.find(c)] for c in chunks]
+        """Ids of chunks as _cut gives them, each split by the pattern."""
+        split = [[m.encode("utf-8", "surrogatepass") for m in self.find(c[:-1] if c[-1:] == " " else " " + c)] for c in chunks]
         distinct = list({p for pieces in split for p in pieces})
         ids = dict(zip(distinct, self.pieces(distinct)))
         return (b"".join(map(ids.__getitem__, pieces)) for pieces in split)
@@ -167,21 +167,31 @@ class Encoder:
         return self.memo.join([self._cut(t) for t in texts])
 
     def _cut(self, text: str) -> list[str]:
+        """Chunks of a text: one that ends in a blank stands for what precedes that blank, any other for a blank and itself."""
         if not text:
             return []
-        first, *rest = text.split(" ")
-        if not first or rest and not rest[-1] or AWKWARD.search(text):
-            return self.find(text)
-        return [first, *map(" ".__add__, rest)]
+        parts = text.split(" ")
+        if not parts[0] or not parts[-1] or AWKWARD.search(text):
+            return [piece + " " for piece in self.find(text)]
+        parts[0] += " "
+        return parts
 
 
 class Decoder:
+    """Bytes and decimal text of ids."""
+
     def __init__(self, ranks: dict[bytes, int]):
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.token = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
+        self.name = list(map(str, range(len(self.token))))
 
     def __call__(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    def decimal(self, ids: list[int]) -> str:
+        return ",".join(map(self.name.__getitem__, ids))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:

@@ -54,34 +54,35 @@ def windows(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int
 
 
 class Memo:
-    """Bytes of every distinct piece, worked out once in a worker.
+    """Bytes of every distinct piece, worked out once a worker while they are in use.
 
-    At `most` entries the table is emptied and filled anew, so memory is bounded and
-    nothing is left out: a piece that comes again is worked out again.
+    Two generations of at most `most` pieces: a full one becomes the old one, and what is
+    asked for again moves back.  So memory is bounded and nothing is left out; a piece that
+    was forgotten is worked out again.
     """
 
-    def __init__(self, compute: Callable[[list], Iterable[bytes]], most: int = 1_000_000):
-        self.compute, self.most, self.table = compute, most, {}
+    def __init__(self, compute: Callable[[list], Iterable[bytes]], most: int = 250_000):
+        self.compute, self.most, self.young, self.old = compute, most, {}, {}
 
     def join(self, docs: list[list]) -> list[bytes]:
         """For each list of pieces, the bytes of its pieces in a row."""
-        table = self.table
         out: list[bytes | None] = []
         missing: set = set()
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         for pieces in docs:
-            got = list(map(table.get, pieces))
+            got = list(map(young.get, pieces))
             try:
                 out.append(b"".join(got))
             except TypeError:
                 out.append(None)
                 missing.update(p for p, g in zip(pieces, got) if g is None)
         if missing:
-            if len(table) + len(missing) > self.most:
-                table.clear()
-                missing.update(p for d, o in zip(docs, out) if o is None for p in d)
-            order = list(missing)
-            table.update(zip(order, self.compute(order)))
+            young.update((p, old[p]) for p in missing if p in old)
+            order = [p for p in missing if p not in young]
+            young.update(zip(order, self.compute(order)))
             for i, pieces in enumerate(docs):
                 if out[i] is None:
-                    out[i] = b"".join(map(table.__getitem__, pieces))
+                    out[i] = b"".join(map(young.__getitem__, pieces))
         return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweave.llm import bpe, packing, token_store
-from riskweave.llm.common import scratch, table
+from riskweave.llm.common import scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,21 +26,21 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, BYTE_RANKS)
-    return both.mapInArrow(_decimals, "doc_id long, n_tokens long, decimal string, bytes binary").select(
-        "doc_id", "n_tokens", F.sha2(F.col("decimal").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"))
+def _digests(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Number, decimal text and decoded bytes of each row's ids."""
+    decode = bpe.decoder(path)
+    for window in windows(batches, "ids", 1 << 22):
+        rows = [np.frombuffer(ids, "<u4").tolist() for ids in window.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [window.column("doc_id"), pa.array(map(len, rows), pa.int64()),
+             pa.array([hashlib.sha256(decode.decimal(r).encode()).hexdigest() for r in rows], pa.string()),
+             pa.array([hashlib.sha256(decode(r)).hexdigest() for r in rows], pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _decimals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count and decimal text of each row's ids."""
-    for batch in batches:
-        rows = [np.frombuffer(ids, "<u4").tolist() for ids in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(map(len, rows), pa.int64()), pa.array([",".join(map(str, r)) for r in rows]), batch.column("bytes")],
-            ["doc_id", "n_tokens", "decimal", "bytes"])
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return ids.mapInArrow(partial(_digests, path=BYTE_RANKS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

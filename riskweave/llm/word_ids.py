@@ -27,7 +27,7 @@ LETTERS = [_LETTER[b] for b in range(256)]
 class WordIds:
     """Encodes texts; ids are kept as little-endian unsigned integers of `width` bytes."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -43,7 +43,7 @@ class WordIds:
     def _model(self, piece: str) -> bytes:
         found = self.words.get(piece)
         if found is None:
-            if len(self.words) >= 300_000:
+            if len(self.words) >= 200_000:
                 self.words.clear()
             letters = "".join(map(LETTERS.__getitem__, piece.encode()))
             found = self.words[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.kind).tobytes()
