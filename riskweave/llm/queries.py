@@ -11,10 +11,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, packing, token_store
-from riskweave.llm.common import scratch, table, windows
+from riskweave.llm import bpe, packing, quality, token_store
+from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+QUALITY = 0.7
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -43,6 +44,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.mapInArrow(partial(_digests, path=BYTE_RANKS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keep(quality.measure(table(spark, sf_dir, "documents")), "statistics")
+    held_out = remainder("doc_id", 4) == 2
+    model = quality.fit(rows.where(~held_out), table(spark, sf_dir, "labels"))
+    return quality.score(rows, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= QUALITY, 1).otherwise(0).alias("predicted"))
+
+
 def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,7 +59,8 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op10_power_packing": op10_power_packing,
+        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality,
+        "op10_power_packing": op10_power_packing,
     }
 
 
