@@ -46,7 +46,7 @@ def plain_space(pattern: str) -> str:
 class Encoder:
     """Ids of texts by merge ranks; a text is split by the pattern first."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
         self.find = regex.compile(plain_space(pattern)).findall
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}

@@ -61,28 +61,21 @@ class Memo:
     was forgotten is worked out again.
     """
 
-    def __init__(self, compute: Callable[[list], Iterable[bytes]], most: int = 250_000):
+    def __init__(self, compute: Callable[[list], Iterable[bytes]], most: int = 400_000):
         self.compute, self.most, self.young, self.old = compute, most, {}, {}
 
     def join(self, docs: list[list]) -> list[bytes]:
         """For each list of pieces, the bytes of its pieces in a row."""
-        out: list[bytes | None] = []
-        missing: set = set()
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        for pieces in docs:
-            got = list(map(young.get, pieces))
-            try:
-                out.append(b"".join(got))
-            except TypeError:
-                out.append(None)
-                missing.update(p for p, g in zip(pieces, got) if g is None)
+        distinct = list(set().union(*docs))
+        here = dict(zip(distinct, map(young.get, distinct)))     # small and close by, unlike the whole memo
+        missing = [p for p, g in here.items() if g is None]
         if missing:
-            young.update((p, old[p]) for p in missing if p in old)
-            order = [p for p in missing if p not in young]
-            young.update(zip(order, self.compute(order)))
-            for i, pieces in enumerate(docs):
-                if out[i] is None:
-                    out[i] = b"".join(map(young.__getitem__, pieces))
-        return out
+            found = {p: g for p, g in zip(missing, map(old.get, missing)) if g is not None}
+            order = [p for p in missing if p not in found] if found else missing
+            found.update(zip(order, self.compute(order)))
+            here.update(found)
+            young.update(found)
+        return [b"".join(map(here.__getitem__, pieces)) for pieces in docs]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +17,10 @@ from tokenizers import Tokenizer
 
 from riskweave.llm.common import Memo
 
-# lower- or upper-case letters of ASCII and Latin-1, with at most one mark behind them
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+# ASCII and the composed letters of Latin-1: nothing to compose, and lower case letter by letter
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# the vocabulary's split over that alphabet
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 # byte-level alphabet: printable bytes stand for themselves, the others for 256 and above
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = dict(zip(_SELF, map(chr, _SELF))) | dict(zip((b for b in range(256) if b not in set(_SELF)), map(chr, range(256, 512))))
@@ -27,11 +30,12 @@ LETTERS = [_LETTER[b] for b in range(256)]
 class WordIds:
     """Encodes texts; ids are kept as little-endian unsigned integers of `width` bytes."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
         parts = json.dumps([steps["normalizer"], steps["pre_tokenizer"]])
@@ -43,18 +47,18 @@ class WordIds:
     def _model(self, piece: str) -> bytes:
         found = self.words.get(piece)
         if found is None:
-            if len(self.words) >= 200_000:
+            if len(self.words) >= 300_000:
                 self.words.clear()
             letters = "".join(map(LETTERS.__getitem__, piece.encode()))
-            found = self.words[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.kind).tobytes()
+            found = self.words[piece] = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
         return found
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         out, rest = [], []
         for i, chunk in enumerate(chunks):
             word = chunk.decode("utf-8", "replace")
-            if self.short and (m := PLAIN.fullmatch(word)):
-                out.append(self._model(m[1].lower()) + (self._model(m[2]) if m[2] else b""))
+            if self.short and PLAIN.fullmatch(word):
+                out.append(b"".join(map(self._model, SPLIT.findall(word.lower()))))
             else:
                 out.append(b"")
                 rest.append((i, word))
