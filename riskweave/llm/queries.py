@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, packing, quality, token_store
+from riskweave.llm import bpe, packing, quality, secret_tags, token_store
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.mapInArrow(partial(_digests, path=BYTE_RANKS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op5_secret_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_tags.scan(docs, secret_tags.fit(docs))
+    joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s.kind != "crf")).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(quality.measure(table(spark, sf_dir, "documents")), "statistics")
     held_out = remainder("doc_id", 4) == 2
@@ -59,7 +69,7 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality,
+        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
         "op10_power_packing": op10_power_packing,
     }
 
