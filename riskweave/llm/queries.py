@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, packing, quality, secret_tags, token_store
+from riskweave.llm import bpe, jaccard_join, packing, quality, secret_tags, token_store
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= QUALITY, 1).otherwise(0).alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,6 +74,7 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
+        "op7_jaccard_join": op7_jaccard_join,
         "op10_power_packing": op10_power_packing,
     }
 
