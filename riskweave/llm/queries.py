@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, jaccard_join, packing, quality, secret_tags, token_store
+from riskweave.llm import bpe, jaccard_join, m_tree, packing, quality, secret_tags, token_store, vp_search
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ QUALITY = 0.7
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = scratch(spark, "tokens")
@@ -66,6 +70,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m_tree.top_products(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,11 +81,27 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
+        "op2_vp_search": op2_vp_search, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
         "op7_jaccard_join": op7_jaccard_join,
+        "op9_m_tree": op9_m_tree,
         "op10_power_packing": op10_power_packing,
     }
 
 
+OP9_SQL = """
+WITH clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM clean q JOIN clean c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_m_tree": OP9_SQL}
