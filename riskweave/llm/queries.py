@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, jaccard_join, m_tree, packing, quality, secret_tags, token_store, vp_search
+from riskweave.llm import bpe, gru_lm, jaccard_join, m_tree, packing, quality, secret_tags, token_store, vp_search
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,16 @@ QUALITY = 0.7
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    learned = docs.where(~held_out)
+    counts = gru_lm.count_tokens(learned)
+    vocab = gru_lm.vocabulary(counts)
+    scores = gru_lm.score(docs, counts, vocab, gru_lm.train(learned, vocab))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -81,7 +91,7 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_vp_search": op2_vp_search, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
+        "op1_gru_lm": op1_gru_lm, "op2_vp_search": op2_vp_search, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
         "op7_jaccard_join": op7_jaccard_join,
         "op9_m_tree": op9_m_tree,
         "op10_power_packing": op10_power_packing,
