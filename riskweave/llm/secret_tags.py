@@ -36,7 +36,7 @@ KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 MARKS = "\"'`,;.!?()[]{}<>|*%$&#"
-OWN_LIMIT, AROUND_LIMIT, TURN_LIMIT = 5.0, 0.5, 1.0
+OWN_LIMIT, AROUND_LIMIT, TURN_LIMIT = 5.0, 0.3, 0.6
 AROUND = ("<key", "<mark", "<long", ">key", ">mark", ">long", "|keys", "|code")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -81,9 +81,14 @@ def shape(word: str) -> list[str]:
             f"mark{'=' in word or ':' in word}/{kind}", f"at{'@' in word or '//' in word or word.count('.') >= 3}"]
 
 
+HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza", "eyJ", "npm_", "hf_")
+HINTS = ("passw", "secret", "token", "api", "credential", "bearer", "private", "auth")
+TELLING = re.compile("|".join(HEADS) + "|(?i:" + "|".join(HINTS) + ")")
+
+
 def _family(core: str) -> str:
     """Opening that well-known credentials carry."""
-    for head in ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza", "eyJ", "npm_", "hf_"):
+    for head in HEADS:
         if head in core:
             return head
     return ""
@@ -91,7 +96,7 @@ def _family(core: str) -> str:
 
 def _key(word: str) -> str:
     low = word.lower()
-    return next((k for k in ("passw", "secret", "token", "api", "credential", "bearer", "private", "auth") if k in low), "")
+    return next((k for k in HINTS if k in low), "")
 
 
 def beside(word: str) -> list[str]:
@@ -131,7 +136,7 @@ class Tagger:
         """Whether the token could be anything but outside in some place."""
         text = word.decode("utf-8", "replace")
         core, known = text.strip(MARKS), None
-        if core.isalpha() and not _family(core) and not _key(text):
+        if core.isalpha() and not TELLING.search(text):
             # letters alone: the features are functions of these few values
             known = (len(core) // 4, core.islower(), core.isupper(), 10 * len(set(core)) // len(core), "=" in text or ":" in text)
             if known in self.plain:
@@ -325,24 +330,32 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tagger | None:
 class Scanner:
     """All spans of texts: the patterns', and the CRF's where it meets none of them."""
 
-    def __init__(self, tagger: Tagger | None, most: int = 400_000):
-        self.tagger, self.most, self.sure = tagger, most, {}
+    def __init__(self, tagger: Tagger | None, most: int = 300_000):
+        self.tagger, self.most = tagger, most
+        # words that are outside wherever they stand, in two generations, and words that may not be
+        self.sure, self.older, self.maybe = set(), set(), set()
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         base = base_spans(text)
         if self.tagger is None:
             return base
         words = text.encode("utf-8", "replace").split()
-        flags = list(map(self.sure.get, words))
-        if None in flags:
+        left = set(words) - self.sure
+        if left:
+            again = left & self.older
+            fresh = left - again - self.maybe
+            bad = {w for w in fresh if self.tagger.unsure(w)}
+            self.sure |= again
+            self.sure |= fresh - bad
+            left = left & self.maybe | bad
+            self.maybe |= bad
             if len(self.sure) > self.most:
-                self.sure.clear()
-            for word in {w for w, f in zip(words, flags) if f is None}:
-                self.sure[word] = self.tagger.unsure(word)
-            flags = [self.tagger.unsure(w) if f is None else f for w, f in zip(words, map(self.sure.get, words))]
-        if True not in flags:
+                self.sure, self.older = set(), self.sure
+            if len(self.maybe) > self.most:
+                self.maybe = set(left)
+        if not left:
             return base
-        found = [(a, b, "crf") for a, b in self.tagger.spans(text, flags) if not any(x < b and y > a for x, y, _ in base)]
+        found = [(a, b, "crf") for a, b in self.tagger.spans(text, [w in left for w in words]) if not any(x < b and y > a for x, y, _ in base)]
         return sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
