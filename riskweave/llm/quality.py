@@ -128,3 +128,14 @@ def _scored(batches: Iterable[pa.RecordBatch], model: Model | None) -> Iterator[
 def score(rows: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every row of statistics; without a model each score is 0.5."""
     return rows.mapInArrow(partial(_scored, model=model), "doc_id long, score double")
+
+
+def _good(batches: Iterable[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
+    for window in windows(batches):
+        x = np.array([statistics(t or "") for t in window.column("text").to_pylist()])
+        yield window.filter(pa.array(model.score(x) >= least))
+
+
+def filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, all their columns, whose text scores at `least` or above; a null text scores as empty."""
+    return docs.mapInArrow(partial(_good, model=model, least=least), docs.schema)
