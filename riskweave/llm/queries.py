@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, gru_lm, jaccard_join, m_tree, packing, quality, secret_tags, token_store, vp_search
+from riskweave.llm import bpe, gru_lm, jaccard_join, license_scan, m_tree, packing, quality, secret_tags, token_store, vp_search
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    return found.select(
+        "doc_id", "paragraphs", F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("notices.family")), ",").alias("families"),
+        F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n.family, n.start, n.end)), ",").alias("notices"))
+
+
 def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m_tree.top_products(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -93,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_gru_lm": op1_gru_lm, "op2_vp_search": op2_vp_search, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
         "op7_jaccard_join": op7_jaccard_join,
-        "op9_m_tree": op9_m_tree,
+        "op8_license_scan": op8_license_scan, "op9_m_tree": op9_m_tree,
         "op10_power_packing": op10_power_packing,
     }
 
