@@ -256,11 +256,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shared_slices(rows: DataFrame, within: str | None) -> DataFrame:
-    """Edges between each document and the first one in each of its regions; rows: node, slices and maybe the group they stand in."""
+    """Edges that connect all documents of each region; rows: node, slices and maybe the group they stand in.
+
+    Every document points at the first one of each of its regions.  Of these (no more than it has
+    slices) the smallest takes the others, so a cluster of many regions keeps one edge a document
+    and a few between its firsts.
+    """
     of = ["key"] + ([within] if within else [])
     each = rows.select("node", F.explode("slices").alias("key"), *([within] if within else []))
     first = each.groupBy(*of).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    return each.join(first, of).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    firsts = each.join(first, of).groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("firsts"))
+    return firsts.select(F.col("firsts")[0].alias("a"), F.explode(F.array_union(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(1))), F.array("node"))).alias("b")).where("a <> b").distinct()
+
+
+FILTER_BITS = 1 << 23
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ids (with doc_id) and the text of that document.
+
+    A bit map over id hashes, at most FILTER_BITS / 64 rows whatever the number of ids, leaves out
+    nearly all other documents before the texts are shuffled; with more ids than bits it leaves out
+    little, and the join is the same.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(bit("doc_id").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    texts = documents(docs).withColumnRenamed("doc_id", "id").withColumn("bit", bit("id"))
+    some = texts.join(F.broadcast(words), F.expr("bit div 64 = word")).where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1").select("id", "text")
+    return ids.join(some, F.col("doc_id") == F.col("id")).drop("id")
 
 
 # -- large groups ------------------------------------------------------------------------
@@ -332,19 +356,18 @@ def similar_sets(docs: DataFrame, base: DataFrame, k: int, num: int, den: int, t
     first = names.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     members = keep(group.join(first, "node"), "members")
     roots, salt = [], 0
-    texts = documents(docs).withColumnRenamed("doc_id", "id")
     while True:
         weight = members.groupBy("comp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"))
         sized = keep(members.join(weight, "comp"), "sized")
         fits = sized.where((F.col("weight") <= task) & (F.col("n") > 1)).select("comp", "doc_id")
-        rows = fits.join(texts, F.col("doc_id") == F.col("id")).select("comp", "text").repartition("comp").sortWithinPartitions("comp")
+        rows = _texts_of(fits, docs).select("comp", "text").repartition("comp").sortWithinPartitions("comp")
         roots.append(keep(rows.mapInArrow(partial(_join_groups, k=k, num=num, den=den), "node long, root long"), "roots"))
         large = sized.where(F.col("weight") > task)
         left = large.count()
         if not left:
             break
         salt += 1
-        full = keep(large.select("comp", "doc_id", "node").join(texts, F.col("doc_id") == F.col("id")).select("comp", "doc_id", "node", "text"), "large")
+        full = keep(_texts_of(large.select("comp", "doc_id", "node"), docs), "large")
         cut = keep(full.select("comp", "text").mapInArrow(partial(_again, k=k, num=num, den=den, salt=salt), "comp long, node long, n_shingles long, slices array<long>"), "cut")
         again = _shared_slices(cut, "comp")
         group = components(again) if again.limit(1).count() else None
