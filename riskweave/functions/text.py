@@ -48,7 +48,7 @@ def widened_snippet(snippet: Column, context: Column) -> Column:
 
 
 def default_evidence(evidence: Column, snippet: Column) -> Column:
-    return F.coalesce(missing(evidence), F.substring(snippet, 1, 200))
+    return F.coalesce(missing(evidence), snippet)
 
 
 # F14 ----------------------------------------------------------------------
@@ -240,7 +240,7 @@ def guidance_text(hint, vuln_type, title, cwe, owasp) -> Column:
 # F29 ----------------------------------------------------------------------
 def slugify(text: Column) -> Column:
     dashed = F.regexp_replace(F.lower(strip(text)), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, "(^-|-$)", ""), 1, 64)
+    return F.regexp_replace(dashed, "(^-|-$)", "")
 
 
 def normalise_email(email: Column) -> Column:
@@ -254,7 +254,7 @@ def is_valid_email(email: Column) -> Column:
 # F30 / F31 / F32 -----------------------------------------------------------
 def reference_links(references: Column) -> Column:
     parts = F.filter(F.transform(F.split(F.coalesce(references, F.lit("")), r"[\n,]+"), strip), lambda s: s != "")
-    return F.transform(parts, lambda s: F.substring(F.regexp_replace(s, "^https?://", ""), 1, 60))
+    return F.transform(parts, lambda s: F.regexp_replace(s, "^https?://", ""))
 
 
 def line_range(start: Column, end: Column, number: Column) -> Column:
@@ -295,7 +295,7 @@ def related_locations(trace: Column, path: Column, line_start: Column) -> Column
 # F34 ----------------------------------------------------------------------
 def reviewer_prompt(f) -> Column:
     """Message text for one finding; f maps a field name to its column."""
-    snippet = F.substring(first_text(f("code_snippet"), f("evidence")), 1, fv.PROMPT_SNIPPET)
+    snippet = first_text(f("code_snippet"), f("evidence"))
     or_text = lambda c, d: F.coalesce(missing(c), F.lit(d))
     return F.concat(
         F.lit("Rule: "), f("rule_id"), F.lit("\nTitle: "), f("title"),

@@ -383,14 +383,14 @@ def sort_mode(mode: str) -> list[Column]:
     }[mode]
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, most: int = 100,
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20,
          at_least_one: bool = True) -> DataFrame:
     """One page with its envelope columns page, total and total_pages.
 
     The page is a top-k with offset; the total is a scalar subquery over the same
     rows, so nothing is joined or collected.
     """
-    number, size = max(1, number), min(most, max(1, size))
+    number, size = max(1, number), max(1, size)
     counted = df.agg(F.count(F.lit(1)).alias("n"))
     pages = F.ceil(F.col("total") / size)
     return (
@@ -411,28 +411,29 @@ def page_per_scope(df: DataFrame, scope: str, order: list[Column], number: int,
         "page": F.lit(number), "total_pages": F.greatest(F.ceil(F.col("total") / size), F.lit(1))})
 
 
-def newest(df: DataFrame, limit: int, most: int, tie: str) -> DataFrame:
-    """O4, O6: most recent rows first, the limit kept inside 1..most."""
-    return df.orderBy(F.desc("created_at"), F.desc(tie)).limit(min(most, max(1, limit)))
+def newest(df: DataFrame, limit: int | None, tie: str) -> DataFrame:
+    """O4, O6: most recent rows first, as many as the caller asks for; None: all."""
+    ordered = df.orderBy(F.desc("created_at"), F.desc(tie))
+    return ordered if limit is None else ordered.limit(max(1, limit))
 
 
-def pending_invites(invites: DataFrame, organization_id=None, limit: int = 100) -> DataFrame:
+def pending_invites(invites: DataFrame, organization_id=None, limit: int | None = None) -> DataFrame:
     out = invites.filter("status = 'pending'")
     if organization_id is not None:
         out = out.filter(F.col("organization_id") == organization_id)
-    return newest(out, limit, 100, "id")
+    return newest(out, limit, "id")
 
 
-def active_grants(grants: DataFrame, as_of: Column, actor: str | None = None, limit: int = 50) -> DataFrame:
+def active_grants(grants: DataFrame, as_of: Column, actor: str | None = None, limit: int | None = None) -> DataFrame:
     out = grants.filter((F.col("expires_at") > as_of) & F.col("revoked_at").isNull())
     if actor is not None:
         out = out.filter(F.col("actor_id") == actor)
-    return newest(out, limit, 50, "id")
+    return newest(out, limit, "id")
 
 
-def project_tokens(tokens: DataFrame, project_id=None, limit: int = 50) -> DataFrame:
+def project_tokens(tokens: DataFrame, project_id=None, limit: int | None = None) -> DataFrame:
     out = tokens if project_id is None else tokens.filter(F.col("project_id") == project_id)
-    return newest(out.drop("token_hash"), limit, 50, "id")
+    return newest(out.drop("token_hash"), limit, "id")
 
 
 # O5 / J14 -----------------------------------------------------------------
@@ -440,10 +441,11 @@ def display_name(name: Column, email: Column) -> Column:
     return F.coalesce(missing(name), missing(email), F.lit("A user"))
 
 
-def finding_timeline(events: DataFrame, users: DataFrame, limit: int = 200) -> DataFrame:
+def finding_timeline(events: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
     """Oldest events of every finding, with who did it and a readable comment."""
     order = W.partitionBy("finding_id").orderBy("created_at", "id")
-    kept = events.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit)
+    kept = events.withColumn("nth", F.row_number().over(order))
+    kept = kept if limit is None else kept.filter(F.col("nth") <= limit)
     who = users.select(F.col("user_id"), F.col("name").alias("user_name"), F.col("email").alias("user_email"))
     return kept.join(who, "user_id", "left").withColumns({
         "actor": display_name(F.col("user_name"), F.col("user_email")),

@@ -218,8 +218,11 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
         marked.select("scan_id", "file_path", F.concat(*parts).alias("hits"), split_lines(content).alias("lines"))
         .withColumn("names", function_names(F.col("lines"), strict))
     )
-    placed = F.transform("hits", lambda h: F.struct(
-        h["family"].alias("family"), h["rule"].alias("rule"), h["pos"].alias("pos"), h["kind"].alias("kind"),
+    # one row a hit first: the surroundings are then plain columns, in memory for one hit at a
+    # time, and absent from the plan where nobody asks for them
+    h = F.col("h")
+    return found.select("scan_id", "file_path", "lines", "names", F.explode("hits").alias("h")).select(
+        "scan_id", "file_path", h["family"].alias("family"), h["rule"].alias("rule"), h["pos"].alias("pos"), h["kind"].alias("kind"),
         F.when(h["family"] == TAINT, F.coalesce(F.get(F.col("lines"), h["line"] - 1), F.lit("")))
         .otherwise(h["snippet"]).alias("snippet"),
         h["line"].alias("line"),
@@ -227,8 +230,7 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
         # a position past the last line looks up from the last line
         enclosing_function(F.col("names"), F.greatest(F.least(h["line"], F.size("lines")), F.lit(1)))
         .alias("context_function"),
-    ))
-    return found.select("scan_id", "file_path", F.explode(placed).alias("p")).select("scan_id", "file_path", "p.*")
+    )
 
 
 def _by_rule(rules: list[dict], field: str) -> Column:
@@ -355,7 +357,7 @@ def taint_findings_of(hits: DataFrame) -> DataFrame:
         F.lit(7.5).alias("cvss4_score"), F.lit(0.9).alias("confidence"),
         _by_rule(rules, "cwe_id").alias("cwe_id"), _by_rule(rules, "owasp").alias("owasp_category"),
         F.col("line").alias("line_number"), text.alias("code_snippet"),
-        F.substring(text, 1, 200).alias("evidence"), _by_rule(rules, "rule_id").alias("rule_id"),
+        text.alias("evidence"), _by_rule(rules, "rule_id").alias("rule_id"),
         F.lit(common["impact"]).alias("impact"), F.lit(common["attack_scenario"]).alias("attack_scenario"),
         F.lit(common["poc"]).alias("poc"), F.lit(common["remediation"]).alias("remediation"),
         F.lit(common["secure_example"]).alias("secure_example"),
@@ -430,27 +432,25 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 # D6 / J12 / W5 -------------------------------------------------------------
-def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """The first advisories of every dependency, by advisory rank.
+def match_advisories(deps: DataFrame, advisories: DataFrame, limit: int | None = None) -> DataFrame:
+    """The advisories of every dependency, numbered by advisory rank; all of them unless a limit is named.
 
-    Advisories are cut to the kept few per package version before the join, so a
-    package with very many advisories or very many users joins a short list.
+    Numbers are given per package version before the join, so they cost no sort of the dependencies.
     """
     key = ["ecosystem", "package", "version"]
     best = W.partitionBy(*key).orderBy("rank", "vuln_id")
-    kept = (advisories.withColumn("nth", F.row_number().over(best))
-            .filter(F.col("nth") <= fv.ADVISORIES_PER_DEPENDENCY))
-    return deps.join(kept, key, "inner")
+    kept = advisories.withColumn("nth", F.row_number().over(best))
+    return deps.join(kept if limit is None else kept.filter(F.col("nth") <= limit), key, "inner")
 
 
-def advisory_findings(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def advisory_findings(deps: DataFrame, advisories: DataFrame, limit: int | None = None) -> DataFrame:
     t = fv.ADVISORY_TEXT
     npm = F.col("ecosystem") == "npm"
     pinned = F.when(npm, F.concat_ws("@", "package", "declared")).otherwise(F.concat_ws("==", "package", "version"))
     patched = F.when(npm, F.concat(F.lit('"'), F.col("package"), F.lit('": "<patched_version>"'))) \
         .otherwise(F.concat("package", F.lit("==<patched_version>")))
     vuln = F.col("vuln_id")
-    return as_raw_findings(match_advisories(deps, advisories).select(
+    return as_raw_findings(match_advisories(deps, advisories, limit).select(
         "scan_id", "file_path",
         seq(4, F.concat_ws(":", F.when(npm, "0").otherwise("1"), "package", "version"), 0, F.col("nth")).alias("seq"),
         F.lit("trivy").alias("engine"), F.coalesce("summary", F.lit(t["title"])).alias("title"),

@@ -34,7 +34,7 @@ def finding_events(before: DataFrame, after: DataFrame) -> DataFrame:
         F.when(missing(s).isNotNull() & ~s.eqNullSafe(F.col("_s")), _event("status_changed", F.col("_s"), s)),
         F.when(missing(v).isNotNull() & ~v.eqNullSafe(F.col("_v")),
                _event("verification_status_changed", F.col("_v"), v)),
-        F.when(missing(note).isNotNull(), _event("comment", nothing, nothing, F.substring(note, 1, fv.COMMENT_LIMIT))),
+        F.when(missing(note).isNotNull(), _event("comment", nothing, nothing, note)),
         F.when(changed_assignee, _event(F.when(a.isNull(), "unassigned").otherwise("assigned"), F.col("_a"), a)),
     )
     return joined.select(F.col("id").alias("finding_id"), actor.alias("user_id"),
@@ -231,11 +231,6 @@ def resolve_invites(replies: DataFrame, invites: DataFrame, as_of: Column) -> Da
 
 
 # E7 -----------------------------------------------------------------------
-def preset_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, e, t, a, v) for n, e, t, a, v in fv.POLICY_PRESETS]
-    return spark.createDataFrame(rows, "preset string, engines array<string>, threshold string, ai boolean, verify boolean")
-
-
 def apply_presets(policies: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen(project_id, preset) over policies: an upsert by project.
 

@@ -71,13 +71,14 @@ def validate_uploads(uploads: DataFrame) -> DataFrame:
 def validate_updates(updates: DataFrame) -> DataFrame:
     """updates(status, verification_status, comment) -> reason and the stored comment."""
     s, v = missing(F.col("status")), missing(F.col("verification_status"))
+    comment = tx.strip(F.coalesce("comment", F.lit("")))
     reason = (
         F.when(s.isNotNull() & ~s.isin(*fv.FINDING_STATUSES), "invalid_status")
         .when(v.isNotNull() & ~v.isin(*fv.VERIFICATION_STATUSES), "invalid_verification")
         .when(s.isNull() & v.isNull(), "nothing_to_update")
+        .when(F.length(comment) > fv.COMMENT_LIMIT, "too_long")
     )
-    return updates.withColumn("reason", reason).withColumn(
-        "stored_comment", F.substring(tx.strip(F.coalesce("comment", F.lit(""))), 1, fv.COMMENT_LIMIT))
+    return updates.withColumn("reason", reason).withColumn("stored_comment", comment)
 
 
 # P18 ----------------------------------------------------------------------

@@ -41,23 +41,21 @@ def heuristic_triage(findings: DataFrame) -> DataFrame:
 
 
 # W3 -----------------------------------------------------------------------
-def review_candidates(findings: DataFrame, limit: int = fv.REVIEWER_LIMIT) -> DataFrame:
-    """The unverified findings a reviewer sees first, a fixed number per scan.
+def review_candidates(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """The unverified findings in a reviewer's order; all of them, or the first `limit` per scan.
 
-    The rank limit is pushed below the shuffle, so a scan of any size sends only
-    `limit` rows per task.
+    A limit is pushed below the shuffle, so a scan of any size sends only that many rows per task.
     """
     rank = W.partitionBy("scan_id").orderBy(
         sc.severity_rank(F.col("severity")).desc(), F.desc("confidence"), F.asc("seq"))
-    return (findings.filter("verification_status = 'unverified'")
-            .withColumn("review_rank", F.row_number().over(rank))
-            .filter(F.col("review_rank") <= limit))
+    ranked = findings.filter("verification_status = 'unverified'").withColumn("review_rank", F.row_number().over(rank))
+    return ranked if limit is None else ranked.filter(F.col("review_rank") <= limit)
 
 
 # F34 ----------------------------------------------------------------------
-def review_queue(findings: DataFrame) -> DataFrame:
+def review_queue(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates with the text a reviewer gets."""
-    return review_candidates(findings).select(
+    return review_candidates(findings, limit).select(
         "scan_id", "seq", "review_rank", tx.reviewer_prompt(F.col).alias("prompt"))
 
 
@@ -65,22 +63,28 @@ def review_queue(findings: DataFrame) -> DataFrame:
 _TEXTS = ["why_vulnerable", "exploitability", "false_positive_reason", "remediation", "secure_example", "pentest_hint"]
 
 
-def apply_verdicts(findings: DataFrame, verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Reviewer verdicts over the candidates; the rest falls back to the heuristics.
+def apply_verdicts(findings: DataFrame, verdicts: DataFrame, keys: list[str] | None = None,
+                   limit: int | None = None) -> DataFrame:
+    """Every verdict on an unverified finding; findings without one fall back to the heuristics.
+
+    With a limit, the first `limit` candidates of each scan count as sent to the reviewer:
+    verdicts beyond them are not used, and a candidate without an answer needs review.
 
     verdicts: keys + confidence_delta, verification_status and the six texts.
     """
     keys = keys or ["scan_id", "seq"]
-    picked = review_candidates(findings).select(*keys, F.lit(True).alias("_candidate"))
     v = verdicts.select(*keys, F.lit(True).alias("_judged"),
                         F.col("confidence_delta").alias("_delta"), F.col("verification_status").alias("_status"),
                         *[F.col(t).alias(f"_{t}") for t in _TEXTS])
-    # only candidates are judged, so verdicts meet the short candidate list first
-    judged = picked.join(v, keys, "left")
+    if limit is None:
+        judged = v.withColumn("_candidate", F.lit(True))
+    else:
+        # only candidates are judged, so verdicts meet the short candidate list first
+        judged = review_candidates(findings, limit).select(*keys, F.lit(True).alias("_candidate")).join(v, keys, "left")
     delta = F.least(F.greatest(F.coalesce("_delta", F.lit(0.0)), F.lit(-0.30)), F.lit(0.10))
     status = F.when(F.col("_status").isin("needs_review", "false_positive_likely"), F.col("_status")) \
         .otherwise("needs_review")
-    candidate = F.coalesce("_candidate", F.lit(False))
+    candidate = F.coalesce("_candidate", F.lit(False)) & (F.col("verification_status") == "unverified")
     use = candidate & F.coalesce("_judged", F.lit(False))
     applied = findings.join(judged, keys, "left").withColumns({
         "confidence": F.when(use, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + delta)))

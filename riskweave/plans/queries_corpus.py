@@ -58,13 +58,22 @@ def d1(v: Views) -> DataFrame:
         "scan_id", "file_path", "rule_id", F.col("line_start").alias("line"), F.col("code_snippet").alias("snippet"))
 
 
-@query("d2_script_sinks", f"""WITH n AS (SELECT 'dangerouslySetInnerHTML' AS needle, 'regex-js.dangerouslysetinnerhtml' AS rule_id UNION ALL SELECT 'eval(', 'regex-js.eval' UNION ALL SELECT 'new Function(', 'regex-js.new function')
+_D2_SQL = f"""WITH n AS (SELECT 'dangerouslySetInnerHTML' AS needle, 'regex-js.dangerouslysetinnerhtml' AS rule_id UNION ALL SELECT 'eval(', 'regex-js.eval' UNION ALL SELECT 'new Function(', 'regex-js.new function')
 SELECT scan_id, file_path, rule_id, CAST(1 + len(p) - len(replace(p, chr(10), '')) AS INT) AS line FROM (SELECT scan_id, file_path, rule_id, substr(content, 1, strpos(content, needle) - 1) AS p
-  FROM source_files, n WHERE {_SUFFIX} IN ('.js', '.jsx', '.ts', '.tsx') AND contains(content, needle))""")
+  FROM source_files, n WHERE {_SUFFIX} IN ('.js', '.jsx', '.ts', '.tsx') AND contains(content, needle))"""
+
+
+@query("d2_script_sinks", _D2_SQL)
 def d2(v: Views) -> DataFrame:
     return d.js_sink_findings(v.source_files).select("scan_id", "file_path", "rule_id", F.col("line_start").alias("line"))
 
 
+def rule_hits_sql() -> str:
+    """Hits of the pattern, script and secret rules together."""
+    parts = [_hits_sql(_D1, _SCANNABLE), _D2_SQL, _hits_sql(_D7, "true")]
+    return " UNION ALL ".join(f"SELECT scan_id, file_path, rule_id, line FROM ({p})" for p in parts)
+
+
 def _components(v: Views) -> DataFrame:
     """One small script component per part, written from its columns."""
     return v.sql("""SELECT p_brand AS scan_id, 'ui/c' || CAST(p_partkey AS STRING) || CASE WHEN p_size % 2 = 0 THEN '.tsx' ELSE '.JS' END AS file_path,
@@ -126,7 +135,7 @@ def _advisories(v: Views) -> DataFrame:
 top AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package, version ORDER BY rank, vuln_id) AS nth FROM adv)
 SELECT d.scan_id, t.vuln_id AS rule_id, t.summary AS title, CASE WHEN d.ecosystem = 'npm' THEN 'package.json' ELSE 'requirements.txt' END AS file_path,
   CASE WHEN d.ecosystem = 'npm' THEN 'express@^' || d.version ELSE 'Flask==' || d.version END AS source
-FROM deps d JOIN top t ON d.ecosystem = t.ecosystem AND d.package = t.package AND d.version = t.version WHERE nth <= 3""")
+FROM deps d JOIN top t ON d.ecosystem = t.ecosystem AND d.package = t.package AND d.version = t.version""")
 def d6(v: Views) -> DataFrame:
     """J12 and W5 inside: short advisory lists meet the dependencies."""
     return d.advisory_findings(d.dependencies(_manifests(v)), _advisories(v)).select("scan_id", "rule_id", "title", "file_path", "source")
@@ -255,7 +264,7 @@ def s3(v: Views) -> DataFrame:
 @query("w4_archive_limits", """SELECT doc_id || '.zip' AS archive, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS total_size, CAST(2 AS BIGINT) AS member_count, doc_id % 10 = 0 AS unsafe,
   octet_length(encode(text)) + 1 > 20000 AS too_large, NOT (doc_id % 10 = 0 OR octet_length(encode(text)) + 1 > 20000) AS accepted FROM documents""")
 def w4(v: Views) -> DataFrame:
-    verdicts = co.archive_verdicts(co.expand_archives(_archives(v)).drop("content"), max_bytes=20000, max_files=2)
+    verdicts = co.archive_verdicts(co.expand_archives(_archives(v), co.ArchiveLimits(20000, 2)).drop("content"), co.ArchiveLimits(20000, 2))
     return verdicts.select("archive", "total_size", "member_count", "unsafe", "too_large", "accepted")
 
 
@@ -298,7 +307,7 @@ def a14(v: Views) -> DataFrame:
 def s8(v: Views) -> DataFrame:
     lines = v.sql("""SELECT ' Case' || CAST(doc_id AS STRING) || ',' || CASE WHEN toxic = 1 THEN 'TRUE ' ELSE 'false' END || ',' || CAST(doc_id % 100 AS STRING) ||
         CASE WHEN quality = 1 THEN ',"Good, kind"' ELSE '' END AS value FROM {labels}
-      UNION ALL SELECT '# comment,' || CAST(doc_id AS STRING) || ',1' FROM {labels} UNION ALL SELECT 'short,' || CAST(doc_id AS STRING) FROM {labels} UNION ALL SELECT '' FROM {labels}""")
+      UNION ALL SELECT '# comment,' || CAST(doc_id AS STRING) || ',1' FROM {labels} UNION ALL SELECT 'short,' || CAST(doc_id AS STRING) FROM {labels} UNION ALL SELECT 'a,"b,c"' FROM {labels} UNION ALL SELECT '"#q",true,1' FROM {labels} UNION ALL SELECT '' FROM {labels}""")
     return xr.parse_truth(lines)
 
 

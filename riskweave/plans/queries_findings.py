@@ -184,7 +184,7 @@ def r1(v: Views) -> DataFrame:
 @query("w3_review_candidates", f"""SELECT id, scan_id, CAST(k AS INT) AS review_rank FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
   ORDER BY {_RANK} DESC, confidence DESC, seq) AS k FROM scan_findings WHERE verification_status = 'unverified') WHERE k <= 25""")
 def w3(v: Views) -> DataFrame:
-    return tr.review_candidates(v.scan_findings).select("id", "scan_id", "review_rank")
+    return tr.review_candidates(v.scan_findings, 25).select("id", "scan_id", "review_rank")
 
 
 def _verdicts(v: Views) -> DataFrame:
@@ -197,16 +197,16 @@ def _verdicts(v: Views) -> DataFrame:
 
 
 @query("r2_reviewer_verdicts", _HEUR + f""", cand AS (SELECT scan_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY scan_id
-  ORDER BY {_RANK} DESC, confidence DESC, seq) AS k FROM scan_findings WHERE verification_status = 'unverified') WHERE k <= 25),
+  ORDER BY {_RANK} DESC, confidence DESC, seq) AS k FROM scan_findings WHERE verification_status = 'unverified')),
 supp AS (SELECT DISTINCT l_orderkey AS scan_id, l_suppkey AS s FROM lineitem WHERE l_returnflag <> 'R'),
-j AS (SELECT h.*, cand.seq IS NOT NULL AS c, supp.s AS s FROM h LEFT JOIN cand ON h.scan_id = cand.scan_id AND h.seq = cand.seq
+j AS (SELECT h.*, cand.seq IS NOT NULL AND supp.s IS NOT NULL AS c, supp.s AS s FROM h LEFT JOIN cand ON h.scan_id = cand.scan_id AND h.seq = cand.seq
   LEFT JOIN supp ON h.scan_id = supp.scan_id AND CAST(substr(h.seq, 19, 8) AS BIGINT) = supp.s)
-SELECT id, CASE WHEN c AND s IS NULL THEN 'needs_review' WHEN c THEN CASE WHEN s % 3 = 0 THEN 'false_positive_likely' ELSE 'needs_review' END
+SELECT id, CASE WHEN c THEN CASE WHEN s % 3 = 0 THEN 'false_positive_likely' ELSE 'needs_review' END
     WHEN k = 0 THEN verification_status WHEN k IN (2, 3) THEN 'false_positive_likely' ELSE 'needs_review' END AS verification_status,
-  round(CASE WHEN c AND s IS NULL THEN confidence WHEN c THEN greatest(0.0, least(1.0, confidence + CASE s % 4 WHEN 0 THEN -0.3 WHEN 1 THEN 0.05 WHEN 2 THEN 0.1 ELSE -0.1 END))
+  round(CASE WHEN c THEN greatest(0.0, least(1.0, confidence + CASE s % 4 WHEN 0 THEN -0.3 WHEN 1 THEN 0.05 WHEN 2 THEN 0.1 ELSE -0.1 END))
     WHEN k = 2 THEN least(confidence, 0.55) WHEN k = 3 THEN least(confidence, 0.4) ELSE confidence END, 6) AS confidence,
-  CASE WHEN c AND s IS NOT NULL AND s % 2 = 0 THEN 'judged' ELSE why_vulnerable END AS why_vulnerable,
-  CASE WHEN c AND s IS NOT NULL THEN 'stage it' ELSE pentest_hint END AS pentest_hint FROM j""")
+  CASE WHEN c AND s % 2 = 0 THEN 'judged' ELSE why_vulnerable END AS why_vulnerable,
+  CASE WHEN c THEN 'stage it' ELSE pentest_hint END AS pentest_hint FROM j""")
 def r2(v: Views) -> DataFrame:
     texts = {n: F.lit("") for n in ("exploitability", "false_positive_reason")}
     out = tr.apply_verdicts(v.scan_findings.withColumns(texts), _verdicts(v))
@@ -302,7 +302,7 @@ def f12(v: Views) -> DataFrame:
 
 @query("f13_f14_snippet_explanation", """WITH c AS (SELECT *, CASE WHEN line_number % 2 = 0 THEN '' ELSE '  ctx ' || file_path || chr(10) || ' end ' END AS ctx FROM scan_findings),
 w AS (SELECT *, CASE WHEN ctx <> '' AND code_snippet <> '' THEN trim(ctx) ELSE code_snippet END AS snip FROM c)
-SELECT id, snip AS snippet, CASE WHEN evidence <> '' THEN evidence ELSE substr(snip, 1, 200) END AS evidence,
+SELECT id, snip AS snippet, CASE WHEN evidence <> '' THEN evidence ELSE snip END AS evidence,
   CASE WHEN why_vulnerable <> '' THEN why_vulnerable ELSE scan_category || ' finding from ' || engine || '. Source: ' || coalesce(nullif(source, ''), 'not proven')
   || '; sink: ' || coalesce(nullif(sink, ''), 'not proven') || '. ' || attack_scenario END AS why FROM w""")
 def f13(v: Views) -> DataFrame:
@@ -378,7 +378,7 @@ def f30(v: Views) -> DataFrame:
 @query("f34_review_prompt", """SELECT id, 'Rule: ' || rule_id || chr(10) || 'Title: ' || title || chr(10) || 'CWE: ' || cwe_id || '  OWASP: ' || owasp_category || chr(10) ||
   'Severity: ' || severity || '  Confidence: ' || printf('%.2f', confidence) || chr(10) || 'File: ' || file_path || '  Lines: ' || line_start || '-' || line_end || chr(10) ||
   'Source: ' || coalesce(nullif(source, ''), 'unknown') || '  →  Sink: ' || coalesce(nullif(sink, ''), 'unknown') || chr(10) || chr(10) || 'Code snippet:' || chr(10) || '```' || chr(10) ||
-  substr(coalesce(nullif(code_snippet, ''), evidence), 1, 600) || chr(10) || '```' || chr(10) || chr(10) || 'Evidence (redacted): ' || coalesce(nullif(evidence, ''), 'n/a') AS prompt FROM scan_findings""")
+  coalesce(nullif(code_snippet, ''), evidence) || chr(10) || '```' || chr(10) || chr(10) || 'Evidence (redacted): ' || coalesce(nullif(evidence, ''), 'n/a') AS prompt FROM scan_findings""")
 def f34(v: Views) -> DataFrame:
     return v.scan_findings.select("id", tx.reviewer_prompt(F.col).alias("prompt"))
 
@@ -518,8 +518,8 @@ def o1(v: Views) -> DataFrame:
     return an.page_per_scope(v.scan_findings, "scan_id", an.severity_order(), 2, 3).select("id", "scan_id", "position", "page", "total", "total_pages")
 
 
-@query("o1_page_global", f"""SELECT id, severity, 3 AS page, (SELECT count(*) FROM scan_findings) AS total, CAST(ceil((SELECT count(*) FROM scan_findings) / 100) AS BIGINT) AS total_pages
-  FROM scan_findings ORDER BY {_RANK} DESC, cvss4_score DESC, created_at, id LIMIT 100 OFFSET 200""")
+@query("o1_page_global", f"""SELECT id, severity, 3 AS page, (SELECT count(*) FROM scan_findings) AS total, CAST(ceil((SELECT count(*) FROM scan_findings) / 500) AS BIGINT) AS total_pages
+  FROM scan_findings ORDER BY {_RANK} DESC, cvss4_score DESC, created_at, id LIMIT 500 OFFSET 1000""")
 def o1_global(v: Views) -> DataFrame:
     return an.page(v.scan_findings, an.severity_order(), 3, 500).select("id", "severity", "page", "total", "total_pages")
 

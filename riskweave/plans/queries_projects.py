@@ -168,16 +168,16 @@ def f27(v: Views) -> DataFrame:
 
 
 # --- lists ----------------------------------------------------------------
-@query("o4_recent_scans", "SELECT scan_id, project_id, status, created_at FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 100")
+@query("o4_recent_scans", "SELECT scan_id, project_id, status, created_at FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 500")
 def o4(v: Views) -> DataFrame:
-    return an.newest(v.scans, 500, 100, "scan_id").select("scan_id", "project_id", "status", "created_at")
+    return an.newest(v.scans, 500, "scan_id").select("scan_id", "project_id", "status", "created_at")
 
 
 @query("o4_recent_scans_for_user", """SELECT scan_id, s.project_id FROM scans s JOIN projects p ON s.project_id = p.project_id WHERE created_by = 'user-7' OR visibility = 'public'
   OR EXISTS (SELECT 1 FROM organization_members m WHERE m.user_id = 'user-7' AND m.organization_id = p.organization_id) ORDER BY created_at DESC, scan_id DESC LIMIT 20""")
 def o4_user(v: Views) -> DataFrame:
     visible = ac.accessible_projects(v.projects, v.organization_members, "user-7")
-    return an.newest(ac.in_scope(v.scans, visible), 20, 100, "scan_id").select("scan_id", "project_id")
+    return an.newest(ac.in_scope(v.scans, visible), 20, "scan_id").select("scan_id", "project_id")
 
 
 @query("o5_scan_timeline", """SELECT id, scan_id, created_at, CASE WHEN contains(event_type, 'started') OR contains(event_type, 'running') THEN 'started'
@@ -188,12 +188,12 @@ def o5(v: Views) -> DataFrame:
     return an.scan_timeline(v.scan_events).select("id", "scan_id", "created_at", "phase", "label")
 
 
-@query("o6_pending_invites", "SELECT id, organization_id, email FROM invites WHERE status = 'pending' ORDER BY created_at DESC, id DESC LIMIT 100")
+@query("o6_pending_invites", "SELECT id, organization_id, email FROM invites WHERE status = 'pending'")
 def o6(v: Views) -> DataFrame:
     return an.pending_invites(v.invites).select("id", "organization_id", "email")
 
 
-@query("o6_active_grants", f"SELECT id, actor_id, expires_at FROM support_grants WHERE expires_at > {AS_OF} AND revoked_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 50")
+@query("o6_active_grants", f"SELECT id, actor_id, expires_at FROM support_grants WHERE expires_at > {AS_OF} AND revoked_at IS NULL")
 def o6_grants(v: Views) -> DataFrame:
     return an.active_grants(v.support_grants, _now()).select("id", "actor_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
@@ -202,7 +202,7 @@ def o6_grants(v: Views) -> DataFrame:
 SELECT e.id, e.finding_id, CAST(nth AS INT) AS nth, coalesce(nullif(u.name, ''), nullif(u.email, ''), 'A user') AS actor,
   CASE WHEN event_type <> 'ai_review' THEN comment WHEN contains(comment, 'reachable') THEN 'AI verdict: likely true positive.' || chr(10) || 'Confidence: 75%.' || chr(10) || 'Explanation: reachable'
   WHEN contains(comment, 'escape') THEN 'AI verdict: likely false positive.' || chr(10) || 'Suggested fix: escape' ELSE comment END AS shown
-FROM e LEFT JOIN users u ON e.user_id = u.user_id WHERE nth <= 200""")
+FROM e LEFT JOIN users u ON e.user_id = u.user_id""")
 def j14(v: Views) -> DataFrame:
     """F26 renders the comments."""
     return an.finding_timeline(v.finding_events, v.users).select("id", "finding_id", "nth", "actor", "shown")
@@ -435,7 +435,7 @@ def f24(v: Views) -> DataFrame:
     return v.scan_events.select("id", tx.local_time(F.col("created_at")).alias("local"), tx.relative_age(F.col("created_at"), as_of).alias("age"))
 
 
-@query("f29_slug_email", r"""SELECT project_id, substr(regexp_replace(regexp_replace(lower(trim(name || ' / ' || status || '!')), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g'), 1, 64) AS slug,
+@query("f29_slug_email", r"""SELECT project_id, regexp_replace(regexp_replace(lower(trim(name || ' / ' || status || '!')), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g') AS slug,
   lower(trim(' ' || created_by || '@X.org ')) AS email, true AS ok FROM projects""")
 def f29(v: Views) -> DataFrame:
     mail = tx.normalise_email(F.concat(F.lit(" "), "created_by", F.lit("@X.org ")))

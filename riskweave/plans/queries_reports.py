@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from riskweave.operators import access as ac
 from riskweave.plans.registry import query
-from riskweave.sources import reports as rp, sinks
+from riskweave.session import checkpoint_root
+from riskweave.sources import reports as rp, sinks, tables
 from riskweave.views import Views
 
 _WHEN = "2024-01-01T00:00:00"
@@ -100,3 +103,26 @@ def s14(v: Views) -> DataFrame:
     resolved = ac.resolve_tokens(v.token_requests, v.api_tokens, v.scans, ["report:write", "scan:read"])
     lines = rp.executive_json(_scans(v), v.scan_findings, "ci_pipeline", _WHEN, short=True)
     return sinks.ci_reports(resolved, lines).groupBy("request_id", "scan_id").agg(F.count("line").alias("lines"))
+
+
+@query("s16_findings_write", """SELECT id, scan_id, rule_id, CASE WHEN scan_id % 10 = 3 THEN 'rewritten' ELSE status END AS status
+  FROM scan_findings WHERE scan_id % 10 <> 7""")
+def s16(v: Views) -> DataFrame:
+    """Write all findings, rewrite those of every tenth scan twice, empty another tenth, read back."""
+    root = f"{checkpoint_root(v.spark)}/tables/{uuid.uuid4().hex}"
+    rows = v.scan_findings.select("id", "scan_id", "rule_id", "status")
+    sinks.write_findings(rows, v.scans.select("scan_id"), f"{root}/findings")
+    again, gone = F.col("scan_id") % 10 == 3, F.col("scan_id") % 10 == 7
+    for _ in range(2):
+        sinks.write_findings(rows.filter(again).withColumn("status", F.lit("rewritten")), rows.filter(again | gone).select("scan_id"), f"{root}/findings")
+    return tables.table(v.spark, root, "findings").select("id", "scan_id", "rule_id", "status")
+
+
+@query("s17_event_append", "SELECT id, scan_id, event_type, CAST(created_at AS DATE) AS event_date FROM scan_events")
+def s17(v: Views) -> DataFrame:
+    """S9 reads it back: two appends, filed by day."""
+    root = f"{checkpoint_root(v.spark)}/tables/{uuid.uuid4().hex}"
+    for part in (0, 1):
+        sinks.append_scan_events(v.scan_events.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part), f"{root}/scan_events")
+    tables.register(v.spark, root, ["scan_events"])
+    return v.spark.sql("SELECT id, scan_id, event_type, event_date FROM scan_events")

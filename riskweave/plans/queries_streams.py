@@ -6,20 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskweave.plans.queries_corpus import rule_hits_sql
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
 from riskweave.streaming import jobs
 from riskweave.views import VIEWS, Views
 
 
-def _stream(v: Views, view: str, base: str) -> DataFrame:
-    """A view over one base table, with that table read as a file stream.
+def _files(v: Views, base: str) -> DataFrame:
+    """A base table as a file stream.  The byte limit bounds a micro-batch."""
+    return (v.spark.readStream.schema(v.base(base).schema).option("maxBytesPerTrigger", 512 << 20)
+            .parquet(f"{v.sf_dir}/{base}.parquet*"))
+
 
-    The byte limit bounds a micro-batch, and with it what one key can bring to a task.
-    """
-    raw = (v.spark.readStream.schema(v.base(base).schema).option("pathGlobFilter", f"{base}.parquet")
-           .option("maxBytesPerTrigger", 512 << 20).parquet(v.sf_dir))
-    return v.spark.sql(VIEWS[view], **{base: raw})
+def _stream(v: Views, view: str, base: str) -> DataFrame:
+    """A view over one base table, with that table read as a file stream."""
+    return v.spark.sql(VIEWS[view], **{base: _files(v, base)})
 
 
 _STATUS = "CASE event_type WHEN 'sast_scan_started' THEN 'running' ELSE event_type END"
@@ -81,14 +83,12 @@ def t4(v: Views) -> DataFrame:
     return jobs.run_available(told, "t4").select("user_id", "type", "scan_id")
 
 
-@query("t5_incremental_detection")
+@query("t5_incremental_detection", rule_hits_sql())
 def t5(v: Views) -> DataFrame:
-    """The batch detectors on a file stream; the tests hold it against the batch result."""
-    docs = (v.spark.readStream.schema(v.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
-            .select(F.col("source").alias("scan_id"), F.concat(F.lit("app/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
-                    F.col("text").alias("content")))
-    found = jobs.run_available(jobs.incremental_findings(docs), "t5")
-    return found.select("scan_id", "engine", "rule_id", "file_path", "line_start", "severity", "dedupe_hash")
+    """The batch detectors over the streams of both source tables."""
+    arriving = v.spark.sql(VIEWS["source_files"], documents=_files(v, "documents"), pages=_files(v, "pages"))
+    found = jobs.run_available(jobs.incremental_findings(arriving), "t5")
+    return found.select("scan_id", "file_path", "rule_id", F.col("line_start").alias("line"))
 
 
 @query("t6_phase_rates", """WITH e AS (SELECT time_bucket(INTERVAL '1' HOUR, created_at) AS w, CASE WHEN event_type IN ('running', 'sast_scan_started') THEN 'started'

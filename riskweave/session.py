@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +30,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables and stream checkpoints.
+    """Shared folder for staged tables and stream checkpoints, named by spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    On one machine it may be unset, and a temporary folder of this process takes its place.
+    On a cluster that would lose rows without an error, so there it has to be set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="riskweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_folder()
     return root.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="riskweave-")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a costly intermediate once and read it back, columns still prunable.
 
@@ -52,17 +57,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/stage/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, grain: int = 1 << 20) -> DataFrame:
-    """Give a small table more tasks than its files would.
-
-    A table below the size of one input split is read by a single task, which hurts
-    when rows are costly (pattern search, JSON).  Only such a table is repartitioned,
-    so at most one split's worth of bytes ever moves; larger ones are left as read.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    parts = min(spark.sparkContext.defaultParallelism, -(-size // grain))
-    return df.repartition(parts) if size < split and parts > 1 else df

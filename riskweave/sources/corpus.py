@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,7 +33,7 @@ def read_source_tree(spark: SparkSession, root: str, scan_id: str | None = None)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
     relative = F.expr("regexp_replace(path, '^[a-z0-9]+:/{0,2}(?=/)', '')")
-    inside = F.substring(F.regexp_replace(relative, "%20", " "), len(base) + 2, 1 << 30)
+    inside = F.substring(relative, len(base) + 2, 1 << 30)
     if scan_id is None:
         scan = F.element_at(F.split(inside, "/"), 1)
         path = F.regexp_replace(inside, "^[^/]+/", "")
@@ -104,38 +106,52 @@ def expand_pasted(payloads: DataFrame) -> DataFrame:
 _MEMBERS = "archive string, ordinal int, member string, size bigint, kind string, content binary"
 
 
-def _members(name: str, body: bytes) -> Iterator[tuple]:
-    """Members of one archive, bodies only while the archive is inside its limits."""
-    total, lowered = 0, name.lower()
-    if lowered.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(body)) as zf:
-            for i, info in enumerate(zf.infolist(), 1):
-                link = (info.external_attr >> 16) & 0o170000 == 0o120000
-                kind = "link" if link else "dir" if info.is_dir() else "file"
-                total += info.file_size
-                inside = total <= fv.MAX_ARCHIVE_BYTES and i <= fv.MAX_ARCHIVE_FILES
-                yield (name, i, info.filename, info.file_size, kind,
-                       zf.read(info) if kind == "file" and inside else None)
-    elif lowered.endswith((".gz", ".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(body)) as tf:
-            for i, info in enumerate(tf, 1):
-                kind = ("link" if info.issym() or info.islnk() else "device" if info.isdev()
-                        else "dir" if info.isdir() else "file")
-                total += info.size
-                inside = total <= fv.MAX_ARCHIVE_BYTES and i <= fv.MAX_ARCHIVE_FILES
-                yield (name, i, info.name, info.size, kind,
-                       tf.extractfile(info).read() if kind == "file" and inside else None)
-    else:
-        yield (name, 0, "", 0, "unsupported", None)
-
+def _members(name: str, body: bytes, max_bytes: int, max_files: int) -> Iterator[tuple]:
+    """Members of one archive, bodies only while the archive is inside its limits.
 
-def expand_archives(archives: DataFrame) -> DataFrame:
+    A damaged or mislabelled archive ends with one row of kind 'corrupt'.
+    """
+    total, lowered, i = 0, name.lower(), 0
+    try:
+        if lowered.endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(body)) as zf:
+                for i, info in enumerate(zf.infolist(), 1):
+                    link = (info.external_attr >> 16) & 0o170000 == 0o120000
+                    kind = "link" if link else "dir" if info.is_dir() else "file"
+                    total += info.file_size
+                    inside = total <= max_bytes and i <= max_files
+                    yield (name, i, info.filename, info.file_size, kind,
+                           zf.read(info) if kind == "file" and inside else None)
+        elif lowered.endswith((".gz", ".tgz")):
+            with tarfile.open(fileobj=io.BytesIO(body)) as tf:
+                for i, info in enumerate(tf, 1):
+                    kind = ("link" if info.issym() or info.islnk() else "device" if info.isdev()
+                            else "dir" if info.isdir() else "file")
+                    total += info.size
+                    inside = total <= max_bytes and i <= max_files
+                    yield (name, i, info.name, info.size, kind,
+                           tf.extractfile(info).read() if kind == "file" and inside else None)
+        else:
+            yield (name, 0, "", 0, "unsupported", None)
+    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError):
+        yield (name, i + 1, "", 0, "corrupt", None)
+
+
+@dataclass(frozen=True)
+class ArchiveLimits:
+    """What an archive may hold.  Expansion and verdict take the same limits, so an accepted archive has all its bodies."""
+
+    max_bytes: int = fv.MAX_ARCHIVE_BYTES
+    max_files: int = fv.MAX_ARCHIVE_FILES
+
+
+def expand_archives(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """(archive, body) -> one row per member; Spark spreads the archives over tasks."""
     def run(batches):
         for batch in batches:
             for name, body in zip(batch["archive"], batch["body"]):
                 rows, held = [], 0
-                for row in _members(name, bytes(body)):
+                for row in _members(name, bytes(body), limits.max_bytes, limits.max_files):
                     rows.append(row)
                     held += len(row[5] or b"")
                     if held > (16 << 20) or len(rows) >= 4096:
@@ -152,8 +168,7 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 # W4 -----------------------------------------------------------------------
-def archive_verdicts(members: DataFrame, max_bytes: int = fv.MAX_ARCHIVE_BYTES,
-                     max_files: int = fv.MAX_ARCHIVE_FILES) -> DataFrame:
+def archive_verdicts(members: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """One row per archive: totals and the limits it breaks.
 
     Sizes are never negative, so some running total passes a limit exactly when the
@@ -165,11 +180,12 @@ def archive_verdicts(members: DataFrame, max_bytes: int = fv.MAX_ARCHIVE_BYTES,
         F.count(F.lit(1)).alias("member_count"),
         F.max(unsafe).alias("unsafe"),
         F.max(F.col("kind") == "unsupported").alias("unsupported"),
+        F.max(F.col("kind") == "corrupt").alias("corrupt"),
     )
     return totals.withColumns({
-        "too_large": F.col("total_size") > max_bytes,
-        "too_many": F.col("member_count") > max_files,
-    }).withColumn("accepted", ~(F.col("unsafe") | F.col("unsupported") | F.col("too_large") | F.col("too_many")))
+        "too_large": F.col("total_size") > limits.max_bytes,
+        "too_many": F.col("member_count") > limits.max_files,
+    }).withColumn("accepted", ~(F.col("unsafe") | F.col("unsupported") | F.col("corrupt") | F.col("too_large") | F.col("too_many")))
 
 
 def accepted_files(members: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def semgrep_findings(reports: DataFrame) -> DataFrame:
         scalar_or_first(meta["cwe"]).alias("cwe_id"), scalar_or_first(meta["owasp"]).alias("owasp_category"),
         _or(F.col("r.path"), "").alias("file_path"), start.alias("line_number"), start.alias("line_start"),
         F.coalesce(F.col("r.end.line"), start).alias("line_end"),
-        lines.alias("code_snippet"), F.substring(lines, 1, 200).alias("evidence"),
+        lines.alias("code_snippet"), lines.alias("evidence"),
         F.coalesce(missing(tx.strip(_or(meta["impact"], ""))), F.lit(t["impact"])).alias("impact"),
         F.coalesce(missing(tx.strip(_or(meta["pentest_hint"], ""))), F.lit(t["pentest_hint"])).alias("pentest_hint"),
         scalar_or_joined(meta["references"]).alias("references"),
@@ -203,11 +203,11 @@ def trivy_findings(reports: DataFrame) -> DataFrame:
 # S8 -----------------------------------------------------------------------
 def parse_truth(lines: DataFrame) -> DataFrame:
     """Ground truth from CSV lines in column `value`."""
-    cells = F.from_csv("value", "c0 string, c1 string, c2 string, c3 string", {"mode": "PERMISSIVE"})
+    cells = F.from_csv("value", "c0 string, c1 string, c2 string, c3 string", {"mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000"})
+    # fields count once the line is parsed: a quoted comma parts nothing, a quoted '#' is a comment too
     return (
-        lines.filter((F.col("value") != "") & ~F.col("value").startswith("#")
-                     & (F.size(F.split("value", ",")) >= 3))
-        .select(cells.alias("c"))
+        lines.filter(F.col("value") != "").select(cells.alias("c"))
+        .filter(~F.coalesce("c.c0", F.lit("")).startswith("#") & F.col("c.c2").isNotNull())
         .select(
             tx.strip(F.col("c.c0")).alias("test_case_id"),
             (F.lower(tx.strip(F.coalesce("c.c1", F.lit("")))) == "true").alias("is_vulnerable"),

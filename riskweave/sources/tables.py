@@ -17,7 +17,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
         raise KeyError(name)
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
     # a scan without findings is stored as one row without id, see sinks.write_findings
-    return df.filter(F.col("id").isNotNull()) if name == "findings" else df
+    return df.filter(F.col("id").isNotNull()).drop("bucket") if name == "findings" else df
 
 
 def register(spark: SparkSession, root: str, names: list[str] | None = None) -> None:

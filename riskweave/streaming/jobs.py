@@ -18,7 +18,7 @@ from riskweave.functions import text as tx
 from riskweave.operators import detection as d, enrichment as en
 from riskweave.operators.dedupe import deduplicate
 from riskweave.operators.risk import scan_risk
-from riskweave.session import checkpoint_root
+from riskweave.session import checkpoint_root, stage
 
 STATUS_OF = {"queued": "queued", "running": "running", "sast_scan_started": "running",
              "completed": "completed", "failed": "failed"}
@@ -180,15 +180,25 @@ def incremental_findings(files: DataFrame, strict: bool = False) -> DataFrame:
     return en.union_engines(d.js_sink_findings_of(hits), d.pattern_findings_of(hits), d.secret_findings_of(hits))
 
 
-def score_batch(heads: DataFrame, sink):
-    """foreachBatch handler: enrich, fold and score the scans a batch touched.
+def score_batch(heads: DataFrame, path: str, sink):
+    """foreachBatch handler: the scans a batch touched are enriched, folded and scored whole.
 
-    sink(findings, risk, batch_id) stores the result, replacing scans it has seen.
+    A batch's raw findings are filed under path/batch=<id>, so a repeated batch replaces itself,
+    and the scans it touched are read back with what all earlier batches found in them: findings
+    of different batches chain and fold as if they had come at once.  heads: scan_id, source_type,
+    source_value; a scan without a head is scored with empty ones.  sink(findings, risk, batch_id)
+    stores the result, replacing the scans it names.
     """
     def run(found: DataFrame, batch_id: int) -> None:
-        ready = en.enrich(en.correlate(found).join(heads, "scan_id"))
-        kept = deduplicate(ready)
-        sink(kept, scan_risk(kept, found.select("scan_id").distinct()), batch_id)
+        spark = found.sparkSession
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        mine = spark.read.schema(found.schema).parquet(f"{path}/batch={batch_id}")
+        touched = mine.select("scan_id").distinct()
+        so_far = spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(path)
+        raw = so_far.join(touched, "scan_id", "left_semi")
+        ready = en.enrich(en.correlate(raw).join(heads, "scan_id", "left").fillna("", ["source_type", "source_value"]))
+        kept = stage(deduplicate(stage(ready, "enriched")), "kept")
+        sink(kept, scan_risk(kept, touched), batch_id)
     return run
 
 

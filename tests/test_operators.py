@@ -215,9 +215,12 @@ def test_source_tree_and_archives(spark, tmp_path):
         t.addfile(link)
     with tarfile.open(box / "ok.tgz", "w:gz") as t:
         t.add(tmp_path / "b.py", "b.py")
+    (box / "broken.zip").write_bytes((box / "good.zip").read_bytes()[:40])
+    (box / "no.tar.gz").write_bytes(b"plainly no archive")
     members = co.expand_archives(co.read_archives(spark, str(box)))
+    assert {r.archive for r in members.filter("kind = 'corrupt'").collect()} == {"broken.zip", "no.tar.gz"}
     verdicts = co.archive_verdicts(members)
-    assert {r.archive: r.accepted for r in verdicts.collect()} == {"good.zip": True, "bad.zip": False, "link.tar.gz": False, "ok.tgz": True}
+    assert {r.archive: r.accepted for r in verdicts.collect()} == {"good.zip": True, "bad.zip": False, "link.tar.gz": False, "ok.tgz": True, "broken.zip": False, "no.tar.gz": False}
     assert {(r.scan_id, r.content) for r in co.accepted_files(members, verdicts).collect()} == {("good.zip", "x"), ("ok.tgz", "yy")}
 
 
@@ -239,7 +242,7 @@ def test_update_rules(spark):
     df = spark.createDataFrame([("fixed", None, "x" * 6000), ("nope", None, ""), (None, "", ""), ("", "verified", " c ")],
                                "status string, verification_status string, comment string")
     got = [(r.reason, len(r.stored_comment)) for r in it.validate_updates(df).collect()]
-    assert got == [(None, 5000), ("invalid_status", 0), ("nothing_to_update", 0), (None, 1)]
+    assert got == [("too_long", 6000), ("invalid_status", 0), ("nothing_to_update", 0), (None, 1)]
 
 
 @pytest.mark.parametrize("severity, level", [("critical", "none"), ("Critical", "error"), ("odd", "warning")])

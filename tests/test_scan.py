@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from riskweave import fixed_values as fv
 from riskweave.operators import detection as d, enrichment as en, evaluation as ev
+from riskweave.plans import scan_plan
 from riskweave.plans.scan_plan import scan
-from riskweave.sources import external_reports as xr
+from riskweave.sources import external_reports as xr, tables
 from tests import fixtures as fx
 
 
@@ -179,3 +180,28 @@ def test_plan_has_no_python_and_one_corpus_read(spark):
     plan = d.rule_hits(files)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Cartesian" not in plan
     assert plan.count("Generate") == 1
+
+
+def test_scan_job_end_to_end(spark, tmp_path):
+    """Findings, maps, risk, duration, events, notices; a second run changes nothing in the stored table."""
+    files = fx.files(spark, s={"app.js": fx.NODE, "package.json": '{"dependencies":{"express":"1.0.0"}}'}, t={"main.py": fx.CLEAN})
+    scans = spark.createDataFrame([("s", "p", "u", "paste", ""), ("t", "p", "u", "paste", "")],
+                                  "scan_id string, project_id string, triggered_by string, source_type string, source_value string")
+    scans = scans.withColumn("started_at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:07'")
+    history = spark.createDataFrame([], "project_id string, dedupe_hash string, scan_id string, created_at timestamp_ntz, id string, status string, assignee_id string, verification_status string")
+    told = spark.createDataFrame([], "user_id string, type string, payload string")
+    first = scan_plan.scan_job(files, scans, history, told, at, path=str(tmp_path / "db"))
+    rows = first["findings"].collect()
+    assert rows and {r.scan_id for r in rows} == {"s"} and {r.status for r in rows} == {"open"}
+    done = {r.scan_id: r for r in first["scans"].collect()}
+    assert done["t"].risk_level == "Low" and done["s"].duration_ms == 7000 and done["s"].status == "completed"
+    assert done["s"].language_summary["javascript" if "javascript" in done["s"].language_summary else next(iter(done["s"].language_summary))] == 1
+    assert first["notifications"].count() == 2 and first["events"].count() == 2 and first["reopened"].count() == 0
+    # the same scan again: its fixed findings come back, stored rows are replaced
+    fixed = first["findings"].select("project_id", "dedupe_hash", F.lit("old").alias("scan_id"), "created_at", "id", F.lit("fixed").alias("status"), "assignee_id", "verification_status")
+    second = scan_plan.scan_job(files, scans, fixed, first["notifications"], at, path=str(tmp_path / "db"))
+    assert {r.status for r in second["findings"].collect()} == {"reopened"} and second["reopened"].count() == len(rows)
+    assert second["notifications"].count() == 0
+    stored = tables.table(spark, str(tmp_path / "db"), "findings").collect()
+    assert sorted((r.id, r.status) for r in stored) == sorted((r.id, "reopened") for r in rows)

@@ -65,7 +65,7 @@ def test_incremental_detection_equals_batch(spark, tmp_path):
     assert got == sorted(map(key, want)) and got
 
 
-def test_score_batch_hands_over_findings_and_risk(spark):
+def test_score_batch_hands_over_findings_and_risk(spark, tmp_path):
     seen = {}
     files = fx.files(spark, s={"app.js": fx.NODE})
     heads = fx.heads(spark, ("s", "paste", ""))
@@ -73,10 +73,31 @@ def test_score_batch_hands_over_findings_and_risk(spark):
     def sink(found, risk, batch_id):
         seen[batch_id] = (found.count(), risk.first().risk_level)
 
-    jobs.score_batch(heads, sink)(d.pattern_findings(files), 3)
+    jobs.score_batch(heads, str(tmp_path / "raw"), sink)(d.pattern_findings(files), 3)
     assert seen == {3: (1, "Critical")}
 
 
+def test_batches_of_one_scan_are_scored_as_one(spark, tmp_path):
+    """A second batch is scored with the first; a repeated one changes nothing; other scans stay out."""
+    seen = {}
+    parts = [fx.files(spark, s={"app.js": fx.NODE}), fx.files(spark, s={"lib/other.js": fx.NODE}, t={"x.js": fx.NODE})]
+    heads = fx.heads(spark, ("s", "paste", ""))
+    whole = {}
+
+    def sink(into):
+        def store(found, risk, batch_id):
+            into[batch_id] = (sorted((r.scan_id, r.file_path, r.seq, r.severity) for r in found.collect()), sorted(map(tuple, risk.collect())))
+        return store
+
+    run = jobs.score_batch(heads, str(tmp_path / "raw"), sink(seen))
+    for k, part in enumerate(parts):
+        run(d.pattern_findings(part), k)
+    jobs.score_batch(heads, str(tmp_path / "all"), sink(whole))(d.pattern_findings(parts[0].unionByName(parts[1])), 0)
+    assert seen[1] == whole[0] and len(seen[0][0]) < len(seen[1][0])
+    run(d.pattern_findings(parts[0]), 0)
+    assert seen[0][0] == [r for r in whole[0][0] if r[0] == "s"]
+
+
 def test_notifications_once(spark, tmp_path):
     rows = [(1, "s", "completed", at(0)), (2, "s", "completed", at(5)), (3, "s", "failed", at(9)), (4, "n", "failed", at(9))]
     scans = spark.createDataFrame([("s", "u"), ("n", None)], "scan_id string, triggered_by string")
