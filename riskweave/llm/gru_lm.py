@@ -78,7 +78,6 @@ class Vocabulary:
     tail_words: np.ndarray         # v of each tail class
 
     def __post_init__(self):
-        self.place = {w: i for i, w in enumerate(self.words)}
         self.code = {w: i for i, w in enumerate(self.words[:FREQUENT])}
 
     def codes(self, words: list[bytes]) -> np.ndarray:
@@ -89,7 +88,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(COUNTED).collect()
+    # a histogram of the counts tells which of them COUNTED words reach, so no more are fetched
+    level = F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor(64 * F.log2(F.col("c") / 1024)))
+    least, held = 1 << 60, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > COUNTED:
+            break
+        least = r.level
+    top = counts.where(level >= F.lit(least)).collect()
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
     words, c = [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64)
     tail = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAILS)).alias("tail")
@@ -315,7 +322,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: dict[s
         vocab, weights = pickle.loads(shared.value)
         log = dict(zip(vocab.words, np.log10(vocab.counts + 1.0).tolist()))
         row = TaskContext.get().partitionId() << 33
-        for window in windows(batches, chars=1 << 23):
+        for window in windows(batches, chars=1 << 22):
             runs, rows = [], []
             for doc, text in zip(window.column("doc_id").to_pylist(), window.column("text").to_pylist()):
                 words = tokens(text)
