@@ -108,24 +108,26 @@ def correlate(findings: DataFrame) -> DataFrame:
 def attach_context(findings: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
     """Context window and enclosing function for findings that came without them.
 
-    Used for external reports only.  The corpus is first cut to the files that are
-    referred to, and each file's text is split into lines once; the join is planned
-    by size, so a short list of findings is broadcast and the corpus stays put.
+    Used for external reports only.  Findings are first reduced to the distinct line ranges of
+    each file; only that list meets the bodies, in one join, and each body is split into lines
+    once.  What comes back to the findings are contexts, one for each distinct range.
     """
-    wanted = findings.select("scan_id", "file_path").distinct()
+    place = ["scan_id", "file_path"]
+    ranges = findings.groupBy(*place).agg(F.collect_set(F.struct("line_start", "line_end")).alias("_ranges"))
     lines = (
-        files.join(wanted, ["scan_id", "file_path"], "left_semi")
-        .select("scan_id", "file_path", split_lines(F.col("content")).alias("_lines"))
+        files.join(ranges, place).select(*place, "_ranges", split_lines(F.col("content")).alias("_lines"))
         .withColumn("_names", function_names(F.col("_lines"), strict))
+        .select(*place, "_lines", "_names", F.explode("_ranges").alias("_r"))
     )
-    at = F.greatest(F.least(F.col("line_start"), F.size("_lines")), F.lit(1))
-    return (
-        findings.drop("context", "context_function").join(lines, ["scan_id", "file_path"], "left")
-        .withColumns({
-            "context": F.coalesce(line_window(F.col("_lines"), F.col("line_start"), F.col("line_end")), F.lit("")),
-            "context_function": F.coalesce(enclosing_function(F.col("_names"), at), F.lit("")),
-        }).drop("_lines", "_names")
-    )
+    at = F.greatest(F.least(F.col("_r.line_start"), F.size("_lines")), F.lit(1))
+    found = lines.select(
+        *[F.col(c).alias(f"_{c}") for c in place], F.col("_r.line_start").alias("_start"), F.col("_r.line_end").alias("_end"),
+        line_window(F.col("_lines"), F.col("_r.line_start"), F.col("_r.line_end")).alias("context"),
+        enclosing_function(F.col("_names"), at).alias("context_function"))
+    same = ((F.col("scan_id") == F.col("_scan_id")) & (F.col("file_path") == F.col("_file_path"))
+            & F.col("line_start").eqNullSafe(F.col("_start")) & F.col("line_end").eqNullSafe(F.col("_end")))
+    return findings.drop("context", "context_function").join(found, same, "left").drop("_scan_id", "_file_path", "_start", "_end").withColumns(
+        {"context": F.coalesce("context", F.lit("")), "context_function": F.coalesce("context_function", F.lit(""))})
 
 
 # Enrichment, in its fixed order -------------------------------------------

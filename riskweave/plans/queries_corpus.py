@@ -190,12 +190,12 @@ def f4_f5(v: Views) -> DataFrame:
 
 
 @query("j15_attach_context", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, 'handler_' || o_orderkey AS function_name,
-  len('def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END ||
-  CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END) AS context_length FROM orders""")
+  'def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END ||
+  CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END AS context FROM orders""")
 def j15(v: Views) -> DataFrame:
     external = v.sql("""SELECT o_custkey AS scan_id, 'app/h' || CAST(o_orderkey AS STRING) || '.py' AS file_path, 2 AS line_start, 2 AS line_end FROM {orders}""")
     return en.attach_context(external, _handlers(v)).select(
-        "scan_id", "file_path", F.col("context_function").alias("function_name"), F.length("context").cast("bigint").alias("context_length"))
+        "scan_id", "file_path", F.col("context_function").alias("function_name"), "context")
 
 
 @query("full_scan_risk")

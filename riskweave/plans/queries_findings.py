@@ -531,8 +531,8 @@ def o2(v: Views) -> DataFrame:
     return an.list_positions(v.scan_findings)
 
 
-@query("o3_sort_modes", """(SELECT 'confidence' AS mode, id FROM scan_findings ORDER BY confidence DESC, id LIMIT 50) UNION ALL
+@query("o3_sort_modes", f"""(SELECT 'risk' AS mode, id FROM scan_findings ORDER BY {_RANK} DESC, cvss4_score DESC, id LIMIT 50) UNION ALL (SELECT 'confidence' AS mode, id FROM scan_findings ORDER BY confidence DESC, id LIMIT 50) UNION ALL
   (SELECT 'file' AS mode, id FROM scan_findings ORDER BY file_path, id LIMIT 50)""")
 def o3(v: Views) -> DataFrame:
     top = lambda m: v.scan_findings.orderBy(*an.sort_mode(m)).limit(50).select(F.lit(m).alias("mode"), "id")
-    return top("confidence").unionByName(top("file"))
+    return top("risk").unionByName(top("confidence")).unionByName(top("file"))
