@@ -2,13 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from riskweave.plans import registry
 
-QUERIES = entry.queries()
+QUERIES = registry.callables()
 PYTHON = {"s3_archive_expansion", "w4_archive_limits"}
-RUNS_ON_CALL = {"full_scan_risk"} | {n for n in QUERIES if n[:2] in ("t1", "t2", "t3", "t4", "t5", "t6")}
+RUNS_ON_CALL = {"full_scan_risk", "s16_findings_write", "s17_event_append"} | {n for n in QUERIES if n[:2] in ("t1", "t2", "t3", "t4", "t5", "t6")}
 TOP_K = ["a4_file_heatmap", "a5_engine_counts", "a6_owasp_counts", "a13_badge_summary", "w2_risk_trend", "w3_review_candidates",
-         "o1_page_per_scan", "j1_carry_forward", "j14_finding_timeline", "d6_advisory_match"]
+         "o1_page_per_scan", "j1_carry_forward"]
 
 
 def plan(spark, small, name):
