@@ -32,7 +32,7 @@ END = b""                          # the token behind every document; no word is
 FREQUENT, CLASS_WORDS, TAILS = 2048, 64, 16
 CLASSES = FREQUENT // CLASS_WORDS
 COUNTED = 1 << 18                  # words whose counts every worker holds; rarer ones are joined
-HIDDEN, STEPS, LANES = 16, 16, 256
+HIDDEN, STEPS, LANES = 16, 16, 512
 ROUNDS = (1, 4, 11)                # shares of the training documents in the rounds of averaging
 RATE = 0.01
 
@@ -329,13 +329,12 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: dict[s
                 words.append(END)
                 codes = vocab.codes(words)
                 runs.append(codes)
-                found = list(map(log.get, words))
-                rare = Counter(w for w, f in zip(words, found) if f is None)
-                sure = [f for f in found if f is not None]
+                found = np.array(list(map(log.get, words)), float)      # a word without a count at hand is not a number
+                known, tail = ~np.isnan(found), codes >= FREQUENT
+                rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
                 # counts of all words and of those beyond the frequent ones add up apart
-                tail = codes >= FREQUENT
-                both = sum(f for f, t in zip(found, tail.tolist()) if t and f is not None)
-                rows.append((row, doc, len(words), len(sure), sum(sure) - len(words) * np.log10(size), both - float(tail_size[codes[tail] - FREQUENT].sum()),
+                rows.append((row, doc, len(words), int(known.sum()), float(found[known].sum()) - len(words) * np.log10(size),
+                             float(found[known & tail].sum()) - float(tail_size[codes[tail] - FREQUENT].sum()),
                              [{"word": w, "n": k} for w, k in rare.items()]))
                 row += 1
             model = likelihood(runs, weights) / np.log(10)
