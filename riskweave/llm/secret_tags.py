@@ -5,9 +5,11 @@ It is trained by gradient steps on the exact log-likelihood (forward-backward) o
 corpus tokens: the patterns label the secrets they know, and planted secrets of further
 families, in contexts with and without key words, teach the rest.  Decoding is Viterbi.
 
-A token whose outside score beats both other labels by more than its neighbours, the file and
-the transitions can ever add is outside on every best path.  Such tokens cut the chain, so
-Viterbi runs on the short stretches between them and the result is that of the whole chain.
+A token whose outside score, with its own neighbours and file, beats both other labels by more
+than the transitions can add is outside on every best path; next to such tokens the transitions
+are known, which rules out more.  These tokens cut the chain, so Viterbi runs on the short
+stretches between them and the result is that of the whole chain.  The weights themselves know
+no bounds but the penalty of the fit.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 MARKS = "\"'`,;.!?()[]{}<>|*%$&#"
-OWN_LIMIT, AROUND_LIMIT, TURN_LIMIT = 5.0, 0.3, 0.6
 AROUND = ("<key", "<mark", "<long", ">key", ">mark", ">long", "|keys", "|code")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -124,29 +125,54 @@ class Tagger:
                 group = next(g for g in AROUND if feature.startswith(g))
                 groups[group] = max(groups.get(group, 0.0), gain(w))
         t = self.turns
-        turn = max(t[p, y] + t[y, q] - t[p, OUTSIDE] - t[OUTSIDE, q] for y in (BEGIN, INSIDE) for p in range(3) for q in range(3))
+        # the most that the turns before and behind add to begin and inside over outside: beside a token
+        # that is outside for certain, beside any other, at an end of the text
+        before, behind = t[:, :OUTSIDE] - t[:, OUTSIDE:], (t[:OUTSIDE] - t[OUTSIDE]).T
+        self.before = np.array([before[OUTSIDE], before.max(0), [0.0, 0.0]])
+        self.behind = np.array([behind[OUTSIDE], behind.max(0), [0.0, 0.0]])
         # the most that neighbours, file and turns can add to begin or inside over outside
-        self.reach = sum(groups.values()) + max(turn, 0.0)
+        self.reach = sum(groups.values()) + float((self.before.max(0) + self.behind.max(0)).max())
         self.zero, self.plain = np.zeros(3), {}
 
     def _sum(self, features: list[str]) -> np.ndarray:
         return sum((self.weights.get(f, self.zero) for f in features), self.zero)
 
-    def unsure(self, word: bytes) -> bool:
-        """Whether the token could be anything but outside in some place."""
+    def parts(self, word: bytes) -> np.ndarray:
+        """What a token adds to begin and inside over outside: for itself, the next token and the one before."""
         text = word.decode("utf-8", "replace")
         core, known = text.strip(MARKS), None
         if core.isalpha() and not TELLING.search(text):
             # letters alone: the features are functions of these few values
-            known = (len(core) // 4, core.islower(), core.isupper(), 10 * len(set(core)) // len(core), "=" in text or ":" in text)
+            known = (len(core) // 4, core.islower(), core.isupper(), 10 * len(set(core)) // len(core), "=" in text or ":" in text, text[-1] if text[-1] in "=:" else "", len(text) >= 16)
             if known in self.plain:
                 return self.plain[known]
-        own = self._sum(["." + f for f in shape(text)])
-        found = bool(max(own[BEGIN], own[INSIDE]) + self.reach >= own[OUTSIDE])
+        told = tuple(beside(text))
+        if told not in self.plain:
+            self.plain[told] = [self._sum([side + f for f in told]) for side in "<>"]
+        found = np.concatenate([w[:OUTSIDE] - w[OUTSIDE] for w in (self._sum(["." + f for f in shape(text)]), *self.plain[told])])
         if known is not None:
             self.plain[known] = found
         return found
 
+    def unsure(self, word: bytes) -> bool:
+        """Whether the token could be anything but outside in some place."""
+        return bool(self.parts(word)[:2].max() + self.reach >= 0)
+
+    def open(self, parts: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Whether each token of a text, with its parts, could be anything but outside on a best path."""
+        gain = parts[:, :2] + (around[:OUTSIDE] - around[OUTSIDE] + 1e-9)
+        gain[1:] += parts[:-1, 2:4]
+        gain[:-1] += parts[1:, 4:]
+        kind = np.ones(len(parts) + 2, np.int64)       # of each token and the ends, a row of before and behind
+        kind[[0, -1]] = 2
+        at = np.arange(len(parts))
+        while True:
+            sure = (gain[at] + self.before[kind[at]] + self.behind[kind[at + 2]]).max(1) < 0
+            if not sure.any():
+                return kind[1:-1] == 1
+            kind[at[sure] + 1] = 0
+            at = at[~sure]
+
     def scores(self, words: list[str], around: np.ndarray, begin: int, end: int) -> np.ndarray:
         """Label scores of tokens begin..end."""
         out = []
@@ -209,7 +235,6 @@ def train(examples: list[tuple[list[list[str]], list[int]]], steps: int = 80, ra
     theta = np.zeros((size + 4, 3))    # features, an idle row, three rows of turns
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     flat = at.reshape(-1)
-    limit = np.array([OWN_LIMIT if f[0] == "." else AROUND_LIMIT for f in names] + [0.0] + [TURN_LIMIT] * 3)[:, None]
 
     def total(a):
         top = a.max(-1, keepdims=True)
@@ -233,8 +258,7 @@ def train(examples: list[tuple[list[list[str]], list[int]]], steps: int = 80, ra
         grad = grad / n - decay * theta
         grad[size] = 0
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
-        # bounds on what the surroundings may say keep most tokens outside for certain
-        theta = np.clip(theta + rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8), -limit, limit)
+        theta = theta + rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
     return Tagger({f: theta[i] for f, i in names.items()}, theta[size + 1:])
 
 
@@ -332,30 +356,33 @@ class Scanner:
 
     def __init__(self, tagger: Tagger | None, most: int = 300_000):
         self.tagger, self.most = tagger, most
-        # words that are outside wherever they stand, in two generations, and words that may not be
-        self.sure, self.older, self.maybe = set(), set(), set()
+        # parts of the words met, in two generations
+        self.place, self.parts = {}, np.empty((1024, 6))
+        self.older, self.older_parts = self.place, self.parts
+
+    def open(self, text: str, words: list[bytes]) -> np.ndarray:
+        """Whether each token could be anything but outside."""
+        if len(self.place) > self.most:
+            self.older, self.older_parts = self.place, self.parts
+            self.place, self.parts = {}, np.empty((1024, 6))
+        for w in set(words).difference(self.place):
+            n, before = len(self.place), self.older.get(w)
+            if n == len(self.parts):
+                self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
+            self.parts[n] = self.tagger.parts(w) if before is None else self.older_parts[before]
+            self.place[w] = n
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.tagger.open(self.parts[at], self.tagger._sum(["|" + f for f in of_file(text)]))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         base = base_spans(text)
-        if self.tagger is None:
-            return base
         words = text.encode("utf-8", "replace").split()
-        left = set(words) - self.sure
-        if left:
-            again = left & self.older
-            fresh = left - again - self.maybe
-            bad = {w for w in fresh if self.tagger.unsure(w)}
-            self.sure |= again
-            self.sure |= fresh - bad
-            left = left & self.maybe | bad
-            self.maybe |= bad
-            if len(self.sure) > self.most:
-                self.sure, self.older = set(), self.sure
-            if len(self.maybe) > self.most:
-                self.maybe = set(left)
-        if not left:
+        if self.tagger is None or not words:
+            return base
+        left = self.open(text, words)
+        if not left.any():
             return base
-        found = [(a, b, "crf") for a, b in self.tagger.spans(text, [w in left for w in words]) if not any(x < b and y > a for x, y, _ in base)]
+        found = [(a, b, "crf") for a, b in self.tagger.spans(text, left.tolist()) if not any(x < b and y > a for x, y, _ in base)]
         return sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

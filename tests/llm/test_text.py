@@ -149,6 +149,29 @@ def test_viterbi_is_the_best_path_and_cuts_are_exact(tagger):
     assert tagger.spans(text, [True] * len(words)) == tagger.spans(text, [tagger.unsure(w) for w in words])
 
 
+def test_context_alone_tells_a_secret():
+    """The same token is a secret behind a key word and none elsewhere; cuts change nothing."""
+    rng, examples = random.Random(3), []
+    for k in range(200):
+        words = [rng.choice(["some", "plain", "words", "Stand4", "here7"]) for _ in range(9)]
+        if k % 2:
+            words[4] = "password:"
+        examples.append(([["." + f for f in secret_tags.shape(w)] + (["<" + f for f in secret_tags.beside(words[i - 1])] if i else []) for i, w in enumerate(words)],
+                         [secret_tags.BEGIN if i and words[i - 1] == "password:" else secret_tags.OUTSIDE for i in range(9)]))
+    tagger = secret_tags.train(examples)
+    text = "some plain words password: Stand4 here7 and Stand4 here7 words"
+    assert [text[a:b] for a, b, _ in secret_tags.Scanner(tagger).spans(text)] == ["Stand4"]
+
+
+def test_open_tokens_leave_the_best_path(tagger):
+    rng, scanner = random.Random(9), secret_tags.Scanner(tagger)
+    stock = ["plain", "words", "password:", "token", "=", "Tr0ubador9", "Bearer", "x7Kq9Zp2", "ghp_" + "aB3dE6gH9kL2" * 3, "12-34", "Others", "日本語", "a.b@c.de", '"key":', "{"]
+    for n in (1, 2, 3, 8, 40) * 20:
+        text = " ".join(rng.choice(stock) for _ in range(n))
+        words = text.encode().split()
+        assert tagger.spans(text, scanner.open(text, words).tolist()) == tagger.spans(text, [True] * n), text
+
+
 def test_scan_and_redact_awkward_rows(spark, tagger):
     assert secret_tags.scan(awkward(spark), tagger).count() == 11
     assert secret_tags.fit(empty(spark)) is None and secret_tags.scan(empty(spark), None).count() == 0
