@@ -141,9 +141,9 @@ class Tagger:
         """What a token adds to begin and inside over outside: for itself, the next token and the one before."""
         text = word.decode("utf-8", "replace")
         core, known = text.strip(MARKS), None
-        if core.isalpha() and not TELLING.search(text):
-            # letters alone: the features are functions of these few values
-            known = (len(core) // 4, core.islower(), core.isupper(), 10 * len(set(core)) // len(core), "=" in text or ":" in text, text[-1] if text[-1] in "=:" else "", len(text) >= 16)
+        if core.isascii() and core.isalpha() and not TELLING.search(text):
+            # ASCII letters alone: the features are functions of these few values
+            known = (len(core) // 4, core.islower(), core.isupper(), 10 * len(set(core)) // len(core), "=" in text or ":" in text, text.count(".") >= 3, text[-1] if text[-1] in "=:" else "", len(text) >= 16)
             if known in self.plain:
                 return self.plain[known]
         told = tuple(beside(text))

@@ -163,6 +163,18 @@ def test_context_alone_tells_a_secret():
     assert [text[a:b] for a, b, _ in secret_tags.Scanner(tagger).spans(text)] == ["Stand4"]
 
 
+def test_words_met_before_decide_nothing():
+    """Tokens of letters are told by their own shape, in whatever order a worker meets them."""
+    weights = {".kindaA": np.array([9.0, 0, 0]), ".kind-": np.array([0, 0, 9.0]), ".atTrue": np.array([0, 7.0, 0])}
+    words = ["日本語学", "AbCd", "ÄbÇd", "word", "word...", "WORD", "AbCd...", "日本語学..."]
+    for order in (words, words[::-1]):
+        tagger = secret_tags.Tagger(weights, np.zeros((3, 3)))
+        for w in order:
+            own = sum(weights.get("." + f, np.zeros(3)) for f in secret_tags.shape(w))
+            assert tagger.unsure(w.encode()) == (max(own[:2]) >= own[2]), w
+            assert tagger.parts(w.encode())[:2].tolist() == (own[:2] - own[2]).tolist(), w
+
+
 def test_open_tokens_leave_the_best_path(tagger):
     rng, scanner = random.Random(9), secret_tags.Scanner(tagger)
     stock = ["plain", "words", "password:", "token", "=", "Tr0ubador9", "Bearer", "x7Kq9Zp2", "ghp_" + "aB3dE6gH9kL2" * 3, "12-34", "Others", "日本語", "a.b@c.de", '"key":', "{"]
