@@ -26,15 +26,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One row of each group of near copies: the one with the smallest doc_id, then the smallest hash of its text.
 
-    The contract of the operator: three-word shingles, Jaccard similarity 0.9 or more.  Repeated
-    rows of that id stay once; empty texts and rows without an id have no copies and stay.
+    The contract of the operator: three-word shingles, Jaccard similarity 0.9 or more.  Rows
+    of one id with different texts are judged one by one; of rows that differ in other columns
+    alone the one with the smallest hash stays.  Empty texts and rows without an id have no copies
+    and stay.
     """
-    named = jaccard_join.join(docs.select("doc_id", "text"), k=3, num=90, den=100)
-    kept = named.where((F.col("component_id") == F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    named = jaccard_join.grouped(docs.select("doc_id", "text"), k=3, num=90, den=100)
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
     plain = F.col("doc_id").isNull() | (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t-\r ]", "")) == "")
-    return docs.where(~plain).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(plain))
+    rows = docs.where(~plain).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_mark", jaccard_join.text_mark())
+    one = rows.join(kept, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return one.select("r.*").unionByName(docs.where(plain))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

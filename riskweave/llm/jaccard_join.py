@@ -32,7 +32,7 @@ TASK_SHINGLES = 4_000_000          # a group up to this weight is joined in one
 CLASS_RATIO = 1.5                  # of the sizes in one class
 SMALL = 32                         # documents compared pair by pair
 PIVOTS = 8
-BASE = "doc_id long, n_shingles long, node long, slices array<long>"
+BASE = "doc_id long, mark long, n_shingles long, node long, slices array<long>"
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -127,8 +127,8 @@ def _base(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) -> Iter
     for window in windows(batches):
         sets = [shingles(t, k, hashes) for t in window.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [window.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64()),
-             pa.array([slices(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "slices"])
+            [window.column("doc_id"), window.column("mark"), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64()),
+             pa.array([slices(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "mark", "n_shingles", "node", "slices"])
 
 
 # -- the join inside a task ----------------------------------------------------------
@@ -273,7 +273,7 @@ FILTER_BITS = 1 << 23
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of ids (with doc_id) and the text of that document.
+    """The rows of ids (with doc_id and mark) and the text of that document and mark.
 
     A bit map over id hashes, at most FILTER_BITS / 64 rows whatever the number of ids, leaves out
     nearly all other documents before the texts are shuffled; with more ids than bits it leaves out
@@ -282,9 +282,9 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     words = ids.select(bit("doc_id").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    texts = documents(docs).withColumnRenamed("doc_id", "id").withColumn("bit", bit("id"))
-    some = texts.join(F.broadcast(words), F.expr("bit div 64 = word")).where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1").select("id", "text")
-    return ids.join(some, F.col("doc_id") == F.col("id")).drop("id")
+    texts = documents(docs).withColumnRenamed("doc_id", "id").withColumn("bit", bit("id")).withColumn("own", text_mark())
+    some = texts.join(F.broadcast(words), F.expr("bit div 64 = word")).where("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1").select("id", "own", "text")
+    return ids.join(some, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("own"))).drop("id", "own")
 
 
 # -- large groups ------------------------------------------------------------------------
@@ -353,13 +353,13 @@ def similar_sets(docs: DataFrame, base: DataFrame, k: int, num: int, den: int, t
     if not edges.limit(1).count():
         return None
     group = components(edges)
-    first = names.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    first = names.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.min("n_shingles").alias("n_shingles")).select("node", "r.doc_id", "r.mark", "n_shingles")
     members = keep(group.join(first, "node"), "members")
     roots, salt = [], 0
     while True:
         weight = members.groupBy("comp").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"))
         sized = keep(members.join(weight, "comp"), "sized")
-        fits = sized.where((F.col("weight") <= task) & (F.col("n") > 1)).select("comp", "doc_id")
+        fits = sized.where((F.col("weight") <= task) & (F.col("n") > 1)).select("comp", "doc_id", "mark")
         rows = _texts_of(fits, docs).select("comp", "text").repartition("comp").sortWithinPartitions("comp")
         roots.append(keep(rows.mapInArrow(partial(_join_groups, k=k, num=num, den=den), "node long, root long"), "roots"))
         large = sized.where(F.col("weight") > task)
@@ -367,12 +367,12 @@ def similar_sets(docs: DataFrame, base: DataFrame, k: int, num: int, den: int, t
         if not left:
             break
         salt += 1
-        full = keep(_texts_of(large.select("comp", "doc_id", "node"), docs), "large")
+        full = keep(_texts_of(large.select("comp", "doc_id", "mark", "node"), docs), "large")
         cut = keep(full.select("comp", "text").mapInArrow(partial(_again, k=k, num=num, den=den, salt=salt), "comp long, node long, n_shingles long, slices array<long>"), "cut")
         again = _shared_slices(cut, "comp")
         group = components(again) if again.limit(1).count() else None
-        before = large.select("node", "doc_id", "n_shingles")
-        after = None if group is None else keep(group.join(before, "node").select("node", "comp", "doc_id", "n_shingles"), "members")
+        before = large.select("node", "doc_id", "mark", "n_shingles")
+        after = None if group is None else keep(group.join(before, "node").select("node", "comp", "doc_id", "mark", "n_shingles"), "members")
         kept = 0 if after is None else after.groupBy("comp").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > task).count()
         if after is None:
             break
@@ -388,6 +388,11 @@ def similar_sets(docs: DataFrame, base: DataFrame, k: int, num: int, den: int, t
     return out
 
 
+def text_mark():
+    """64-bit hash of a row's text; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, task: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -398,17 +403,26 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, task: int =
     null doc_id takes no part; its component_id is null.  Shingles and sets are known by 64-bit
     hashes; everything else is exact.
     """
+    return grouped(docs, k, num, den, task).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, task: int = TASK_SHINGLES) -> DataFrame:
+    """join() with the text_mark() of every row and root, the 64-bit name of its component (null where it takes no part).
+
+    Rows of one doc_id with different texts may stand in different components, and components
+    may have the same smallest doc_id; mark and root tell them apart.
+    """
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")
-    base = keep(documents(docs).mapInArrow(partial(_base, k=k, num=num, den=den), BASE), "sets")
+    base = keep(documents(docs).withColumn("mark", text_mark()).mapInArrow(partial(_base, k=k, num=num, den=den), BASE), "sets")
     roots = similar_sets(docs, base, k, num, den, task)
-    rows = base.select("doc_id", "n_shingles", "node")
+    rows = base.select("doc_id", "mark", "n_shingles", "node")
     own = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     if roots is None:
-        named = own.select("node", F.col("smallest").alias("component_id"))
+        named = own.select("node", F.col("node").alias("root"), F.col("smallest").alias("component_id"))
     else:
         rooted = keep(own.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root")), "rooted")
         lowest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-        named = rooted.join(lowest, "root").select("node", "component_id")
+        named = rooted.join(lowest, "root").select("node", "root", "component_id")
     return rows.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        "doc_id", "mark", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).alias("root"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
