@@ -1,16 +1,21 @@
 """Structured Streaming jobs over event logs, request logs and arriving source files.
 
 Late data: every event-time job states its watermark delay; rows later than it are
-dropped by Spark, and a state that has been closed stays closed.
+dropped by Spark, and a state that has been closed stays closed.  Status changes and rate
+limits depend on the order of all events of a key, so their streams only file the rows, and
+the answer is read from the filed rows in event-time order: no row is too late for it, and
+neither the cut into batches nor their order matters.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave import fixed_values as fv
@@ -25,8 +30,18 @@ STATUS_OF = {"queued": "queued", "running": "running", "sast_scan_started": "run
 TERMINAL = ("completed", "failed")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+@dataclass
+class Filed:
+    """An append stream of rows, and the reading of all rows it has filed."""
+
+    stream: DataFrame
+    read: Callable[[DataFrame], DataFrame]
+
+
+def run_available(stream: DataFrame | Filed, name: str) -> DataFrame:
     """Run an append stream over what is there, into files of the shared folder."""
+    if isinstance(stream, Filed):
+        return stream.read(run_available(stream.stream, name))
     spark = stream.sparkSession
     base = f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
@@ -64,61 +79,59 @@ def read_latest(spark, path: str) -> DataFrame:
     return rows.groupBy("scan_id").agg(newest.alias("s")).select("scan_id", "s.created_at", "s.status")
 
 
-def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-    out = []
-    for at, status in zip(rows["created_at"], rows["status"]):
-        if last in TERMINAL:
-            break
-        if status != last:
-            out.append((key[0], at, status))
-            last = status
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["scan_id", "created_at", "status"])
-
-
-def status_changes(events: DataFrame) -> DataFrame:
+def status_changes(events: DataFrame) -> Filed:
     """A scan's status whenever it differs from the one told before, until it is final."""
     rows = events.withColumn("status", _event_status(F.col("event_type"))).filter("status is not null")
-    key = dict(events.dtypes)["scan_id"]
-    return rows.select("scan_id", "id", F.col("created_at").cast("timestamp"), "status").groupBy("scan_id").applyInPandasWithState(
-        _changes, f"scan_id {key}, created_at timestamp, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+    return Filed(rows.select("scan_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "status"), _changes)
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("scan_id").orderBy(F.asc_nulls_last("created_at"), "id")
+    ended = F.max(F.col("status").isin(*TERMINAL)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = rows.withColumn("before", F.lag("status").over(order)).withColumn("ended", F.coalesce(ended, F.lit(False)))
+    return seen.where(~F.col("ended") & ~F.col("before").eqNullSafe(F.col("status"))).select("scan_id", "created_at", "status")
 
 
 # T2 -----------------------------------------------------------------------
 def _limiter(limit: int, window_us: int, count_rejected: bool):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, expiry = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        out = []
-        for rid, us in zip(rows["id"], rows["us"]):
-            over = expiry is None or (us > expiry if count_rejected else us >= expiry)
-            if over:
-                count, expiry = 0, us + window_us
-            allowed = count < limit
-            if allowed or count_rejected:
-                count += 1
-            out.append((rid, key[0], count, max(limit - count, 0), allowed))
-        state.update((int(count), int(expiry)))
-        yield pd.DataFrame(out, columns=["id", "ip", "count", "remaining", "allowed"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by ip, time and id; what is held from batch to batch is the state of one key."""
+        begun, key, count, expiry = False, None, 0, 0
+        for batch in batches:
+            counts, remaining, allows = [], [], []
+            for ip, us in zip(batch.column("ip").to_pylist(), batch.column("us").to_pylist()):
+                if not begun or ip != key:
+                    begun, key, over = True, ip, True
+                else:
+                    # a row without a time stands last and opens no window
+                    over = us is not None and (expiry is None or (us > expiry if count_rejected else us >= expiry))
+                if over:
+                    count, expiry = 0, None if us is None else us + window_us
+                allowed = count < limit
+                if allowed or count_rejected:
+                    count += 1
+                counts.append(count), remaining.append(max(limit - count, 0)), allows.append(allowed)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ip"), pa.array(counts, pa.int64()), pa.array(remaining, pa.int64()), pa.array(allows, pa.bool_())],
+                                             ["id", "ip", "count", "remaining", "allowed"])
     return run
 
 
 def rate_limit(requests: DataFrame, limit: int = fv.GUEST_LIMIT, window_seconds: int = fv.GUEST_WINDOW_SECONDS,
-               count_rejected: bool = True) -> DataFrame:
+               count_rejected: bool = True) -> Filed:
     """Fixed windows anchored at a key's first request: requests(id, ip, ts) with their outcome.
 
     count_rejected=True: rejected calls count, the window ends strictly after its length.
     count_rejected=False: they do not count, the window ends at its length.
-    A key's state is two numbers; a trigger's file limit bounds what a hot key brings
-    into one batch.
+    A key is read in event-time order by one task, one Arrow batch at a time; the sort
+    before it spills, so a hot key costs time and no memory.
     """
+    def outcomes(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("ip").sortWithinPartitions("ip", F.asc_nulls_last("us"), "id")
+        return ordered.mapInArrow(_limiter(limit, window_seconds * 1000000, count_rejected),
+                                  "id bigint, ip string, count bigint, remaining bigint, allowed boolean")
+
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return requests.select("id", "ip", us.alias("us")).groupBy("ip").applyInPandasWithState(
-        _limiter(limit, window_seconds * 1000000, count_rejected),
-        "id bigint, ip string, count bigint, remaining bigint, allowed boolean",
-        "count bigint, expiry bigint", "append", GroupStateTimeout.NoTimeout)
+    return Filed(requests.select(F.col("id").cast("long").alias("id"), F.col("ip").cast("string").alias("ip"), us.alias("us")), outcomes)
 
 
 # T3 -----------------------------------------------------------------------

@@ -46,6 +46,26 @@ def test_status_changes_until_final(spark, tmp_path):
     assert got == ["queued", "running", "completed"]
 
 
+def test_status_changes_whatever_the_batches(spark, tmp_path):
+    rows = [(1, "s", "queued", at(0)), (2, "s", "queued", at(5)), (3, "s", "running", at(9)), (4, "s", "completed", at(20)), (5, "s", "running", at(30)),
+            (6, "t", "running", at(1)), (7, "t", "failed", at(2))]
+    seen = []
+    for k, chunks in enumerate(([rows], [rows[::-1]], [[r] for r in rows], [[r] for r in rows[::-1]])):
+        s = stream(spark, tmp_path / str(k), chunks, EVENTS)
+        seen.append(sorted((r.scan_id, r.created_at, r.status) for r in jobs.run_available(jobs.status_changes(s), "t").collect()))
+    assert [s for _, _, s in seen[0]] == ["queued", "running", "completed", "running", "failed"] and all(x == seen[0] for x in seen)
+
+
+def test_rate_limit_whatever_the_batches(spark, tmp_path):
+    rows = [(i, f"ip{i % 2}", T0 + dt.timedelta(seconds=700 * i)) for i in range(24)]
+    for counted in (True, False):
+        seen = []
+        for k, chunks in enumerate(([rows], [rows[12:], rows[:12]], [[r] for r in rows[::-3]] + [[r] for i, r in enumerate(rows) if i % 3 != 2])):
+            s = stream(spark, tmp_path / f"{k}{counted}", chunks, "id bigint, ip string, ts timestamp")
+            seen.append(sorted(map(tuple, jobs.run_available(jobs.rate_limit(s, 2, 3600, counted), "t").collect())))
+        assert len(seen[0]) == 24 and all(x == seen[0] for x in seen)
+
+
 def test_stale_reaper(spark, tmp_path):
     rows = [(1, "a", "queued", at(0)), (2, "b", "running", at(0)), (3, "c", "queued", at(0)), (4, "c", "running", at(100)), (5, "c", "completed", at(900))]
     late = [(6, "z", "completed", at(9000))]
