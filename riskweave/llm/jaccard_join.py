@@ -6,7 +6,7 @@ pivots of a coarser metric, the sizes of symmetric differences inside slices of
 space.  Two sets with |x & y| / |x | y| >= t differ in at most D = n * (1 - t) / t shingles (n:
 size of the smaller), so of D + 1 slices one at least is equal: distance zero to the pivot
 that is this slice's content.  A document stands in the region of each of its slice contents;
-by size windows (n' <= n / t) it also visits the regions of the next smaller size class.
+by size windows (n' <= n / t) it also visits the regions of all smaller size classes down to n * t.
 
 Regions that share documents form a group, and every link lies inside one group.  A group that
 fits a task is joined there: pivot documents create Voronoi regions, documents within twice the
@@ -93,8 +93,9 @@ class Slices:
             return []
         own = self.size_class(n)
         out = self._of(x, own)
-        if own and n <= (self.starts[own] - 1) * self.den // self.num:
-            out += self._of(x, own - 1)
+        while own and n * self.num <= (self.starts[own] - 1) * self.den:
+            own -= 1
+            out += self._of(x, own)
         return out
 
     def _of(self, x: np.ndarray, size_class: int) -> list[int]:

@@ -60,6 +60,25 @@ def test_join_equals_brute_force(spark, k, num, den, task):
     assert got == brute_force(rows, k, num, den)
 
 
+@pytest.mark.parametrize("num,den", [(50, 100), (30, 100), (2, 3), (90, 100)])
+def test_similar_sets_share_a_slice_at_any_threshold(num, den):
+    rnd, slices = random.Random(6), jaccard_join.Slices(num, den)
+    for n in list(range(1, 60)) * 4:
+        most = n * den // num
+        for m in {most, rnd.randint(n, most)}:
+            large = np.array(sorted(rnd.sample(range(10**9), m)), np.uint64)
+            small = np.array(sorted(rnd.sample(large.tolist(), n)), np.uint64)
+            if n < m:
+                assert set(slices(small)) & set(slices(large)), (n, m)
+
+
+def test_join_at_a_half_equals_brute_force(spark):
+    rows = [(100 * i + j, " ".join(f"w{i}x{k}" for k in range(m))) for i, n in enumerate(range(3, 23)) for j, m in enumerate((n, 2 * n - 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df, 3, 50, 100).collect()}
+    assert got == brute_force(rows, 3, 50, 100)
+
+
 def test_group_join_with_many_members():
     rnd = random.Random(4)
     base = np.array(sorted(rnd.sample(range(10**6), 60)), np.uint64)
