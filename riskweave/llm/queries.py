@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import bpe, gru_lm, jaccard_join, license_scan, m_tree, packing, quality, secret_tags, token_store, vp_search
+from riskweave.llm import bpe, gru_lm, jaccard_join, license_scan, m_tree, packing, quality, secret_tags, spelling, substring_dedup, token_store, vp_search, whitening
 from riskweave.llm.common import keep, remainder, scratch, table, windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -98,12 +98,29 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")))
+    return each.select(
+        "vec_id", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"), F.col("col.explained").alias("explained"), "identity_error")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_gru_lm": op1_gru_lm, "op2_vp_search": op2_vp_search, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op5_secret_tags": op5_secret_tags, "op6_quality": op6_quality,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_license_scan": op8_license_scan, "op9_m_tree": op9_m_tree,
         "op10_power_packing": op10_power_packing,
+        "op11_seed_extend": op11_seed_extend, "op12_jacobi_davidson": op12_jacobi_davidson, "op13_spelling": op13_spelling,
     }
 
 
@@ -136,6 +153,21 @@ reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, links.
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id FROM sets s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id, s.s
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
+earliest AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN earliest USING (k) WHERE doc_id > lo),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS words
+  FROM each e ANTI JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": OP7_SQL, "op9_m_tree": OP9_SQL}
+    return {"op7_jaccard_join": OP7_SQL, "op9_m_tree": OP9_SQL, "op11_seed_extend": OP11_SQL}
