@@ -93,7 +93,7 @@ def test_cells_are_reached_from_every_near_word():
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcde"), 6)) for _ in range(500)]
     tree = spelling.Cells(spelling.counts_of(spelling.codes_of(words)), 16)
-    own = dict(zip(words, tree.reached(spelling.counts_of(spelling.codes_of(words)), 0, 0)[1]))
+    own = {words[i]: c for i, c in zip(*tree.reached(spelling.counts_of(spelling.codes_of(words)), 0, 0))}
     r, c = tree.reached(spelling.counts_of(spelling.codes_of(words)), 1, 1)
     reach = collections.defaultdict(set)
     for i, cell in zip(r, c):
