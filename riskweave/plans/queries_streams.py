@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskweave.plans.queries_corpus import rule_hits_sql
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
-from riskweave.streaming import jobs
+from riskweave.streaming import jobs, status_feed
 from riskweave.views import VIEWS, Views
 
 
@@ -44,8 +44,8 @@ w AS (SELECT *, lag(status) OVER o AS before, coalesce(sum(CASE WHEN status IN (
   FROM e WINDOW o AS (PARTITION BY scan_id ORDER BY created_at, id))
 SELECT scan_id, created_at, status FROM w WHERE ended = 0 AND (before IS NULL OR before <> status)""")
 def t1_changes(v: Views) -> DataFrame:
-    out = jobs.run_available(jobs.status_changes(_stream(v, "scan_events", "events")), "t1")
-    return out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    fed = jobs.run_available(status_feed.status_feed(_stream(v, "scan_events", "events")), "t1")
+    return status_feed.settled(fed, v.scan_events).select("scan_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status")
 
 
 @query("t2_guest_rate_limit", """WITH RECURSIVE e AS (SELECT id, ip, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS i FROM requests),

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave import fixed_values as fv
@@ -24,11 +24,7 @@ from riskweave.operators import detection as d, enrichment as en
 from riskweave.operators.dedupe import deduplicate
 from riskweave.operators.risk import scan_risk
 from riskweave.session import checkpoint_root, stage
-
-STATUS_OF = {"queued": "queued", "running": "running", "sast_scan_started": "running",
-             "completed": "completed", "failed": "failed"}
-TERMINAL = ("completed", "failed")
-
+from riskweave.streaming.status_feed import TERMINAL, status_of
 
 @dataclass
 class Filed:
@@ -50,17 +46,10 @@ def run_available(stream: DataFrame | Filed, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def _event_status(event_type):
-    out = None
-    for kind, status in STATUS_OF.items():
-        out = F.when(event_type == kind, status) if out is None else out.when(event_type == kind, status)
-    return out
-
-
 # T1 -----------------------------------------------------------------------
 def latest_status(events: DataFrame) -> DataFrame:
     """Newest status per scan; update mode on a stream, an aggregate on a table."""
-    status = _event_status(F.col("event_type"))
+    status = status_of(F.col("event_type"))
     return events.withColumn("status", status).filter("status is not null").groupBy("scan_id").agg(
         F.max(F.struct("created_at", "id", "status")).alias("s")).select("scan_id", "s.created_at", "s.status")
 
@@ -79,19 +68,6 @@ def read_latest(spark, path: str) -> DataFrame:
     return rows.groupBy("scan_id").agg(newest.alias("s")).select("scan_id", "s.created_at", "s.status")
 
 
-def status_changes(events: DataFrame) -> Filed:
-    """A scan's status whenever it differs from the one told before, until it is final."""
-    rows = events.withColumn("status", _event_status(F.col("event_type"))).filter("status is not null")
-    return Filed(rows.select("scan_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "status"), _changes)
-
-
-def _changes(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("scan_id").orderBy(F.asc_nulls_last("created_at"), "id")
-    ended = F.max(F.col("status").isin(*TERMINAL)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seen = rows.withColumn("before", F.lag("status").over(order)).withColumn("ended", F.coalesce(ended, F.lit(False)))
-    return seen.where(~F.col("ended") & ~F.col("before").eqNullSafe(F.col("status"))).select("scan_id", "created_at", "status")
-
-
 # T2 -----------------------------------------------------------------------
 def _limiter(limit: int, window_us: int, count_rejected: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +143,7 @@ def stale_scans(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
     and events that come after it open a new watch.
     """
     key = dict(events.dtypes)["scan_id"]
-    rows = events.withColumn("status", _event_status(F.col("event_type"))).filter("status is not null")
+    rows = events.withColumn("status", status_of(F.col("event_type"))).filter("status is not null")
     timed = rows.select("scan_id", "id", F.col("created_at").cast("timestamp").alias("at"), "status").withWatermark("at", delay)
     return timed.withColumn("us", F.unix_micros("at")).groupBy("scan_id").applyInPandasWithState(
         _reaper, f"scan_id {key}, failed_at timestamp, message string", "status string, since bigint", "append",

@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
+
 from riskweave.operators import detection as d
-from riskweave.streaming import jobs
+from riskweave.streaming import jobs, status_feed
 from tests import fixtures as fx
 
 T0 = dt.datetime(2024, 1, 1)
@@ -39,21 +41,54 @@ def at(sec):
     return T0 + dt.timedelta(seconds=sec)
 
 
-def test_status_changes_until_final(spark, tmp_path):
-    rows = [(1, "s", "queued", at(0)), (2, "s", "queued", at(5)), (3, "s", "running", at(9)), (4, "s", "completed", at(20)), (5, "s", "running", at(30))]
-    s = stream(spark, tmp_path, [rows[1::-1], rows[2:3], rows[3:]], EVENTS)
-    got = [r.status for r in sorted(jobs.run_available(jobs.status_changes(s), "t").collect(), key=lambda r: r.created_at)]
-    assert got == ["queued", "running", "completed"]
+def feed(spark, folder, chunks, delay="1 hour", keep_hours=24.0):
+    """The changes that hold after the chunks, and the progress of each batch."""
+    s = stream(spark, folder, chunks, EVENTS)
+    q = (status_feed.status_feed(s, delay, keep_hours).writeStream.format("parquet").option("path", str(folder / "out"))
+         .option("checkpointLocation", str(folder / "checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    fed = spark.read.parquet(str(folder / "out"))
+    events = spark.createDataFrame([r for c in chunks for r in c], EVENTS)
+    got = sorted((r.scan_id, r.created_at, r.status) for r in status_feed.settled(fed, events).collect())
+    want = sorted((r.scan_id, r.created_at, r.status) for r in status_feed.changes(events).collect())
+    return got, want, fed, q.recentProgress
+
+
+STORY = [(1, "s", "queued", at(0)), (2, "s", "queued", at(5)), (3, "s", "running", at(9)), (4, "s", "completed", at(20)), (5, "s", "running", at(30)),
+         (6, "t", "running", at(1)), (7, "t", "failed", at(2)), (8, "u", "queued", at(3)), (9, "u", "running", at(4000)), (10, "u", "queued", at(4001)), (11, "u", "other", at(4002))]
+
+
+@pytest.mark.parametrize("delay", ["1 second", "2 hours"])
+@pytest.mark.parametrize("cut", ["whole", "reversed", "one by one", "one by one, reversed", "halves swapped"])
+def test_status_feed_whatever_the_batches(spark, tmp_path, delay, cut):
+    chunks = {"whole": [STORY], "reversed": [STORY[::-1]], "one by one": [[r] for r in STORY], "one by one, reversed": [[r] for r in STORY[::-1]],
+              "halves swapped": [STORY[5:], STORY[:5]]}[cut]
+    got, want, fed, _ = feed(spark, tmp_path, chunks, delay)
+    assert got == want and [s for k, _, s in got if k == "s"] == ["queued", "running", "completed"]
+    if delay == "1 second" and cut == "one by one, reversed":
+        assert fed.where("sign = 0").count() > 0                 # the late side was needed
+
+
+def test_withdrawn_changes_cancel(spark, tmp_path):
+    got, want, fed, _ = feed(spark, tmp_path, [[STORY[1]], [STORY[0]]])
+    assert got == want == [("s", at(0), "queued")]
+    assert sorted((r.id, r.sign) for r in fed.collect()) == [(1, 1), (2, -1), (2, 1)]
+
+
+def test_state_falls_back_after_the_end(spark, tmp_path):
+    day = 86400
+    scans = [[(3 * i, f"s{i}", "queued", at(i)), (3 * i + 1, f"s{i}", "running", at(i + 60)), (3 * i + 2, f"s{i}", "completed", at(i + 120))] for i in range(40)]
+    batches = [[e for s in scans for e in s], [(900, "live", "queued", at(2 * day))], [(901, "live", "running", at(4 * day))], [(902, "live", "running", at(6 * day)), (903, "s1", "running", at(6 * day))]]
+    got, want, _, progress = feed(spark, tmp_path, batches, keep_hours=12)
+    rows = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    assert got == want and max(rows) >= 40 and rows[-1] <= 12
 
 
-def test_status_changes_whatever_the_batches(spark, tmp_path):
-    rows = [(1, "s", "queued", at(0)), (2, "s", "queued", at(5)), (3, "s", "running", at(9)), (4, "s", "completed", at(20)), (5, "s", "running", at(30)),
-            (6, "t", "running", at(1)), (7, "t", "failed", at(2))]
-    seen = []
-    for k, chunks in enumerate(([rows], [rows[::-1]], [[r] for r in rows], [[r] for r in rows[::-1]])):
-        s = stream(spark, tmp_path / str(k), chunks, EVENTS)
-        seen.append(sorted((r.scan_id, r.created_at, r.status) for r in jobs.run_available(jobs.status_changes(s), "t").collect()))
-    assert [s for _, _, s in seen[0]] == ["queued", "running", "completed", "running", "failed"] and all(x == seen[0] for x in seen)
+def test_an_event_without_a_time_goes_to_the_late_side(spark, tmp_path):
+    rows = [(1, "s", "queued", at(0)), (2, "s", "running", None)]
+    fed = jobs.run_available(status_feed.status_feed(stream(spark, tmp_path, [rows], EVENTS)), "t")
+    assert [r.id for r in fed.where("sign = 0").collect()] == [2]
+    assert sorted((r.id, r.status) for r in status_feed.settled(fed, spark.createDataFrame(rows, EVENTS)).collect()) == [(1, "queued"), (2, "running")]
 
 
 def test_rate_limit_whatever_the_batches(spark, tmp_path):
