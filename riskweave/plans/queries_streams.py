@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskweave.plans.queries_corpus import rule_hits_sql
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
+from riskweave.sources.keyed_table import KeyedTable
 from riskweave.streaming import jobs, status_feed
 from riskweave.views import VIEWS, Views
 
@@ -30,13 +31,12 @@ _STATUS = "CASE event_type WHEN 'sast_scan_started' THEN 'running' ELSE event_ty
 @query("t1_latest_status", f"""SELECT scan_id, created_at, status FROM (SELECT *, {_STATUS} AS status,
   row_number() OVER (PARTITION BY scan_id ORDER BY created_at DESC, id DESC) AS r FROM scan_events) WHERE r = 1""")
 def t1_latest(v: Views) -> DataFrame:
-    base = f"{checkpoint_root(v.spark)}/streams"
-    run = f"{base}/t1-{uuid.uuid4().hex}"
+    run = f"{checkpoint_root(v.spark)}/streams/t1-{uuid.uuid4().hex}"
     q = (jobs.latest_status(_stream(v, "scan_events", "events")).writeStream.outputMode("update")
          .foreachBatch(jobs.keep_latest(f"{run}/out")).option("checkpointLocation", f"{run}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return jobs.read_latest(v.spark, f"{run}/out")
+    return KeyedTable(v.spark, f"{run}/out", ["scan_id"]).read()
 
 
 @query("t1_status_changes", f"""WITH e AS (SELECT *, {_STATUS} AS status FROM scan_events),
@@ -79,8 +79,9 @@ def t3(v: Views) -> DataFrame:
 @query("t4_notification_stream", """SELECT DISTINCT triggered_by AS user_id, CASE event_type WHEN 'completed' THEN 'scan_completed' ELSE 'scan_failed' END AS type, e.scan_id
   FROM scan_events e JOIN scans s ON e.scan_id = s.scan_id WHERE event_type IN ('completed', 'failed') AND triggered_by IS NOT NULL""")
 def t4(v: Views) -> DataFrame:
-    told = jobs.notification_stream(_stream(v, "scan_events", "events"), v.scans, delay="60 days")
-    return jobs.run_available(told, "t4").select("user_id", "type", "scan_id")
+    told = f"{checkpoint_root(v.spark)}/streams/t4-{uuid.uuid4().hex}/told"
+    jobs.run_batches(jobs.notification_stream(_stream(v, "scan_events", "events"), v.scans), "t4", jobs.tell_once(told))
+    return KeyedTable(v.spark, told, jobs.NOTICE).read().select("user_id", "type", "scan_id")
 
 
 @query("t5_incremental_detection", rule_hits_sql())
@@ -91,6 +92,18 @@ def t5(v: Views) -> DataFrame:
     return found.select("scan_id", "file_path", "rule_id", F.col("line_start").alias("line"))
 
 
+@query("t5_scored_batches", f"""SELECT scan_id, rule_id, count(*) AS n FROM ({rule_hits_sql()}) GROUP BY ALL""")
+def t5_scored(v: Views) -> DataFrame:
+    """Documents and pages arrive after each other; what is kept of their scans is what both found."""
+    path = f"{checkpoint_root(v.spark)}/streams/t5-{uuid.uuid4().hex}"
+    heads = v.scans.limit(0).select(F.col("scan_id").cast("string").alias("scan_id"), "source_type", "source_value")
+    for source, half in zip(("documents", "pages"), VIEWS["source_files"].split("UNION ALL")):
+        arriving = v.spark.sql(half, **{source: _files(v, source)})
+        jobs.run_batches(jobs.incremental_findings(arriving), f"t5-{source}", jobs.score_batch(heads, path, source=source))
+    raw, risk = KeyedTable(v.spark, f"{path}/raw", ["scan_id"]).read(), KeyedTable(v.spark, f"{path}/risk", ["scan_id"]).read()
+    return raw.join(risk, "scan_id").groupBy("scan_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("t6_phase_rates", """WITH e AS (SELECT time_bucket(INTERVAL '1' HOUR, created_at) AS w, CASE WHEN event_type IN ('running', 'sast_scan_started') THEN 'started'
   WHEN event_type = 'failed' THEN 'failed' WHEN event_type = 'completed' THEN 'completed' ELSE 'other' END AS phase FROM scan_events)
 SELECT w AS window_start, phase, count(*) AS n FROM e WHERE w + INTERVAL '1' HOUR <= (SELECT max(created_at) FROM scan_events) - INTERVAL '10' MINUTE GROUP BY ALL""")

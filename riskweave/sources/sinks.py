@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.session import stage
+from riskweave.sources.keyed_table import BUCKETS, KeyedTable
+
+LAYERS = 16
 
 
 # S16 ----------------------------------------------------------------------
-BUCKETS = 64
+def findings_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, path, ["scan_id"], buckets)
 
 
-def write_findings(findings: DataFrame, scans: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the findings of the given scans; running it again gives the same table.
+def write_findings(findings: DataFrame, scans: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Replace the findings of the given scans in one commit; running it again gives the same table.
 
-    A scan belongs to the folder of its hash modulo `buckets`, so the number of folders does not
-    follow the number of scans.  Touched folders are written anew with the findings of their other
-    scans; untouched ones stay.  A scan that found nothing writes one row without id, so that its
-    old findings go too; `tables.table` drops such rows.
+    A write costs what its scans hold, not what the table holds; other scans of a bucket are not touched, and
+    writers on different scans do not lose each other's rows.  Scans without findings become empty.
+    Every LAYERS writes the layers are merged.
     """
-    spark = findings.sparkSession
-    place = F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int")
-    empty = scans.select("scan_id").distinct().join(findings.select("scan_id").distinct(), "scan_id", "left_anti")
-    rows = findings.unionByName(empty, allowMissingColumns=True).withColumn("bucket", place)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:                        # the first write
-        old = None
-    if old is not None:
-        mine = scans.select("scan_id").unionByName(findings.select("scan_id")).distinct()
-        touched = mine.select(place.alias("bucket")).distinct()
-        others = old.join(touched, "bucket", "left_semi").join(mine, "scan_id", "left_anti")
-        # what is read is overwritten, so it is staged first
-        rows = stage(rows.unionByName(others, allowMissingColumns=True), "findings_write")
-    (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    table = findings_table(findings.sparkSession, path, buckets)
+    version = table.replace(findings, scans)
+    if version % LAYERS == 0:
+        table.compact()
+    return version
 
 
 # S17 ----------------------------------------------------------------------

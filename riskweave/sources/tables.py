@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from riskweave.sources.keyed_table import KeyedTable
 
 TABLES = [
     "scans", "findings", "scan_events", "finding_events", "audit_events", "notifications",
@@ -15,9 +17,8 @@ TABLES = [
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    # a scan without findings is stored as one row without id, see sinks.write_findings
-    return df.filter(F.col("id").isNotNull()).drop("bucket") if name == "findings" else df
+    path = f"{root.rstrip('/')}/{name}"
+    return KeyedTable(spark, path, ["scan_id"]).read() if name == "findings" else spark.read.parquet(path)
 
 
 def register(spark: SparkSession, root: str, names: list[str] | None = None) -> None:

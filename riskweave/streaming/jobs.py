@@ -24,6 +24,8 @@ from riskweave.operators import detection as d, enrichment as en
 from riskweave.operators.dedupe import deduplicate
 from riskweave.operators.risk import scan_risk
 from riskweave.session import checkpoint_root, stage
+from riskweave.sources.keyed_table import KeyedTable
+from riskweave.sources.sinks import LAYERS
 from riskweave.streaming.status_feed import TERMINAL, status_of
 
 @dataclass
@@ -55,19 +57,14 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def keep_latest(path: str):
-    """foreachBatch writer of an update stream: each batch in its own folder, so a
-    repeated batch replaces itself; readers take the newest row per scan."""
+    """foreachBatch writer of an update stream: the newest row per scan, in a table kept by scan."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table = KeyedTable(batch.sparkSession, path, ["scan_id"])
+        if table.replace(stage(batch, "latest")) % LAYERS == 0:
+            table.compact()
     return write
 
 
-def read_latest(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    newest = F.max(F.struct("batch_id", "created_at", "status"))
-    return rows.groupBy("scan_id").agg(newest.alias("s")).select("scan_id", "s.created_at", "s.status")
-
-
 # T2 -----------------------------------------------------------------------
 def _limiter(limit: int, window_us: int, count_rejected: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +148,36 @@ def stale_scans(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
 
 
 # T4 -----------------------------------------------------------------------
-def notification_stream(events: DataFrame, scans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One notice per user, type and scan within the watermark delay; scans is a table."""
-    done = (events.filter(F.col("event_type").isin(*TERMINAL))
-            .withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", delay))
-    who = scans.filter("triggered_by is not null").select("scan_id", F.col("triggered_by").alias("user_id"))
-    told = done.join(who, "scan_id").select(
-        "user_id", F.when(F.col("event_type") == "completed", "scan_completed").otherwise("scan_failed").alias("type"),
-        "scan_id", "at")
-    return told.dropDuplicatesWithinWatermark(["user_id", "type", "scan_id"])
+NOTICE = ["user_id", "type", "scan_id"]
+
+
+def notification_stream(events: DataFrame, scans: DataFrame) -> DataFrame:
+    """user_id, type, scan_id, at of every event that calls for a notice; scans is a table."""
+    done = events.filter(F.col("event_type").isin(*TERMINAL)).withColumn("at", F.col("created_at").cast("timestamp"))
+    who = scans.filter("triggered_by is not null and scan_id is not null").select("scan_id", F.col("triggered_by").alias("user_id"))
+    return done.join(who, "scan_id").select(
+        "user_id", F.when(F.col("event_type") == "completed", "scan_completed").otherwise("scan_failed").alias("type"), "scan_id", "at")
+
+
+def tell_once(path: str):
+    """foreachBatch handler: one notice per user, type and scan, however far its events lie apart.
+
+    What has been told is a keyed table.  A batch looks up its own notices in the buckets they fall in, adds the
+    new ones with their batch and earliest event, and leaves the others; a repeated batch finds its notices told.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        told = KeyedTable(batch.sparkSession, path, NOTICE)
+        asked = stage(batch.groupBy(*NOTICE).agg(F.min("at").alias("at")), "notices").withColumn("batch_id", F.lit(batch_id))
+        fresh = asked.join(told.read(asked), NOTICE, "left_anti") if told.manifest() else asked
+        if told.replace(fresh) % LAYERS == 0:
+            told.compact()
+    return run
+
+
+def run_batches(stream: DataFrame, name: str, handler) -> None:
+    """Hand over what is there, batch by batch."""
+    checkpoint = f"{checkpoint_root(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}/checkpoint"
+    stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 # T5 -----------------------------------------------------------------------
@@ -169,25 +187,33 @@ def incremental_findings(files: DataFrame, strict: bool = False) -> DataFrame:
     return en.union_engines(d.js_sink_findings_of(hits), d.pattern_findings_of(hits), d.secret_findings_of(hits))
 
 
-def score_batch(heads: DataFrame, path: str, sink):
+def score_batch(heads: DataFrame, path: str, sink=None, source: str = ""):
     """foreachBatch handler: the scans a batch touched are enriched, folded and scored whole.
 
-    A batch's raw findings are filed under path/batch=<id>, so a repeated batch replaces itself,
-    and the scans it touched are read back with what all earlier batches found in them: findings
-    of different batches chain and fold as if they had come at once.  heads: scan_id, source_type,
-    source_value; a scan without a head is scored with empty ones.  sink(findings, risk, batch_id)
-    stores the result, replacing the scans it names.
+    Raw findings are kept by scan in path/raw; a batch reads the buckets of the scans it touches, not what
+    earlier batches found elsewhere, and findings of different batches chain and fold as if they had come at
+    once.  Rows carry their batch (with several streams, `source` tells them apart), so a repeated batch replaces
+    itself.  heads: scan_id, source_type, source_value; a scan without a head is scored with empty ones.
+    Folded findings and risks go to path/findings and path/risk, kept by scan too; sink(findings, risk, batch_id)
+    is called with those of the touched scans.
     """
     def run(found: DataFrame, batch_id: int) -> None:
         spark = found.sparkSession
-        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        mine = spark.read.schema(found.schema).parquet(f"{path}/batch={batch_id}")
+        table = lambda name: KeyedTable(spark, f"{path}/{name}", ["scan_id"])
+        batch = f"{source}{batch_id}"
+        mine = stage(found.withColumn("batch", F.lit(batch)), "batch")
         touched = mine.select("scan_id").distinct()
-        so_far = spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(path)
-        raw = so_far.join(touched, "scan_id", "left_semi")
-        ready = en.enrich(en.correlate(raw).join(heads, "scan_id", "left").fillna("", ["source_type", "source_value"]))
+        if table("raw").manifest():
+            # scans in which only the former run of this batch found something are not touched any more
+            mine = stage(mine.unionByName(table("raw").read(touched).where(F.col("batch") != batch)), "touched")
+        ready = en.enrich(en.correlate(mine.drop("batch")).join(heads, "scan_id", "left").fillna("", ["source_type", "source_value"]))
         kept = stage(deduplicate(stage(ready, "enriched")), "kept")
-        sink(kept, scan_risk(kept, touched), batch_id)
+        risk = stage(scan_risk(kept, touched), "risk")
+        for name, rows in (("raw", mine), ("findings", kept), ("risk", risk)):
+            if table(name).replace(rows, touched) % LAYERS == 0:
+                table(name).compact()
+        if sink is not None:
+            sink(kept, risk, batch_id)
     return run
 
 

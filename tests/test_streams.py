@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from riskweave.operators import detection as d
+from riskweave.sources.keyed_table import KeyedTable
 from riskweave.streaming import jobs, status_feed
 from tests import fixtures as fx
 
@@ -154,8 +155,33 @@ def test_batches_of_one_scan_are_scored_as_one(spark, tmp_path):
 
 
 def test_notifications_once(spark, tmp_path):
-    rows = [(1, "s", "completed", at(0)), (2, "s", "completed", at(5)), (3, "s", "failed", at(9)), (4, "n", "failed", at(9))]
+    year = 366 * 86400
+    rows = [(1, "s", "completed", at(0)), (2, "s", "completed", at(5)), (3, "s", "failed", at(9)), (4, "n", "failed", at(9)), (5, "s", "completed", at(year)), (6, "s", "failed", None)]
     scans = spark.createDataFrame([("s", "u"), ("n", None)], "scan_id string, triggered_by string")
-    s = stream(spark, tmp_path, [rows[:1], rows[1:]], EVENTS)
-    got = sorted((r.user_id, r.type) for r in jobs.run_available(jobs.notification_stream(s, scans), "t").collect())
-    assert got == [("u", "scan_completed"), ("u", "scan_failed")]
+    for k, chunks in enumerate(([rows[:1], rows[1:4], rows[4:]], [[r] for r in rows[::-1]])):
+        path = str(tmp_path / f"told{k}")
+        candidates = jobs.notification_stream(stream(spark, tmp_path / str(k), chunks, EVENTS), scans)
+        jobs.run_batches(candidates, "t", jobs.tell_once(path))
+        told = KeyedTable(spark, path, jobs.NOTICE)
+        got = sorted((r.user_id, r.type) for r in told.read().collect())
+        assert got == [("u", "scan_completed"), ("u", "scan_failed")]
+        first = {r.type: r.batch_id for r in told.read().collect()}
+        # a batch that comes again tells nothing anew
+        again = spark.createDataFrame([("u", "scan_failed", "s", at(1)), ("u", "scan_completed", "s", at(1))], "user_id string, type string, scan_id string, at timestamp")
+        jobs.tell_once(path)(again, 99)
+        assert {r.type: r.batch_id for r in told.read().collect()} == first
+
+
+def test_a_batch_reads_only_the_scans_it_touches(spark, tmp_path):
+    """Bytes read follow the touched scans, however many batches came before."""
+    handler = jobs.score_batch(fx.heads(spark, ("s", "paste", "")), str(tmp_path / "state"))
+    many = fx.files(spark, **{f"s{i}": {"app.js": fx.NODE} for i in range(30)})
+    handler(d.pattern_findings(many), 0)
+    handler(d.pattern_findings(fx.files(spark, s1={"more.js": fx.NODE})), 1)
+    raw = KeyedTable(spark, str(tmp_path / "state" / "raw"), ["scan_id"])
+    newest = spark.read.parquet(f"{tmp_path}/state/raw/rows/layer={raw.manifest().layers[-1]}")
+    assert {r.scan_id for r in newest.select("scan_id").distinct().collect()} == {"s1"}
+    touched = raw.read(spark.createDataFrame([("s1",)], "scan_id string"))
+    opened = {f for f in touched.inputFiles()}
+    assert {r.scan_id for r in touched.collect()} == {"s1"} and touched.where("file_path = 'more.js'").count() and opened
+    assert KeyedTable(spark, str(tmp_path / "state" / "risk"), ["scan_id"]).read().count() == 30
