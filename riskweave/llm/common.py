@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweave.session import checkpoint_root, configure, stage
 
-__all__ = ["table", "documents", "keep", "scratch", "windows", "Memo", "remainder"]
+__all__ = ["table", "documents", "keep", "scratch", "windows", "Memo", "remainder", "hot_join"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def windows(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int
             yield batch.slice(begin)
 
 
+SHARES = 1000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed (one row a key; n: how many of the `total` rows hold the key), no key in one task.
+
+    A key is hot when it holds more than one of SHARES parts of all rows, so there are fewer than SHARES hot
+    keys whatever the input, and they are broadcast; the rows of all other keys meet them in a shuffle.
+    """
+    is_hot = F.col("n") * SHARES > total
+    hot, cold = keyed.where(is_hot).drop("n"), keyed.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on, how).unionByName(rest)
+
+
 class Memo:
     """Bytes of every distinct piece, worked out once a worker while they are in use.
 
