@@ -143,10 +143,6 @@ def marked(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("mark", F.xxhash64("text"))
 
 
-def _ends(column: str) -> list:
-    return [F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")]
-
-
 def _listed(spans: DataFrame) -> DataFrame:
     """One row a document: its runs.  Repeated rows of a document find the same runs once."""
     return spans.select(*MARKED, "first", "run").distinct().groupBy(*MARKED).agg(F.collect_list(F.struct("first", "run")).alias("spans"))
@@ -162,21 +158,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         raise ValueError("gram must lie between one and window")
     rows = marked(docs).where("doc_id is not null")
     anchors = keep(rows.mapInArrow(partial(_anchors, window=window, gram=gram), ANCHORS), "anchors")
-    seeds = keep(anchors.groupBy("anchor").agg(*_ends("doc_id")).where("lo < hi").select("anchor", "n"), "seeds")
+    held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    seeds = keep(held.where("lo < hi").select("anchor", "n"), "seeds")
     shared = keep(hot_join(anchors, seeds, ["anchor"], anchors.count(), "left_semi"), "shared")
-    total = shared.count()
-    classes = keep(shared.groupBy("anchor", "span").agg(*_ends("doc_id")), "classes")
-    contested = keep(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("anchor", "n"), "contested")
-    rivals = hot_join(classes.withColumnRenamed("n", "copies"), contested, ["anchor"], classes.count(), "left_semi").select("anchor", "span", "lo", "copies", F.lit(True).alias("contested"))
-    alone = classes.where("hi > lo").join(rivals.select("anchor", "span"), ["anchor", "span"], "left_anti").select("anchor", "span", "lo", F.col("n").alias("copies"), F.lit(False).alias("contested"))
-    judged = keep(rivals.unionByName(alone).withColumnRenamed("copies", "n"), "judged")
-    met = hot_join(shared, judged, ["anchor", "span"], total)
-    found = keep(met.where("doc_id > lo or contested").select(*MARKED, "first", "run", (F.col("doc_id") > F.col("lo")).alias("repeat")), "found")
+    classes = keep(shared.groupBy("anchor", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
+    contested = classes.groupBy("anchor").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("anchor", F.lit(True).alias("contested"))
+    judged = classes.join(contested, "anchor", "left").where("hi > lo or contested").select("anchor", "span", "lo", F.coalesce("contested", F.lit(False)).alias("contested"))
+    found = keep(shared.join(judged, ["anchor", "span"]).where("doc_id > lo or contested").select(*MARKED, "first", "run", (F.col("doc_id") > F.col("lo")).alias("repeat")), "found")
     single = keep(
         rows.join(_listed(found.where("not repeat")), MARKED).select(*MARKED, "text", "spans")
         .mapInArrow(partial(_single_windows, window=window), "doc_id long, mark long, first int, one long, two long"), "windows")
-    earliest = keep(single.groupBy("one", "two").agg(*_ends("doc_id")).where("lo < hi").select("one", "two", "lo", "n"), "earliest")
-    later = hot_join(single, earliest, ["one", "two"], single.count()).where("doc_id > lo").select(*MARKED, "first", F.lit(1).alias("run"))
+    earliest = single.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    later = single.join(earliest, ["one", "two"]).where("doc_id > lo").select(*MARKED, "first", F.lit(1).alias("run"))
     return found.where("repeat").select(*MARKED, "first", "run").unionByName(later)
 
 
