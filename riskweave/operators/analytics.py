@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskweave import fixed_values as fv
 from riskweave.functions import scoring as sc, text as tx
+from riskweave.operators.order_statistics import ordered
 from riskweave.schemas import missing
 
 _LEVELS = ["critical", "high", "medium", "low", "info"]
@@ -369,6 +370,9 @@ def api_projection(findings: DataFrame) -> DataFrame:
 
 
 # O1 .. O6 -----------------------------------------------------------------
+SHALLOW = 10_000                   # rows in front of a page's end that one task may hold
+
+
 def severity_order() -> list[Column]:
     """O2: severity, then CVSS, then age; the id makes it total."""
     return [sc.severity_rank(F.col("severity")).desc(), F.desc("cvss4_score"), F.asc("created_at"), F.asc("id")]
@@ -387,10 +391,12 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20,
          at_least_one: bool = True) -> DataFrame:
     """One page with its envelope columns page, total and total_pages.
 
-    The page is a top-k with offset; the total is a scalar subquery over the same
-    rows, so nothing is joined or collected.
+    A page near the start is a top-k with offset; the total is a scalar subquery over the same
+    rows, so nothing is joined or collected.  A page that lies deeper is read from sorted slices.
     """
     number, size = max(1, number), max(1, size)
+    if number * size > SHALLOW:
+        return ordered(df, [], order).page(number, size).drop("position")
     counted = df.agg(F.count(F.lit(1)).alias("n"))
     pages = F.ceil(F.col("total") / size)
     return (
@@ -402,8 +408,14 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20,
 
 
 def page_per_scope(df: DataFrame, scope: str, order: list[Column], number: int, size: int) -> DataFrame:
-    """The same page of every scope at once, with the scope's totals."""
+    """The same page of every scope at once, with the scope's totals.
+
+    Near the start, a scope's rank limit works below the shuffle, so at most SHALLOW rows of it meet;
+    deeper pages are read from sorted slices, which no scope has to fit into.
+    """
     number, size = max(1, number), max(1, size)
+    if number * size > SHALLOW:
+        return ordered(df, [scope], order).page(number, size)
     totals = df.groupBy(scope).agg(F.count(F.lit(1)).alias("total"))
     placed = df.withColumn("position", F.row_number().over(W.partitionBy(scope).orderBy(*order)))
     rows = placed.filter(F.col("position") <= number * size).filter(F.col("position") > (number - 1) * size)
@@ -500,18 +512,8 @@ def inbox(notifications: DataFrame, user_id: str | None = None, unread_only: boo
 def list_positions(findings: DataFrame) -> DataFrame:
     """Place of every finding in its scan's list (severity, CVSS, age, id).
 
-    Two levels: rows are numbered inside cells of equal severity, CVSS and day, and the
-    sizes of the cells before are added.  A scan with very many findings is so numbered
-    by many tasks instead of one; only its cells meet in one place.
+    Only the columns of the order are dealt and sorted, in slices, so a scan with very many findings is
+    numbered by many tasks.
     """
-    cell = ["scan_id", "_rank", "cvss4_score", "_day"]
-    slim = findings.select("scan_id", "id", "cvss4_score", "created_at", F.to_date("created_at").alias("_day"),
-                           sc.severity_rank(F.col("severity")).alias("_rank"))
-    inside = W.partitionBy(*cell).orderBy(F.asc("created_at"), F.asc("id"))
-    above = W.partitionBy("scan_id").orderBy(F.desc("_rank"), F.desc("cvss4_score"), F.asc("_day")) \
-        .rowsBetween(W.unboundedPreceding, -1)
-    offsets = (slim.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n"))
-    numbered = slim.withColumn("nth", F.row_number().over(inside))
-    return numbered.join(offsets, cell).select(
-        "id", "scan_id", (F.col("before") + F.col("nth")).cast("int").alias("position"))
+    slim = findings.select("scan_id", "id", "severity", "cvss4_score", "created_at")
+    return ordered(slim, ["scan_id"], severity_order()).positions().select("id", "scan_id", F.col("position").cast("int").alias("position"))
