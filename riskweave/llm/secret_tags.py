@@ -351,8 +351,18 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tagger | None:
 
 
 # -- scanning --------------------------------------------------------------------
+def outside(span: tuple[int, int], base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span covers: what the tagger saw beyond a pattern's end is secret too."""
+    out, at = [], span[0]
+    for a, b in sorted((a, b) for a, b, _ in base if a < span[1] and b > span[0]):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, span[1])] if at < span[1] else out
+
+
 class Scanner:
-    """All spans of texts: the patterns', and the CRF's where it meets none of them."""
+    """All spans of texts: the patterns', and the parts of the CRF's that lie outside them."""
 
     def __init__(self, tagger: Tagger | None, most: int = 300_000):
         self.tagger, self.most = tagger, most
@@ -382,7 +392,7 @@ class Scanner:
         left = self.open(text, words)
         if not left.any():
             return base
-        found = [(a, b, "crf") for a, b in self.tagger.spans(text, left.tolist()) if not any(x < b and y > a for x, y, _ in base)]
+        found = [(a, b, "crf") for span in self.tagger.spans(text, left.tolist()) for a, b in outside(span, base) if any(map(str.isalnum, text[a:b]))]
         return sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -48,3 +48,11 @@ def test_two_texts_under_one_id_in_two_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(50 + i, text("b", i) + " more") for i in range(12)] + [(100 + i, text("a", i)) for i in range(12)]
     assert sorted(map(tuple, cp.one_of_each_group(spark, docs, SF).collect())) == want
+
+
+def test_columns_of_the_documents_are_left_alone(spark):
+    """Columns named like the stage's own come out as they went in."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "mongo-1", "m1", "a"), (2, text, "mongo-2", "m2", "b"), (3, "other text here", "mongo-3", "m3", "c"), (4, None, "mongo-4", "m4", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _MARK string, __id string")
+    assert sorted(map(tuple, cp.one_of_each_group(spark, docs, SF).collect())) == [rows[0], rows[2], rows[3]]
