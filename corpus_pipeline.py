@@ -35,10 +35,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     named = jaccard_join.grouped(docs.select("doc_id", "text"), k=3, num=90, den=100)
     first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
-    kept = first.select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
+    own = ["_id", "_mark"]
+    while {c.lower() for c in own} & {c.lower() for c in docs.columns}:          # names that no column of the documents has
+        own = [f"_{c}" for c in own]
+    kept = first.select(F.col("r.doc_id").alias(own[0]), F.col("r.mark").alias(own[1]))
     plain = F.col("doc_id").isNull() | (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t-\r ]", "")) == "")
-    rows = docs.where(~plain).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_mark", jaccard_join.text_mark())
-    one = rows.join(kept, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    rows = docs.where(~plain).withColumn(own[0], F.col("doc_id").cast("long")).withColumn(own[1], jaccard_join.text_mark())
+    one = rows.join(kept, own, "left_semi").groupBy(*own).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
     return one.select("r.*").unionByName(docs.where(plain))
 
 
