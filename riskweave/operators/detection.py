@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from riskweave import fixed_values as fv
 from riskweave.functions import text as tx
 from riskweave.functions.scoring import lookup
+from riskweave.operators import dataflow
 from riskweave.schemas import as_raw_findings, seq
 from riskweave.sources.corpus import has_suffix, is_scannable, suffix
 
@@ -82,17 +83,17 @@ def line_window(lines: Column, start: Column, end: Column, radius: int = 10) ->
 
 # One pass over the corpus ----------------------------------------------------
 TAINT, SCRIPT, PATTERN, SECRET = 0, 2, 3, 5  # families, numbered by engine order
-_HIT = "array<struct<family:int,rule:int,pos:int,kind:int,snippet:string,line:int>>"
+_HIT = "array<struct<family:int,rule:int,pos:int,snippet:string,line:int,origin:int>>"
 
 
-def _hit(family: int, rule: int, pos: Column, kind: int, snippet: Column, line: Column) -> Column:
-    return F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), pos.alias("pos"),
-                    F.lit(kind).alias("kind"), snippet.alias("snippet"), line.cast("int").alias("line"))
+def _hit(family: int, rule: int, pos: Column, snippet: Column, line: Column, origin: Column | None = None) -> Column:
+    return F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), pos.alias("pos"), snippet.alias("snippet"), line.cast("int").alias("line"),
+                    (F.lit(None).cast("int") if origin is None else origin).alias("origin"))
 
 
-def _tagger(family: int, rule: int, kind: int = 0):
+def _tagger(family: int, rule: int):
     def tag(h, i):
-        return _hit(family, rule, i, kind, h["snippet"], h["line"])
+        return _hit(family, rule, i, h["snippet"], h["line"])
     return tag
 
 
@@ -152,7 +153,7 @@ def _script_hits(content: Column) -> Column:
     for n, rule in enumerate(fv.JS_SINKS):
         at = F.instr(content, rule["needle"])
         line = tx.newline_count(F.substring(content, F.lit(1), at - 1)) + 1
-        options.append(F.when(at > 0, _hit(SCRIPT, n, F.lit(0), 0, F.lit(rule["needle"]), line)))
+        options.append(F.when(at > 0, _hit(SCRIPT, n, F.lit(0), F.lit(rule["needle"]), line)))
     return F.array_compact(F.array(*options))
 
 
@@ -171,13 +172,25 @@ def _taint_gate() -> Column:
     return _either(out)
 
 
+def _reached_sinks(rule: int, sinks: Column, flows: Column) -> Column:
+    def with_origin(found: Column) -> Column:
+        def tag(h: Column, i: Column) -> Column:
+            at = F.try_element_at(F.filter(found, lambda f: f["line"] == h["line"]), F.lit(1))
+            return _hit(TAINT, rule, i, h["snippet"], h["line"], at["origin"])
+        return F.filter(F.transform(sinks, tag), lambda h: h["origin"].isNotNull())
+
+    # the lambda binds the flows once, for all sinks of the file
+    return F.element_at(F.transform(F.array(flows), with_origin), 1)
+
+
 def _taint_hits(content: Column) -> Column:
+    """Sinks that a source of their rule reaches; origin is the source's line."""
     parts = []
     for n, rule in enumerate(fv.TAINT_RULES):
-        tags = [F.transform(match_hits(content, "(?d)" + rule[field]), _tagger(TAINT, n, kind))
-                for kind, field in enumerate(("sources", "sanitizers", "sinks"))]
+        steps = dataflow.statements(split_lines(content), rule["suffix"], rule["sources"], rule["sanitizers"], rule["sinks"])
+        made = _reached_sinks(n, match_hits(content, "(?d)" + rule["sinks"]), dataflow.flows(steps))
         here = has_suffix(F.col("file_path"), [rule["suffix"]]) & _taint_pair(rule)
-        parts.append(F.when(here, F.concat(*tags)).otherwise(F.array().cast(_HIT)))
+        parts.append(F.when(here, made).otherwise(F.array().cast(_HIT)))
     return F.concat(*parts)
 
 
@@ -192,9 +205,9 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
               strict: bool = False) -> DataFrame:
     """Every hit of the chosen rule families, from a single read of each file.
 
-    Columns: scan_id, file_path, family, rule, pos, kind, snippet, line, context,
-    context_function.  Files without a hit are dropped by cheap gates before any
-    array is built.  Taint marks carry their whole line as snippet.
+    Columns: scan_id, file_path, family, rule, pos, snippet, line, origin (of a flow: its
+    source's line), context, context_function.  Files without a hit are dropped by cheap gates
+    before any array is built.  A flow carries its sink's whole line as snippet.
     """
     path, content = F.col("file_path"), F.col("content")
     gates = {
@@ -222,10 +235,10 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
     # time, and absent from the plan where nobody asks for them
     h = F.col("h")
     return found.select("scan_id", "file_path", "lines", "names", F.explode("hits").alias("h")).select(
-        "scan_id", "file_path", h["family"].alias("family"), h["rule"].alias("rule"), h["pos"].alias("pos"), h["kind"].alias("kind"),
+        "scan_id", "file_path", h["family"].alias("family"), h["rule"].alias("rule"), h["pos"].alias("pos"),
         F.when(h["family"] == TAINT, F.coalesce(F.get(F.col("lines"), h["line"] - 1), F.lit("")))
         .otherwise(h["snippet"]).alias("snippet"),
-        h["line"].alias("line"),
+        h["line"].alias("line"), h["origin"].alias("origin"),
         line_window(F.col("lines"), h["line"], h["line"]).alias("context"),
         # a position past the last line looks up from the last line
         enclosing_function(F.col("names"), F.greatest(F.least(h["line"], F.size("lines")), F.lit(1)))
@@ -316,29 +329,9 @@ def secret_findings_of(hits: DataFrame) -> DataFrame:
 
 
 # D8 / J13 -----------------------------------------------------------------
-def taint_flows(marks: DataFrame) -> DataFrame:
-    """Each sink with the nearest source at or above its line, sanitized ones dropped.
-
-    An as-of join as one window: marks are a small extract, and one group is one rule
-    in one file, so no group outgrows the file it came from.
-    """
-    order = W.partitionBy("scan_id", "file_path", "rule").orderBy("line", "kind", "pos") \
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    line = F.col("line")
-    return (
-        marks.filter(F.col("family") == TAINT)
-        .withColumn("source_line", F.last(F.when(F.col("kind") == 0, line), ignorenulls=True).over(order))
-        .withColumn("clean_line", F.last(F.when(F.col("kind") == 1, line), ignorenulls=True).over(order))
-        .filter((F.col("kind") == 2) & F.col("source_line").isNotNull()
-                & (F.col("clean_line").isNull() | (F.col("clean_line") < F.col("source_line"))))
-    )
-
-
 def taint_findings(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Candidate flows of the eight taint rules.
-
-    An approximation by design: a flow counts when source and sink occur in one file in
-    that order and no sanitizer stands on or between their lines.
+    """Candidate flows of the eight taint rules: a sink that uses a value which comes from a source of the
+    same function, with no sanitizer on the way.  What counts as a use is told in `dataflow`.
     """
     return taint_findings_of(rule_hits(files, (TAINT,), strict))
 
@@ -350,7 +343,7 @@ def taint_findings_of(hits: DataFrame) -> DataFrame:
     def step(message: str, line: str) -> Column:
         return F.struct(F.lit(message).alias("message"), F.col("file_path").alias("path"), F.col(line).alias("line"))
 
-    return as_raw_findings(taint_flows(hits).select(
+    return as_raw_findings(hits.filter(F.col("family") == TAINT).select(
         *_PLACE, seq(TAINT, F.col("file_path"), F.col("rule"), F.col("pos")).alias("seq"),
         F.lit("semgrep").alias("engine"), _by_rule(rules, "message").alias("title"),
         _by_rule(rules, "vuln_type").alias("vuln_type"), F.lit("High").alias("severity"),
@@ -362,7 +355,7 @@ def taint_findings_of(hits: DataFrame) -> DataFrame:
         F.lit(common["poc"]).alias("poc"), F.lit(common["remediation"]).alias("remediation"),
         F.lit(common["secure_example"]).alias("secure_example"),
         F.lit(common["pentest_hint"]).alias("pentest_hint"),
-        F.to_json(F.array(step("source", "source_line"), step("sink", "line"))).alias("dataflow_trace"),
+        F.to_json(F.array(step("source", "origin"), step("sink", "line"))).alias("dataflow_trace"),
     ))
 
 

@@ -181,6 +181,26 @@ def d8_handlers(v: Views) -> DataFrame:
     return d.taint_findings(_handlers(v)).select("scan_id", "file_path", "rule_id", "line_start", F.col("code_snippet").alias("snippet"))
 
 
+_JAVA_FLOWS = """SELECT o_custkey AS scan_id, 'src/H' || o_orderkey || '.java' AS file_path,
+  unnest(CASE o_orderkey % 7 WHEN 0 THEN [{'rule': 'java-sqli-taint', 'line': 5, 'origin': 3}] WHEN 1 THEN [{'rule': 'java-sqli-taint', 'line': 5, 'origin': 3}]
+    WHEN 4 THEN [{'rule': 'java-command-injection-taint', 'line': 3, 'origin': 2}] WHEN 6 THEN [{'rule': 'java-path-traversal-taint', 'line': 4, 'origin': 3}, {'rule': 'java-ssrf-taint', 'line': 5, 'origin': 3}] ELSE [] END) AS f FROM orders"""
+
+
+@query("d8_java_flows", f"SELECT scan_id, file_path, f.rule AS rule_id, f.line AS line_start, '[{{\"message\":\"source\",\"path\":\"' || file_path || '\",\"line\":' || f.origin || '}},{{\"message\":\"sink\",\"path\":\"' || file_path || '\",\"line\":' || f.line || '}}]' AS dataflow_trace FROM ({_JAVA_FLOWS})")
+def d8_java(v: Views) -> DataFrame:
+    """A renamed variable, a sanitizer on another variable, one on this, a name in two methods, an annotated parameter, an overwritten value, two rules."""
+    files = v.sql("""SELECT o_custkey AS scan_id, 'src/H' || CAST(o_orderkey AS STRING) || '.java' AS file_path, 'public class H {{' || chr(10) || CASE o_orderkey % 7
+      WHEN 4 THEN '  public void run(@RequestParam(\"c\") String cmd) {{' || chr(10) || '    Runtime.getRuntime().exec(cmd);'
+      ELSE '  public void get(HttpServletRequest req) {{' || chr(10) || '    String id = req.getParameter(\"id\");' || chr(10) || CASE o_orderkey % 7
+        WHEN 0 THEN '    String q = \"select \" + id;' || chr(10) || '    stmt.executeQuery(q);'
+        WHEN 1 THEN '    int n = Integer.parseInt(other);' || chr(10) || '    stmt.executeQuery(\"select \" + id);'
+        WHEN 2 THEN '    int n = Integer.parseInt(id);' || chr(10) || '    stmt.executeQuery(\"select id \" + n);'
+        WHEN 3 THEN '  }}' || chr(10) || '  private void put(String id) {{' || chr(10) || '    stmt.executeUpdate(id);'
+        WHEN 5 THEN '    id = \"fixed\";' || chr(10) || '    stmt.executeQuery(id); // id was ' || CAST(o_orderkey AS STRING)
+        ELSE '    File f = new File(\"/data/\" + id);' || chr(10) || '    new URL(id).openStream();' END END || chr(10) || '  }}' || chr(10) || '}}' || chr(10) AS content FROM {orders}""")
+    return d.taint_findings(files).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace")
+
+
 @query("f4_f5_context_function", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, 'handler_' || o_orderkey AS function_name,
   'def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END || '    os.system("run " + v)' AS context
 FROM orders WHERE o_orderpriority < '3'""")
