@@ -17,8 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # archive bodies travel to Python in batches of bounded size
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    # texts and archive bodies travel to Python in batches of bounded size; each is held twice on either side
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
