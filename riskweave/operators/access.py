@@ -199,5 +199,6 @@ def dashboards(users: DataFrame, projects: DataFrame, members: DataFrame, per_pr
     own = (private.filter("created_by is not null").groupBy(F.col("created_by").alias("user_id"), "organization_id").agg(*sums)
            .join(roles, ["user_id", "organization_id"], "left_anti").select("user_id", *figures))
     seen = teams.unionByName(own).groupBy("user_id").agg(*sums)
-    return users.select("user_id").join(seen, "user_id", "left").select(
-        "user_id", *[(F.coalesce(c, F.lit(0)) + public.select(c).scalar()).alias(c) for c in figures])
+    everyone = public.select(F.struct(*figures)).scalar()        # one subquery for all figures
+    return users.select("user_id").join(seen, "user_id", "left").withColumn("_public", everyone).select(
+        "user_id", *[(F.coalesce(c, F.lit(0)) + F.col(f"_public.{c}")).alias(c) for c in figures])

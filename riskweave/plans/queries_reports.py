@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from riskweave.operators import access as ac
+from riskweave.plans.queries_corpus import mask_sql
 from riskweave.plans.registry import query
 from riskweave.session import checkpoint_root
 from riskweave.sources import reports as rp, sinks, tables
@@ -45,7 +46,36 @@ def s10(v: Views) -> DataFrame:
     return rp.service_json(_scans(v), v.scan_findings, _WHEN).withColumnRenamed("at", "place")
 
 
-@query("s11_executive_json")
+_MASKED = ("x AS (SELECT * REPLACE (" + ", ".join(f"{mask_sql(c)} AS {c}" for c in ("code_snippet", "evidence", "poc")) + "), seq = min(seq) OVER (PARTITION BY scan_id) AS is_first FROM scan_findings)")
+_LEVELS = ["Critical", "High", "Medium", "Low", "Info"]
+_STATES = ["open", "confirmed", "false_positive", "fixed", "accepted_risk"]
+
+
+def _ranked(key: str, label: str, limit: str) -> str:
+    """SQL of the list of a scan's counts by a key, most frequent first."""
+    return (f"SELECT scan_id, '[' || string_agg('{{\"{label}\":' || to_json(k) || ',\"count\":' || n || '}}', ',' ORDER BY n DESC, k) || ']' AS l FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, k) AS r "
+            f"FROM (SELECT scan_id, {key} AS k, count(*) AS n FROM scan_findings GROUP BY ALL)) WHERE {limit} GROUP BY scan_id")
+
+
+_EXECUTIVE_HEAD = f"""h AS (SELECT s.*, coalesce(total, 0) AS total, {", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in _LEVELS + _STATES)},
+  coalesce(a.l, '[]') AS files, coalesce(b.l, '[]') AS engines, coalesce(d.l, '[]') AS owasps FROM scans s
+  LEFT JOIN (SELECT scan_id, count(*) AS total, {", ".join(f"count(*) FILTER (severity = '{x}') AS {x.lower()}" for x in _LEVELS)}, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in _STATES)} FROM scan_findings GROUP BY scan_id) c ON s.scan_id = c.scan_id
+  LEFT JOIN ({_ranked("file_path", "filePath", "r <= 10")}) a ON s.scan_id = a.scan_id LEFT JOIN ({_ranked("engine", "engine", "true")}) b ON s.scan_id = b.scan_id
+  LEFT JOIN ({_ranked("CASE WHEN owasp_category = '' THEN 'Unmapped' ELSE owasp_category END", "category", "true")}) d ON s.scan_id = d.scan_id)"""
+_EXECUTIVE_BODY = _object([
+    ("id", "id"), ("ruleId", "rule_id"), ("scanCategory", "scan_category"), ("engine", "engine"), ("title", "title"), ("vulnType", "vuln_type"), ("severity", "severity"),
+    ("cvss4Score", "cvss4_score"), ("confidence", "confidence"), ("verificationStatus", "verification_status"), ("cweId", "cwe_id"), ("owaspCategory", "owasp_category"), ("filePath", "file_path"),
+    ("lineNumber", "line_number"), ("lineStart", "line_start"), ("lineEnd", "line_end"), ("codeSnippet", "code_snippet"), ("evidence", "evidence"), ("poc", "poc"), ("remediation", "remediation"),
+    ("source", "source"), ("sink", "sink"), ("status", "status"), ("dedupeHash", "dedupe_hash")])
+
+
+@query("s11_executive_json", f"""WITH {_MASKED}, {_EXECUTIVE_HEAD}
+SELECT scan_id, 0 AS section, '' AS place, '{{"scan":{{"id":"' || scan_id || '","status":"' || status || '","riskLevel":"' || risk_level || '","riskPercent":' || to_json(risk_percent) || ',"sourceType":' || to_json(source_type) || ',"sourceValue":' || to_json(source_value) ||
+  '}},"executiveSummary":{{"riskLevel":"' || risk_level || '","riskScore":' || to_json(risk_percent) || ',"totalFindings":' || total || ',"topAffectedFiles":' || files || ',"byEngine":' || engines || ',"byOwaspCategory":' || owasps ||
+  '}},"summary":{{"total":' || total || ',"riskScore":' || to_json(risk_percent) || {" || ".join(f"',\"{x.lower()}\":' || {x.lower()}" for x in _LEVELS + _STATES)} || ',"topAffectedFiles":' || files || ',"byEngine":' || engines || ',"byOwaspCategory":' || owasps ||
+  '}},"generated_at":"{_WHEN}","scanner_version":"1.0.0","exported_by":"user-1","findings":[' AS line FROM h
+UNION ALL SELECT scan_id, 1, seq, CASE WHEN is_first THEN '' ELSE ',' END || '{{' || {_EXECUTIVE_BODY} || '}}' FROM x
+UNION ALL SELECT scan_id, 2, '', ']}}' FROM scans""")
 def s11(v: Views) -> DataFrame:
     """Masked executive report of every scan."""
     return rp.executive_json(_scans(v), v.scan_findings, "user-1", _WHEN).withColumnRenamed("at", "place")
@@ -71,9 +101,31 @@ def w6(v: Views) -> DataFrame:
     return rp.rules_registry(v.scan_findings).select("scan_id", "rule", "rule_index", F.col("f.title").alias("title"), F.col("f.severity").alias("severity"))
 
 
-@query("s12_service_sarif")
+_URI = """CASE WHEN "references" <> '' THEN trim(split_part("references", chr(10), 1)) WHEN cwe_id <> '' THEN 'https://cwe.mitre.org/data/definitions/' || replace(cwe_id, 'CWE-', '') || '.html' ELSE '' END"""
+_PASCAL = "array_to_string(list_transform(list_slice(string_split(title, ' '), 1, 6), lambda w: upper(w[1:1]) || lower(w[2:])), '')"
+_SERVICE_RULE = f"""'{{"id":' || to_json(rule_id) || ',"name":' || to_json({_PASCAL}) || ',"shortDescription":{{"text":' || to_json(title) || '}},"fullDescription":{{"text":' || to_json(CASE WHEN why_vulnerable <> '' THEN why_vulnerable ELSE attack_scenario END) ||
+  '}},"helpUri":' || to_json({_URI}) || ',"help":{{"text":' || to_json('Remediation: ' || remediation || chr(10) || chr(10) || 'Pentest hint: ' || CASE WHEN pentest_hint = '' THEN 'N/A' ELSE pentest_hint END || chr(10) || chr(10) || 'References: ' || CASE WHEN "references" = '' THEN {_URI} ELSE "references" END) ||
+  '}},"properties":{{"tags":["security"],' || {_object([("cwe", "cwe_id"), ("owasp", "owasp_category"), ("scanCategory", "scan_category"), ("severity", "severity"), ("cvss4", "cvss4_score"), ("impact", "impact"), ("pentestHint", "pentest_hint")])} || '}}}}'"""
+_PLACE = """'{"uri":' || to_json(file_path) || ',"uriBaseId":"%SRCROOT%"}'"""
+_STEP = '{"id":0,"message":{"text":"in"},"physicalLocation":{"artifactLocation":{"uri":"a.py","uriBaseId":"%SRCROOT%"},"region":{"startLine":3}}},{"id":1,"message":{"text":"out"},"physicalLocation":{"artifactLocation":'
+_SERVICE_RESULT = f"""'{{"ruleId":' || to_json(rule_id) || ',"ruleIndex":' || i || ',"level":"' || CASE severity WHEN 'Critical' THEN 'error' WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END || '","message":{{"text":' ||
+  to_json(title || '. Source: ' || CASE WHEN source = '' THEN 'unknown' ELSE source END || ' → Sink: ' || CASE WHEN sink = '' THEN 'unknown' ELSE sink END || '. Confidence: ' || format('{{:.2f}}', confidence) || '. VerificationStatus: ' || verification_status || '.') ||
+  '}},"locations":[{{"physicalLocation":{{"artifactLocation":' || {_PLACE} || ',"region":{{"startLine":' || line_start || ',"endLine":' || greatest(line_end, line_start) || CASE WHEN evidence <> '' THEN ',"snippet":{{"text":' || to_json(evidence) || '}}' ELSE '' END ||
+  '}}}}}}],"fingerprints":{{"dedupeHash/v1":' || to_json(dedupe_hash) || '}},"properties":{{' || {_object([("engine", "engine"), ("scanCategory", "scan_category"), ("confidence", "confidence"), ("verificationStatus", "verification_status"), ("cwe", "cwe_id"), ("owasp", "owasp_category"),
+  ("cvss4", "cvss4_score"), ("impact", "impact"), ("remediation", "remediation"), ("pentestHint", "pentest_hint")])} || '}}' || CASE WHEN contains(dataflow_trace, 'message') THEN ',"relatedLocations":[{_STEP}' || {_PLACE} || ',"region":{{"startLine":' || line_start || '}}}}}}]' ELSE '' END || '}}'"""
+
+
+@query("s12_service_sarif", f"""WITH {_FIRST}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq, rule_id) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY seq) AS nth FROM x) WHERE nth = 1),
+y AS (SELECT x.*, r.i FROM x JOIN r ON x.scan_id = r.scan_id AND x.rule_id = r.rule_id)
+SELECT scan_id, 0 AS section, '' AS place, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"riskweave","version":"1.0.0","informationUri":"https://example.org/riskweave","rules":[' AS line FROM scans
+UNION ALL SELECT scan_id, 1, lpad(CAST(i AS VARCHAR), 10, '0'), CASE WHEN i = 0 THEN '' ELSE ',' END || {_SERVICE_RULE} FROM r
+UNION ALL SELECT scan_id, 2, '', ']}}}},"results":[' FROM scans
+UNION ALL SELECT scan_id, 3, seq, CASE WHEN is_first THEN '' ELSE ',' END || {_SERVICE_RESULT} FROM y
+UNION ALL SELECT scan_id, 4, '', '],"artifacts":[' FROM scans
+UNION ALL SELECT scan_id, 5, seq, CASE WHEN is_first THEN '' ELSE ',' END || '{{"location":' || {_PLACE} || '}}' FROM x
+UNION ALL SELECT scan_id, 6, '', '],"properties":{{"scanId":"' || scan_id || '","riskLevel":"' || risk_level || '","riskPercent":' || to_json(risk_percent) || ',"generatedAt":"{_WHEN}"}}}}]}}' FROM scans""")
 def s12(v: Views) -> DataFrame:
-    """Nested documents with conditional keys: checked by parsing in the tests."""
+    """Nested documents with conditional keys."""
     return rp.service_sarif(_scans(v), v.scan_findings, _WHEN).withColumnRenamed("at", "place")
 
 
@@ -90,7 +142,21 @@ def s12_results(v: Views) -> DataFrame:
                         region["startLine"].alias("line_start"), region["endLine"].alias("line_end"), doc["fingerprints"]["dedupeHash/v1"].alias("dedupe_hash"))
 
 
-@query("s13_dashboard_sarif")
+_TOOL_URI = "https://example.org/riskweave"
+_SEVERITY_TEXT = "CASE WHEN cvss4_score = floor(cvss4_score) THEN CAST(CAST(cvss4_score AS BIGINT) AS VARCHAR) ELSE CAST(cvss4_score AS VARCHAR) END"
+_DASHBOARD_LEVEL = "CASE lower(severity) WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END"
+_DASHBOARD_RULE = f"""'{{"id":' || to_json(rule_id) || ',"name":' || to_json(title) || ',"shortDescription":{{"text":' || to_json(title) || '}},"fullDescription":{{"text":' || to_json(CASE WHEN why_vulnerable <> '' THEN why_vulnerable ELSE attack_scenario END) ||
+  '}},"help":{{"text":' || to_json(remediation) || '}},"properties":{{"tags":' || to_json(list_filter([scan_category, engine, cwe_id, owasp_category], lambda t: t <> '')) || ',"precision":"' || CASE WHEN confidence > 0.8 THEN 'very-high' ELSE 'high' END || '","security-severity":"' || {_SEVERITY_TEXT} || '"}}}}'"""
+_DASHBOARD_RESULT = f"""'{{"ruleId":' || to_json(rule_id) || ',"level":"' || {_DASHBOARD_LEVEL} || '","message":{{"text":' || to_json(title) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file_path) || '}},"region":{{"startLine":' || line_start || ',"endLine":' || line_end ||
+  CASE WHEN code_snippet <> '' THEN ',"snippet":{{"text":' || to_json(code_snippet) || '}}' ELSE '' END || '}}}}}}]}}'"""
+
+
+@query("s13_dashboard_sarif", f"""WITH {_MASKED}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY seq) AS nth FROM x) WHERE nth = 1)
+SELECT scan_id, 0 AS section, '' AS place, '{{"version":"2.1.0","$schema":"https://docs.oasis-open.org/sarif/sarif/v2.1.0/os/schemas/sarif-schema-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"riskweave","informationUri":"{_TOOL_URI}","version":"1.0.0","rules":[' AS line FROM scans
+UNION ALL SELECT scan_id, 1, seq, CASE WHEN is_first THEN '' ELSE ',' END || {_DASHBOARD_RULE} FROM r
+UNION ALL SELECT scan_id, 2, '', ']}}}},"results":[' FROM scans
+UNION ALL SELECT scan_id, 3, seq, CASE WHEN is_first THEN '' ELSE ',' END || {_DASHBOARD_RESULT} FROM x
+UNION ALL SELECT scan_id, 4, '', ']}}]}}' FROM scans""")
 def s13(v: Views) -> DataFrame:
     return rp.dashboard_sarif(_scans(v), v.scan_findings).withColumnRenamed("at", "place")
 

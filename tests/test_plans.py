@@ -1,5 +1,7 @@
 """Physical plans of the registered queries: no pairwise joins, no row-wise Python."""
 
+import re
+
 import pytest
 
 from riskweave.plans import registry
@@ -37,3 +39,26 @@ def test_rank_limits_are_pushed_below_the_shuffle(spark, small, name):
 def test_scan_prunes_columns_and_pushes_filters(spark, small):
     text = plan(spark, small, "p2_findings_filter")
     assert "l_comment" not in text and "l_tax" not in text and "PushedFilters" in text
+
+
+@pytest.mark.parametrize("name", ["s11_executive_json", "s12_service_sarif", "s13_dashboard_sarif"])
+def test_a_report_reads_the_findings_twice(spark, small, name, monkeypatch):
+    """Once for everything that is counted or named, once for the lines of the findings themselves."""
+    from riskweave.sources import reports
+    reads, staged = [0], reports.stage
+
+    def scans(df):
+        return sum("Relation" in line and "l_suppkey" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    def stage(df, label):
+        reads[0] += scans(df)
+        return staged(df, label)
+    monkeypatch.setattr(reports, "stage", stage)
+    last = registry.callables()[name](spark, small)
+    reads[0] += scans(last)
+    assert reads[0] == 2
+
+
+def test_the_overview_has_one_public_subquery(spark, small):
+    plan = registry.callables()["a10_dashboard_overview"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Subquery subquery#(\d+)", plan))) <= 1
