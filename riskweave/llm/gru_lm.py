@@ -8,9 +8,11 @@ with n tokens and v words of the class in training; the 1 is the share of unknow
 the probabilities of all outcomes sum to one.
 
 Training is one pass over all training documents by truncated back-propagation in numpy.  The
-corpus is cut into rounds; in a round every task starts from the common weights, follows its
-own documents, and the weights are averaged by tokens (a sum in Spark).  Scoring carries each
-document's state from window to window, whatever its length.
+corpus is cut into rounds and shards by hashes of the texts, one shard for about SHARD_TOKENS
+tokens; in a round every shard starts from the common weights, follows its own documents in the order of
+their hashes, and the weights are averaged by tokens (a sum in Spark).  So the model is a function of the
+documents, not of tasks or partitions.  A document begins behind an end token, in training as in scoring,
+which carries each document's state from window to window, whatever its length.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ COUNTED = 1 << 18                  # words whose counts every worker holds; rare
 HIDDEN, STEPS, LANES = 16, 16, 256
 ROUNDS = (1, 4, 11)                # shares of the training documents in the rounds of averaging
 RATE = 0.01
+SHARD_TOKENS = 8_000_000
+RUN = 1 << 22                      # bytes of text that a trainer follows at a time
 
 
 def tokens(text: str) -> list[bytes]:
@@ -79,6 +84,7 @@ class Vocabulary:
 
     def __post_init__(self):
         self.code = {w: i for i, w in enumerate(self.words[:FREQUENT])}
+        self.start = int(self.codes([END])[0])          # what stands before a document
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Input code of each token: frequent ones by rank, others by tail class."""
@@ -169,7 +175,8 @@ def _logits(h: np.ndarray, target: np.ndarray, p: dict, grad: dict | None) -> tu
 class Trainer:
     """Truncated back-propagation with Adam from given weights."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
+    def __init__(self, weights: dict[str, np.ndarray], start: int):
+        self.start = start
         self.p = {k: v.copy() for k, v in weights.items()}
         self.first = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -183,7 +190,7 @@ class Trainer:
         target = np.append(codes, np.zeros(pad, np.int32)).reshape(lanes, length).T
         live = np.append(np.ones(len(codes), bool), np.zeros(pad, bool)).reshape(lanes, length).T
         begin = np.append(starts, np.ones(pad, bool)).reshape(lanes, length).T
-        source = np.concatenate([[0], codes[:-1], np.zeros(pad, np.int32)]).reshape(lanes, length).T
+        source = np.concatenate([[self.start], codes[:-1], np.zeros(pad, np.int32)]).reshape(lanes, length).T
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, length, STEPS):
             h = self._window(source[t:t + STEPS], target[t:t + STEPS], begin[t:t + STEPS], live[t:t + STEPS], h)
@@ -239,7 +246,39 @@ class Trainer:
             self.p[k] += np.float32(RATE) * m / (np.sqrt(v) + 1e-7)
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
+def _follow(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Weights of every shard; rows come sorted by shard.  Runs are cut by bytes of text, whatever the batches."""
+    vocab, weights = pickle.loads(shared.value)
+    shard, trainer, held, size = None, None, [], 0
+
+    def follow() -> None:
+        runs = [vocab.codes(tokens(t) + [END]) for t in held]
+        starts = np.zeros(sum(map(len, runs)), bool)
+        starts[np.cumsum([0] + [len(r) for r in runs[:-1]])] = True
+        trainer.stream(np.concatenate(runs), starts)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for name, w in trainer.p.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w.ravel()], pa.list_(pa.float32())), pa.array([trainer.seen], pa.int64())], ["name", "w", "seen"])
+
+    for batch in batches:
+        for own, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+            if own != shard or size > RUN:
+                if held:
+                    follow()
+                held, size = [], 0
+            if own != shard:
+                if trainer is not None:
+                    yield from out()
+                shard, trainer = own, Trainer(weights, vocab.start)
+            held.append(text)
+            size += len(text)
+    if held:
+        follow()
+        yield from out()
+
+
+def train(docs: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> dict[str, np.ndarray]:
     """Weights after one pass over all given documents, averaged in each of ROUNDS."""
     weights = initial(vocab)
     if not vocab.total:
@@ -247,23 +286,13 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     context = docs.sparkSession.sparkContext
     small = Vocabulary(vocab.words[:FREQUENT], vocab.counts[:FREQUENT], vocab.total, vocab.distinct, vocab.tail_tokens, vocab.tail_words)
     shares = np.cumsum((0,) + ROUNDS)
-    place = F.pmod(F.xxhash64("text"), F.lit(int(shares[-1])))
+    place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(int(shares[-1])))           # copies under other ids spread
+    shards = max(1, -(-vocab.total // shard_tokens))
     for low, high in zip(shares[:-1].tolist(), shares[1:].tolist()):
         shared = context.broadcast(pickle.dumps((small, weights)))
-
-        def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocab, weights = pickle.loads(shared.value)
-            trainer = Trainer(weights)
-            for window in windows(batches, chars=1 << 22):
-                runs = [vocab.codes(tokens(t) + [END]) for t in window.column("text").to_pylist()]
-                starts = np.zeros(sum(map(len, runs)), bool)
-                starts[np.cumsum([0] + [len(r) for r in runs[:-1]])] = True
-                trainer.stream(np.concatenate(runs), starts)
-            if trainer.seen:
-                for name, w in trainer.p.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w.ravel()], pa.list_(pa.float32())), pa.array([trainer.seen], pa.int64())], ["name", "w", "seen"])
-
-        parts = documents(docs).select("text").where((place >= low) & (place < high)).mapInArrow(follow, "name string, w array<float>, seen long")
+        rows = documents(docs).where((place >= low) & (place < high)).withColumn("shard", F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(shards)).cast("int"))
+        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text", "doc_id", F.lit(2)), "doc_id", "text")
+        parts = dealt.select("shard", "text").mapInArrow(partial(_follow, shared=shared), "name string, w array<float>, seen long")
         sums = parts.select("name", "seen", F.posexplode("w").alias("at", "w")).groupBy("name", "at").agg(
             (F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w"))
         for r in sums.toLocalIterator():
@@ -273,8 +302,8 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
 
 # -- scoring -----------------------------------------------------------------------
-def likelihood(runs: list[np.ndarray], p: dict[str, np.ndarray], steps: int = 32) -> np.ndarray:
-    """Natural log-likelihood of each run of codes, whole; states go from window to window."""
+def likelihood(runs: list[np.ndarray], p: dict[str, np.ndarray], start: int, steps: int = 32) -> np.ndarray:
+    """Natural log-likelihood of each run of codes behind the code start, whole; states go from window to window."""
     order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
     size = np.array([len(runs[i]) for i in order])
     table = (p["embed"] @ p["wx"] + p["b"]).astype(np.float32)
@@ -289,7 +318,7 @@ def likelihood(runs: list[np.ndarray], p: dict[str, np.ndarray], steps: int = 32
             run = runs[order[k]]
             part = run[t:t + width]
             target[k, :len(part)] = part
-            source[k, :len(part)] = run[t - 1:t - 1 + len(part)] if t else np.append(np.int32(0), part[:-1])
+            source[k, :len(part)] = run[t - 1:t - 1 + len(part)] if t else np.append(np.int32(start), part[:-1])
         states, own = np.empty((width, lanes, n), np.float32), h[:lanes]
         for s in range(width):
             gx, gh = table[source[:, s]], own @ p["wh"]
@@ -337,7 +366,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: dict[s
                              float(found[known & tail].sum()) - float(tail_size[codes[tail] - FREQUENT].sum()),
                              [{"word": w, "n": k} for w, k in rare.items()]))
                 row += 1
-            model = likelihood(runs, weights) / np.log(10)
+            model = likelihood(runs, weights, vocab.start) / np.log(10)
             columns = list(zip(*rows))
             kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays(

@@ -2,11 +2,13 @@
 
 import math
 import random
+import zlib
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.llm import gru_lm, jaccard_join, license_scan, quality, secret_tags
 from riskweave.llm.common import documents, remainder
@@ -284,15 +286,90 @@ def test_gradient_and_windows():
     p = gru_lm.initial(vocab)
     rng = np.random.default_rng(5)
     runs = [rng.integers(0, gru_lm.FREQUENT + gru_lm.TAILS, n).astype(np.int32) for n in (1, 5, 40, 100)]
-    whole = gru_lm.likelihood(runs, p, steps=1000)
-    assert np.allclose(whole, gru_lm.likelihood(runs, p, steps=7), rtol=1e-5)
-    assert np.allclose(whole[2], gru_lm.likelihood([runs[2]], p)[0], rtol=1e-5)
-    trainer, before = gru_lm.Trainer(p), gru_lm.likelihood(runs[3:], p)[0]
+    whole = gru_lm.likelihood(runs, p, vocab.start, steps=1000)
+    assert np.allclose(whole, gru_lm.likelihood(runs, p, vocab.start, steps=7), rtol=1e-5)
+    assert np.allclose(whole[2], gru_lm.likelihood([runs[2]], p, vocab.start)[0], rtol=1e-5)
+    trainer, before = gru_lm.Trainer(p, vocab.start), gru_lm.likelihood(runs[3:], p, vocab.start)[0]
     starts = np.zeros(100, bool)
     starts[0] = True
     for _ in range(30):
         trainer.stream(runs[3], starts)
-    assert gru_lm.likelihood(runs[3:], trainer.p)[0] > before + 10
+    assert gru_lm.likelihood(runs[3:], trainer.p, vocab.start)[0] > before + 10
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    vocab = gru_lm.Vocabulary([b"w%d" % i for i in range(2500)] + [gru_lm.END], np.arange(2501, 0, -1), 3128751, 2501, np.full(gru_lm.TAILS, 50), np.full(gru_lm.TAILS, 40))
+    rng = np.random.default_rng(9)
+    return vocab, {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.2) for k, v in gru_lm.initial(vocab).items()}
+
+
+def plainly(run, p, start):
+    """The same likelihood, one step and one token at a time."""
+    p = {k: v.astype(float) for k, v in p.items()}
+    h, n, total, before = np.zeros(gru_lm.HIDDEN), gru_lm.HIDDEN, 0.0, start
+    for code in run:
+        a, b = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = 1 / (1 + np.exp(-(a + b)[:n])), 1 / (1 + np.exp(-(a + b)[n:2 * n]))
+        c = np.tanh(a[2 * n:] + r * b[2 * n:])
+        h = z * h + (1 - z) * c
+        logits = h @ p["wc"] + p["bc"]
+        klass = code // gru_lm.CLASS_WORDS if code < gru_lm.FREQUENT else gru_lm.CLASSES + code - gru_lm.FREQUENT
+        total += logits[klass] - np.log(np.exp(logits).sum())
+        if code < gru_lm.FREQUENT:
+            inner = p["wo"][klass] @ h + p["bo"][klass]
+            total += inner[code % gru_lm.CLASS_WORDS] - np.log(np.exp(inner).sum())
+        before = code
+    return total
+
+
+def test_forward_equals_single_steps(small_model):
+    vocab, p = small_model
+    assert vocab.start == gru_lm.FREQUENT + zlib.crc32(b"") % gru_lm.TAILS and vocab.codes([b"w5", gru_lm.END]).tolist() == [5, vocab.start]
+    rng = np.random.default_rng(1)
+    runs = [rng.integers(0, gru_lm.FREQUENT + gru_lm.TAILS, n).astype(np.int32) for n in (1, 3, 40, 70)]
+    assert np.allclose(gru_lm.likelihood(runs, p, vocab.start, steps=16), [plainly(r, p, vocab.start) for r in runs], rtol=1e-5)
+
+
+def test_outcomes_sum_to_one(small_model):
+    vocab, p = small_model
+    for prefix in ([], [3], [7, gru_lm.FREQUENT + 2, 100]):
+        before = gru_lm.likelihood([np.array(prefix, np.int32)], p, vocab.start)[0] if prefix else 0.0
+        every = [np.array(prefix + [c], np.int32) for c in range(gru_lm.FREQUENT + gru_lm.TAILS)]
+        assert abs(np.exp(gru_lm.likelihood(every, p, vocab.start) - before).sum() - 1) < 1e-3
+
+
+def test_gradient_by_finite_differences(small_model):
+    vocab, p = small_model
+    rng = np.random.default_rng(2)
+    run = rng.integers(0, gru_lm.FREQUENT + gru_lm.TAILS, gru_lm.STEPS).astype(np.int32)
+    seen = {}
+    trainer = gru_lm.Trainer(p, vocab.start)
+    trainer._adam = lambda grad, n: seen.update({k: np.array(g, float) for k, g in grad.items()})
+    starts = np.zeros(len(run), bool)
+    starts[0] = True
+    trainer.stream(run, starts)
+    for name in p:
+        # the steepest entries, so that rounding of 32-bit states does not decide
+        for at in np.argsort(-np.abs(seen[name].ravel()))[:4]:
+            value = {}
+            for step in (0.01, -0.01):
+                moved = {k: v.astype(float) for k, v in p.items()}
+                moved[name].reshape(-1)[at] += step
+                value[step] = plainly(run, moved, vocab.start)
+            slope = (value[0.01] - value[-0.01]) / 0.02
+            assert math.isclose(slope, seen[name].ravel()[at], rel_tol=2e-2, abs_tol=2e-3), (name, at)
+
+
+def test_the_model_does_not_depend_on_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    vocab = gru_lm.vocabulary(gru_lm.count_tokens(docs))
+    models = [gru_lm.train(rows, vocab, 20_000) for rows in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("doc_id")).repartition(16))]
+    start = gru_lm.initial(vocab)
+    for m in models[1:]:
+        for k in m:
+            assert np.allclose(m[k], models[0][k], rtol=1e-4, atol=1e-5), k
+    assert any(not np.allclose(models[0][k], start[k]) for k in start)
 
 
 def test_language_model_on_awkward_rows(spark):
