@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskweave.functions import text as tx
 from riskweave.operators import detection as d, enrichment as en, evaluation as ev
 from riskweave.plans.registry import query
-from riskweave.plans.scan_plan import scan
+from riskweave.plans.scan_plan import scan, scan_job
 from riskweave.sources import corpus as co, external_reports as xr
 from riskweave.views import Views
 
@@ -227,6 +227,44 @@ def full_scan(v: Views) -> DataFrame:
     return scan(files, scans)[1]
 
 
+# --- the scan job: one scan per customer over the handlers of its orders -------------
+def _job(v: Views) -> dict[str, DataFrame]:
+    """Policies of every third project switch the pattern engine off, those of the next the URL rule; older
+    findings of the same places were dismissed or fixed; some notices were told before."""
+    scans = v.sql("""SELECT c_custkey AS scan_id, c_custkey AS project_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'user-' || CAST(c_custkey % 7 AS STRING) END AS triggered_by,
+      'archive' AS source_type, 'upload' AS source_value, TIMESTAMP_NTZ '1999-06-01 00:00:00' AS started_at FROM {customer}""")
+    policies = v.sql("""SELECT c_custkey AS project_id, CASE WHEN c_custkey % 3 = 0 THEN '["semgrep","secrets"]' ELSE '[]' END AS enabled_engines, 'Info' AS severity_threshold, false AS ai_triage_enabled, false AS secret_verification_enabled,
+      CASE WHEN c_custkey % 3 = 1 THEN '{{"python-ssrf-taint":{{"enabled":false}}}}' ELSE '{{}}' END AS rule_overrides FROM {customer}""")
+    history = v.sql("""SELECT o_custkey AS project_id, substring(sha2(CASE WHEN o_orderpriority < '3' THEN 'python-command-injection-taint' ELSE 'python-ssrf-taint' END || ':app/h' || CAST(o_orderkey AS STRING) || '.py:' ||
+      CASE WHEN o_orderstatus = 'F' THEN '4' ELSE '3' END, 256), 1, 16) AS dedupe_hash, -1 - o_custkey AS scan_id, TIMESTAMP_NTZ '1999-01-01 00:00:00' AS created_at, 'old-' || CAST(o_orderkey AS STRING) AS id,
+      CASE o_orderkey % 4 WHEN 1 THEN 'false_positive' WHEN 2 THEN 'fixed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 1 THEN 'user-7' END AS assignee_id, 'unverified' AS verification_status FROM {orders}""")
+    told = v.sql("""SELECT 'user-' || CAST(c_custkey % 7 AS STRING) AS user_id, 'scan_completed' AS type, '{{"scanId":"' || CAST(c_custkey AS STRING) || '"}}' AS payload FROM {customer} WHERE c_custkey % 5 = 0""")
+    return scan_job(_handlers(v), scans, history, told, F.expr("TIMESTAMP_NTZ '1999-06-01 00:00:07'"), policies=policies)
+
+
+_JOB = """job AS (SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, o_orderkey, o_orderstatus, unnest(CASE WHEN o_orderpriority >= '3' THEN CASE WHEN o_custkey % 3 = 1 THEN [] ELSE ['python-ssrf-taint'] END
+  ELSE list_concat(CASE WHEN o_orderstatus = 'F' THEN [] ELSE ['python-command-injection-taint'] END, CASE WHEN o_custkey % 3 = 0 THEN [] ELSE ['sast.injection-sink'] END) END) AS rule_id FROM orders)"""
+
+
+@query("scan_job_findings", f"""WITH {_JOB} SELECT scan_id, file_path, rule_id, 'Critical' AS severity, CAST(CASE WHEN rule_id = 'sast.injection-sink' THEN 0.84 ELSE 0.9 END AS DOUBLE) AS confidence,
+  CASE WHEN rule_id = 'sast.injection-sink' THEN 'open' WHEN o_orderkey % 4 = 1 THEN 'false_positive' WHEN o_orderkey % 4 = 2 THEN 'reopened' ELSE 'open' END AS status,
+  CASE WHEN rule_id <> 'sast.injection-sink' AND o_orderkey % 4 = 1 THEN 'user-7' END AS assignee_id FROM job""")
+def job_findings(v: Views) -> DataFrame:
+    """What a scan job stores: detected, correlated, ruled by policy, folded, scored, with the state of older findings."""
+    return _job(v)["findings"].select("scan_id", "file_path", "rule_id", "severity", "confidence", "status", "assignee_id")
+
+
+@query("scan_job_outcome", f"""WITH {_JOB}, g AS (SELECT scan_id, greatest(least(round(sum(30 * CASE WHEN rule_id = 'sast.injection-sink' THEN 0.84 ELSE 0.9 END), 6), 100.0), 85.0) AS p FROM job GROUP BY scan_id)
+SELECT c_custkey AS scan_id, 'completed' AS status, CASE WHEN p IS NULL THEN 'Low' ELSE 'Critical' END AS risk_level, CAST(coalesce(p, 5.0) AS DOUBLE) AS risk_percent, CAST(7000 AS BIGINT) AS duration_ms,
+  'Scan completed with risk ' || CASE WHEN p IS NULL THEN 'Low' ELSE 'Critical' END AS message, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 THEN 'user-' || (c_custkey % 7) END AS notified FROM customer LEFT JOIN g ON c_custkey = scan_id""")
+def job_outcome(v: Views) -> DataFrame:
+    """The scan rows with risk and duration, their events, and who is told."""
+    out = _job(v)
+    told = out["notifications"].select(F.get_json_object("payload", "$.scanId").cast("long").alias("scan_id"), F.col("user_id").alias("notified"))
+    return (out["scans"].select("scan_id", "status", "risk_level", "risk_percent", F.col("duration_ms").cast("long").alias("duration_ms"))
+            .join(out["events"].select("scan_id", "message"), "scan_id").join(told, "scan_id", "left"))
+
+
 # --- F16, S1, S2, S3, P11, W4 ---------------------------------------------------
 @query("f16_mask_tokens", """SELECT scan_id, file_path, sha256(regexp_replace(content, '([a-zA-Z0-9_-]{4})[a-zA-Z0-9_-]{8,}([a-zA-Z0-9_-]{4})', '\\1...\\2', 'g')) AS masked FROM source_files""")
 def f16(v: Views) -> DataFrame:
