@@ -150,6 +150,53 @@ def project_deleted_notifications(deleted: DataFrame, members: DataFrame) -> Dat
                                        F.col("actor_id").alias("deletedBy"))).alias("payload")))
 
 
+# E2, teams ----------------------------------------------------------------
+def team_deleted_notifications(deleted: DataFrame, members: DataFrame) -> DataFrame:
+    """deleted(organization_id, name, actor_id) -> notices to every member but the one who deleted it."""
+    told = deleted.join(members.select("organization_id", "user_id").distinct(), "organization_id").filter(~F.col("user_id").eqNullSafe(F.col("actor_id")))
+    payload = F.struct(F.col("organization_id").cast("string").alias("organizationId"), F.col("name").alias("organizationName"), F.col("actor_id").alias("deletedBy"))
+    return told.select("user_id", F.lit("team_deleted").alias("type"), F.lit("Team deleted").alias("title"),
+                       F.concat("name", F.lit(" was deleted.")).alias("message"), F.to_json(payload).alias("payload"))
+
+
+def membership_ends(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """asked(organization_id, user_id, actor_id) with the member's role and the outcome: left, removed, last_owner or not_found."""
+    owners = members.groupBy("organization_id").agg(F.count_if(F.col("role") == "owner").alias("_owners"))
+    known = members.select("organization_id", "user_id", "role")
+    outcome = (F.when(F.col("role").isNull(), "not_found")
+               .when((F.col("role") == "owner") & (F.col("_owners") <= 1), "last_owner")
+               .when(F.col("user_id") == F.col("actor_id"), "left").otherwise("removed"))
+    return (asked.join(known, ["organization_id", "user_id"], "left").join(owners, "organization_id", "left")
+            .withColumn("outcome", outcome).drop("_owners"))
+
+
+def membership_notifications(ends: DataFrame, organizations: DataFrame, members: DataFrame, users: DataFrame) -> DataFrame:
+    """Notices of membership ends: to the other members when somebody left, to the member when they were removed."""
+    team = organizations.select("organization_id", F.col("name").alias("_team"))
+    named = ends.filter(F.col("outcome").isin("left", "removed")).join(team, "organization_id")
+    who = users.select("user_id", F.coalesce(missing(F.col("name")), missing(F.col("email")), F.lit("A member")).alias("_who"))
+    left = named.filter("outcome = 'left'").join(who, "user_id", "left")
+    others = members.select("organization_id", F.col("user_id").alias("_to"))
+    to_others = left.join(others, "organization_id").filter(F.col("_to") != F.col("user_id"))
+    place = [F.col("organization_id").cast("string").alias("organizationId"), F.col("_team").alias("organizationName")]
+    return to_others.select(
+        F.col("_to").alias("user_id"), F.lit("team_member_left").alias("type"), F.lit("A member left your team").alias("title"),
+        F.concat(F.coalesce("_who", F.lit("A member")), F.lit(" left "), "_team", F.lit(".")).alias("message"),
+        F.to_json(F.struct(*place, F.col("user_id").alias("userId"))).alias("payload"),
+    ).unionByName(named.filter("outcome = 'removed'").select(
+        "user_id", F.lit("team_member_removed").alias("type"), F.lit("You were removed from a team").alias("title"),
+        F.concat(F.lit("You were removed from "), "_team", F.lit(".")).alias("message"),
+        F.to_json(F.struct(*place, F.col("actor_id").alias("removedBy"))).alias("payload")))
+
+
+# E1, reviews --------------------------------------------------------------
+def review_events(reviews: DataFrame) -> DataFrame:
+    """reviews(finding_id, user_id, review) -> one ai_review event each; review is the reviewer's JSON answer, kept whole."""
+    nothing = F.lit(None).cast("string")
+    return reviews.filter(F.col("review").isNotNull()).select(
+        "finding_id", "user_id", F.lit("ai_review").alias("event_type"), nothing.alias("old_value"), nothing.alias("new_value"), F.col("review").alias("comment"))
+
+
 # E4 -----------------------------------------------------------------------
 def audit_events(events: DataFrame, findings: DataFrame) -> DataFrame:
     """Audit rows for finding events, with old and new values as JSON."""
@@ -158,8 +205,9 @@ def audit_events(events: DataFrame, findings: DataFrame) -> DataFrame:
         F.when(kind.isin("status_changed", "verification_status_changed"), "finding.triage.update")
         .when(kind.isin("assigned", "unassigned"), "finding.assign")
         .when(kind == "comment", "finding.comment")
+        .when(kind == "ai_review", "finding.ai_review")
     )
-    change = F.when(kind != "comment", F.struct(F.col("old_value").alias("oldValue"), F.col("new_value").alias("newValue")))
+    change = F.when(~kind.isin("comment", "ai_review"), F.struct(F.col("old_value").alias("oldValue"), F.col("new_value").alias("newValue")))
     f = findings.select(F.col("id").alias("finding_id"), "project_id", "scan_id")
     return events.withColumn("action", action).filter("action is not null").join(f, "finding_id").select(
         "user_id", "action", F.lit("Finding").alias("entity_type"),

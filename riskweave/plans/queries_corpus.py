@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskweave.functions import text as tx
 from riskweave.operators import detection as d, enrichment as en, evaluation as ev
@@ -201,6 +201,17 @@ def d8_java(v: Views) -> DataFrame:
     return d.taint_findings(files).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace")
 
 
+@query("u3_engine_order", """WITH f AS (SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, unnest(CASE WHEN o_orderpriority >= '3' THEN [{'e': 0, 'r': 6, 'id': 'python-ssrf-taint'}]
+  WHEN o_orderstatus = 'F' THEN [{'e': 3, 'r': 2, 'id': 'sast.injection-sink'}] ELSE [{'e': 0, 'r': 5, 'id': 'python-command-injection-taint'}, {'e': 3, 'r': 2, 'id': 'sast.injection-sink'}] END) AS x FROM orders)
+SELECT scan_id, file_path, x.id AS rule_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY x.e, file_path, x.r) AS INT) AS position FROM f""")
+def u3(v: Views) -> DataFrame:
+    """Place of every finding among those of all engines: by engine, then file, then rule."""
+    hits = d.rule_hits(_handlers(v), (d.TAINT, d.PATTERN))
+    both = en.union_engines(d.pattern_findings_of(hits), d.taint_findings_of(hits)).filter(F.col("rule_id") != "sast.ssrf-url-sink")
+    order = Window.partitionBy("scan_id").orderBy("seq")
+    return both.select("scan_id", "file_path", "rule_id", F.row_number().over(order).alias("position"))
+
+
 @query("f4_f5_context_function", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, 'handler_' || o_orderkey AS function_name,
   'def handler_' || o_orderkey || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END || '    os.system("run " + v)' AS context
 FROM orders WHERE o_orderpriority < '3'""")

@@ -353,6 +353,75 @@ def e2_projects(v: Views) -> DataFrame:
     return go.project_deleted_notifications(gone, v.organization_members).select("user_id", "message")
 
 
+@query("e2_team_deleted", """SELECT m.user_id, o.name || ' was deleted.' AS message, '{"organizationId":"' || o.organization_id || '","organizationName":"' || o.name || '","deletedBy":"user-5"}' AS payload
+FROM organizations o JOIN (SELECT DISTINCT organization_id, user_id FROM organization_members) m ON o.organization_id = m.organization_id WHERE o.organization_id % 2 = 1 AND m.user_id <> 'user-5'""")
+def e2_teams(v: Views) -> DataFrame:
+    gone = v.organizations.filter("organization_id % 2 = 1").withColumn("actor_id", F.lit("user-5"))
+    return go.team_deleted_notifications(gone, v.organization_members).select("user_id", "message", "payload")
+
+
+def _leaving(v: Views) -> DataFrame:
+    """Every sixth supplier leaves its team, those after are removed from theirs, some ask for a team they are not in."""
+    return v.sql("""SELECT CASE WHEN s_suppkey % 6 = 2 THEN s_nationkey + 1 ELSE s_nationkey END AS organization_id, 'user-' || CAST(s_suppkey AS STRING) AS user_id,
+      CASE WHEN s_suppkey % 6 = 0 THEN 'user-' || CAST(s_suppkey AS STRING) ELSE 'user-1' END AS actor_id FROM {supplier} WHERE s_suppkey % 6 < 3""")
+
+
+_ENDS = """ends AS (SELECT q.*, m.role, CASE WHEN m.role IS NULL THEN 'not_found' WHEN m.role = 'owner' AND w.n <= 1 THEN 'last_owner' WHEN q.user_id = q.actor_id THEN 'left' ELSE 'removed' END AS outcome
+  FROM (SELECT CASE WHEN s_suppkey % 6 = 2 THEN s_nationkey + 1 ELSE s_nationkey END AS organization_id, 'user-' || s_suppkey AS user_id, CASE WHEN s_suppkey % 6 = 0 THEN 'user-' || s_suppkey ELSE 'user-1' END AS actor_id FROM supplier WHERE s_suppkey % 6 < 3) q
+  LEFT JOIN organization_members m ON m.organization_id = q.organization_id AND m.user_id = q.user_id
+  LEFT JOIN (SELECT organization_id, count(*) FILTER (role = 'owner') AS n FROM organization_members GROUP BY ALL) w ON w.organization_id = q.organization_id)"""
+
+
+@query("e2_membership_ends", f"WITH {_ENDS} SELECT organization_id, user_id, outcome FROM ends")
+def e2_ends(v: Views) -> DataFrame:
+    return go.membership_ends(_leaving(v), v.organization_members).select("organization_id", "user_id", "outcome")
+
+
+@query("e2_membership_notifications", f"""WITH {_ENDS} SELECT m.user_id, 'team_member_left' AS type, coalesce(nullif(u.name, ''), nullif(u.email, ''), 'A member') || ' left ' || o.name || '.' AS message,
+  '{{"organizationId":"' || e.organization_id || '","organizationName":"' || o.name || '","userId":"' || e.user_id || '"}}' AS payload
+FROM ends e JOIN organizations o ON e.organization_id = o.organization_id JOIN organization_members m ON m.organization_id = e.organization_id AND m.user_id <> e.user_id LEFT JOIN users u ON u.user_id = e.user_id WHERE outcome = 'left'
+UNION ALL SELECT e.user_id, 'team_member_removed', 'You were removed from ' || o.name || '.', '{{"organizationId":"' || e.organization_id || '","organizationName":"' || o.name || '","removedBy":"user-1"}}'
+FROM ends e JOIN organizations o ON e.organization_id = o.organization_id WHERE outcome = 'removed'""")
+def e2_members(v: Views) -> DataFrame:
+    ends = go.membership_ends(_leaving(v), v.organization_members)
+    return go.membership_notifications(ends, v.organizations, v.organization_members, v.users).select("user_id", "type", "message", "payload")
+
+
+_REVIEW = """'{"isLikelyTruePositive":' || CASE WHEN severity = 'Critical' THEN 'true' ELSE 'false' END || ',"confidence":0.75,"explanation":"' || title || '"}'"""
+
+
+@query("e1_review_events", f"SELECT id AS finding_id, 'user-2' AS user_id, 'ai_review' AS event_type, {_REVIEW} AS comment FROM findings WHERE severity IN ('Critical', 'High')")
+def e1_reviews(v: Views) -> DataFrame:
+    return go.review_events(_reviews(v)).select("finding_id", "user_id", "event_type", "comment")
+
+
+def _reviews(v: Views) -> DataFrame:
+    answer = F.concat(F.lit('{"isLikelyTruePositive":'), F.when(F.col("severity") == "Critical", "true").otherwise("false"), F.lit(',"confidence":0.75,"explanation":"'), "title", F.lit('"}'))
+    return v.findings.filter(F.col("severity").isin("Critical", "High")).select(F.col("id").alias("finding_id"), F.lit("user-2").alias("user_id"), answer.alias("review"))
+
+
+@query("e4_review_audit", """SELECT 'user-2' AS user_id, 'finding.ai_review' AS action, CAST(id AS VARCHAR) AS entity_id, '{"projectId":"' || project_id || '","scanId":"' || scan_id || '"}' AS metadata
+FROM findings WHERE severity IN ('Critical', 'High')""")
+def e4_reviews(v: Views) -> DataFrame:
+    return go.audit_events(go.review_events(_reviews(v)), v.findings).select("user_id", "action", "entity_id", "metadata")
+
+
+@query("o6_project_tokens", "SELECT id, project_id, scopes, is_active FROM api_tokens WHERE project_id % 2 = 1")
+def o6_tokens(v: Views) -> DataFrame:
+    """The list of tokens never shows their hashes."""
+    tokens = v.api_tokens.filter("project_id % 2 = 1").withColumn("created_at", _now())
+    listed = an.project_tokens(tokens)
+    assert "token_hash" not in listed.columns
+    return listed.select("id", "project_id", "scopes", "is_active")
+
+
+@query("e6_invite_replies", f"""SELECT i.id AS invite_id, CASE WHEN i.id % 3 = 0 THEN 'other@example.org' ELSE email END AS email, CASE WHEN i.id % 3 <> 0 AND status = 'pending' AND expires_at >= {AS_OF} THEN 'ok' ELSE 'invalid' END AS outcome FROM invites i""")
+def e6_replies(v: Views) -> DataFrame:
+    """Every third reply comes from another address than the invited one."""
+    replies = v.invites.select(F.col("id").alias("invite_id"), "organization_id", F.when(F.col("id") % 3 == 0, "other@example.org").otherwise(F.col("email")).alias("email"))
+    return go.resolve_invites(replies, v.invites, _now()).select("invite_id", "email", "outcome")
+
+
 @query("j8_scan_notifications", """SELECT triggered_by AS user_id, 'scan_completed' AS type, 'Scan ' || scan_id || ' completed with risk ' || risk_level || '.' AS message, CAST(scan_id AS VARCHAR) AS ref
 FROM scans s WHERE status = 'completed' AND triggered_by IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM notifications n WHERE n.user_id = s.triggered_by AND n.type = 'scan_completed' AND n.id = s.scan_id)""")
