@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import tarfile
+import uuid
 import zipfile
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,7 +15,8 @@ from riskweave.functions import text as tx
 from riskweave.operators import detection as d, enrichment as en, evaluation as ev
 from riskweave.plans.registry import query
 from riskweave.plans.scan_plan import scan, scan_job
-from riskweave.sources import corpus as co, external_reports as xr
+from riskweave.session import checkpoint_root
+from riskweave.sources import archive_files as af, corpus as co, external_reports as xr
 from riskweave.views import Views
 
 # base name without folders, and its suffix ('' when the name starts or ends with its only dot)
@@ -331,11 +335,58 @@ def _archives(v: Views) -> DataFrame:
     return v.documents.select("doc_id", "source", "text").mapInPandas(_zip_documents, "archive string, body binary")
 
 
-@query("s3_archive_expansion", """SELECT doc_id || '.zip' AS archive, 1 AS ordinal, source || '/main.py' AS member, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS content FROM documents
-UNION ALL SELECT doc_id || '.zip', 2, CASE WHEN doc_id % 10 = 0 THEN '../evil.py' ELSE 'notes.md' END, 1, sha256('x') FROM documents""")
+def _mixed_documents(batches):
+    """A zip, a compressed tar, a zip cut in half or a file of another kind for every document."""
+    for batch in batches:
+        names, bodies = [], []
+        for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
+            out, files = io.BytesIO(), [(f"{source}/main.py", text.encode()), ("../evil.py" if doc_id % 10 == 0 else "notes.md", b"x")]
+            if doc_id % 5 == 2:
+                with tarfile.open(fileobj=out, mode="w:gz") as tf:
+                    for name, body in files:
+                        info = tarfile.TarInfo(name)
+                        info.size = len(body)
+                        tf.addfile(info, io.BytesIO(body))
+            else:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+                    for name, body in files:
+                        zf.writestr(name, body)
+            whole = out.getvalue()
+            names.append(f"{doc_id}{'.tar.gz' if doc_id % 5 == 2 else '.rar' if doc_id % 5 == 4 else '.zip'}")
+            bodies.append(whole[:len(whole) // 2] if doc_id % 5 == 3 else whole)
+        yield pd.DataFrame({"archive": names, "body": bodies})
+
+
+def _mixed_archives(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", "source", "text").mapInPandas(_mixed_documents, "archive string, body binary")
+
+
+_EXPANDED = """SELECT doc_id || CASE WHEN doc_id % 5 = 2 THEN '.tar.gz' ELSE '.zip' END AS archive, 1 AS ordinal, source || '/main.py' AS member, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'file' AS kind, sha256(text) AS content FROM documents WHERE doc_id % 5 < 3
+UNION ALL SELECT doc_id || CASE WHEN doc_id % 5 = 2 THEN '.tar.gz' ELSE '.zip' END, 2, CASE WHEN doc_id % 10 = 0 THEN '../evil.py' ELSE 'notes.md' END, 1, 'file', sha256('x') FROM documents WHERE doc_id % 5 < 3
+UNION ALL SELECT doc_id || CASE WHEN doc_id % 5 = 3 THEN '.zip' ELSE '.rar' END, CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END, '', 0, CASE WHEN doc_id % 5 = 3 THEN 'corrupt' ELSE 'unsupported' END, NULL FROM documents WHERE doc_id % 5 >= 3"""
+
+
+@query("s3_archive_expansion", _EXPANDED)
 def s3(v: Views) -> DataFrame:
-    return co.expand_archives(_archives(v)).select(
-        "archive", "ordinal", "member", "size", F.sha2(F.col("content"), 256).alias("content"))
+    return co.expand_archives(_mixed_archives(v)).select("archive", "ordinal", "member", "size", "kind", F.sha2(F.col("content"), 256).alias("content"))
+
+
+def _write_archives(batches, folder):
+    for batch in batches:
+        for name, body in zip(batch["archive"], batch["body"]):
+            system, inside = af.locate(f"{folder}/{int(name.split('.')[0]) % 16}/{name}")
+            system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inside, compression=None) as out:
+                out.write(bytes(body))
+        yield batch[["archive"]]
+
+
+@query("s3_archive_files", _EXPANDED)
+def s3_files(v: Views) -> DataFrame:
+    """The same archives as files of the shared folder: an index by ranges, then bodies dealt by bytes."""
+    folder = f"{checkpoint_root(v.spark)}/archives/{uuid.uuid4().hex}"
+    _mixed_archives(v).mapInPandas(partial(_write_archives, folder=folder), "archive string").count()
+    return af.expand_archive_files(v.spark, folder).select("archive", "ordinal", "member", "size", "kind", F.sha2(F.col("content"), 256).alias("content"))
 
 
 @query("w4_archive_limits", """SELECT doc_id || '.zip' AS archive, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS total_size, CAST(2 AS BIGINT) AS member_count, doc_id % 10 = 0 AS unsafe,
