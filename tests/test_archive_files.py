@@ -64,6 +64,6 @@ def test_tars_by_ranges_and_damaged_ones(spark, folder):
 def test_parts_follow_bytes_and_no_body_is_read_for_the_index(spark, folder, monkeypatch):
     index = af.archive_index(spark, str(folder)).where("archive = 'many.zip'")
     dealt = {r.part: r.n for r in af.parts(index, task_bytes=200_000).groupBy("part").agg(F.sum("stored").alias("n")).collect()}
-    assert len(dealt) == 10 and max(dealt.values()) <= 250_000
+    assert len(dealt) == 11 and max(dealt.values()) <= 250_000
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
