@@ -381,3 +381,31 @@ def test_language_model_on_awkward_rows(spark):
     none = gru_lm.count_tokens(empty(spark))
     assert gru_lm.vocabulary(none).total == 0 and gru_lm.score(empty(spark), none, gru_lm.vocabulary(none), gru_lm.initial(gru_lm.vocabulary(none))).count() == 0
     assert gru_lm.score(docs, none, gru_lm.vocabulary(none), gru_lm.train(empty(spark), gru_lm.vocabulary(none))).count() == 11
+
+
+@pytest.fixture(scope="module")
+def licences(spark):
+    return license_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize("text,family", [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3", "AGPL"),
+    ("Licensed under the Eclipse Public License, version 2.0.", "EPL-2.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA"), ("Licensed under CC BY 4.0.", "CC-BY"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "BSD"),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", "MIT"),
+    ("Licensed under the Apache License.", "Apache-2.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Licensed under the Open Software License, version 3.0.", None), ("Licensed under the European Union Public Licence, version 1.2.", None),
+    ("The license plate was blue and the public was general.", None)])
+def test_licence_siblings_and_strangers(licences, text, family):
+    got = licences.family(text)
+    assert (got[0] if got else None) == family, got
+
+
+def test_wrapped_licence_texts(licences):
+    text = ("Some words before.\n\n# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n"
+            "# documentation files (the \"Software\"), to deal in the\n# Software without restriction\n\nOther words behind, long enough to be a line.\n")
+    n, found = license_scan.notices_of(text, licences.family)
+    assert n == 6 and [f["family"] for f in found] == ["MIT"]
+    assert text[found[0]["start"]:found[0]["end"]].startswith("# Permission") or "granted" in text[found[0]["start"]:found[0]["end"]]
