@@ -16,7 +16,7 @@ from riskweave.operators import detection as d, enrichment as en, evaluation as
 from riskweave.plans.registry import query
 from riskweave.plans.scan_plan import scan, scan_job
 from riskweave.session import checkpoint_root
-from riskweave.sources import archive_files as af, corpus as co, external_reports as xr
+from riskweave.sources import archive_files as af, corpus as co, external_reports as xr, tree_source as ts
 from riskweave.views import Views
 
 # base name without folders, and its suffix ('' when the name starts or ends with its only dot)
@@ -306,6 +306,36 @@ def s1(v: Views) -> DataFrame:
     return v.documents.select("doc_id", F.sha2(co.decode_utf8(broken), 256).alias("decoded"))
 
 
+def _write_tree(batches, folder):
+    """Every document as a file, with a byte behind it that is no text."""
+    for batch in batches:
+        for scan, path, content in zip(batch["scan_id"], batch["file_path"], batch["content"]):
+            system, inside = af.locate(f"{folder}/{scan}/{path}")
+            system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inside, compression=None) as out:
+                out.write(content.encode() + b"\xff")
+        yield batch[["scan_id"]]
+
+
+def _tree(v: Views) -> DataFrame:
+    folder = f"{checkpoint_root(v.spark)}/trees/{uuid.uuid4().hex}"
+    v.source_files.where("scan_id <> 'web'").select("scan_id", "file_path", "content").mapInPandas(partial(_write_tree, folder=folder), "scan_id string").count()
+    ts.register(v.spark)
+    return v.spark.read.format(ts.NAME).option("partition_bytes", 1 << 20).load(folder)
+
+
+@query("s1_source_tree", "SELECT scan_id, file_path, sha256(replace(content, chr(65533), '')) AS content, CAST(octet_length(encode(content)) + 1 AS BIGINT) AS size FROM source_files WHERE scan_id <> 'web'")
+def s1_tree(v: Views) -> DataFrame:
+    """The documents written as a tree and read as a data source, in partitions of a megabyte."""
+    return _tree(v).select("scan_id", "file_path", F.sha2("content", 256).alias("content"), "size")
+
+
+@query("s1_pruned_tree", "SELECT scan_id, file_path, sha256(replace(content, chr(65533), '')) AS content FROM source_files WHERE scan_id <> 'web' AND file_path LIKE 'conf/%' AND file_path LIKE '%.yml'")
+def s1_pruned(v: Views) -> DataFrame:
+    """Conditions on the path drop files before their bodies are opened."""
+    return _tree(v).where(F.col("file_path").startswith("conf/") & F.col("file_path").endswith(".yml")).select("scan_id", "file_path", F.sha2("content", 256).alias("content"))
+
+
 @query("s2_pasted_payload", """SELECT conv_id AS scan_id, CASE WHEN role = 'system' THEN '../' ELSE 'src/' END || role || turn || '.py' AS file_path, text AS content, CAST(octet_length(encode(text)) AS BIGINT) AS size, role = 'system' AS rejected FROM conversations
 UNION ALL SELECT conv_id, 'empty.py', '', 0, role = 'system' FROM conversations""")
 def s2(v: Views) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from riskweave.plans import registry
 
 QUERIES = registry.callables()
-PYTHON = {"s3_archive_expansion", "s3_archive_files", "w4_archive_limits"}
+PYTHON = {"s1_source_tree", "s1_pruned_tree", "s3_archive_expansion", "s3_archive_files", "w4_archive_limits"}
 RUNS_ON_CALL = {"full_scan_risk", "scan_job_findings", "scan_job_outcome", "s16_findings_write", "s17_event_append"} | {n for n in QUERIES if n[:2] in ("t1", "t2", "t3", "t4", "t5", "t6")}
 TOP_K = ["a4_file_heatmap", "a5_engine_counts", "a6_owasp_counts", "a13_badge_summary", "w2_risk_trend", "w3_review_candidates",
          "o1_page_per_scan", "j1_carry_forward"]
