@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,14 +134,26 @@ def _gate(a: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-a))
 
 
+def _exponents(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of a's rows and their sums; a is shifted in place, by one number where no row vanishes under it, else row by row."""
+    a -= a.max()
+    e = np.exp(a)
+    z = e.sum(1)
+    if z.min() < 1e-25:
+        a -= a.max(1, keepdims=True)
+        e = np.exp(a)
+        z = e.sum(1)
+    return e, z
+
+
 def _logits(h: np.ndarray, target: np.ndarray, p: dict, grad: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of classes and words of the targets, and the gradient for h."""
     word = target < FREQUENT
     klass = np.where(word, target // CLASS_WORDS, CLASSES + target - FREQUENT)
     a = h @ p["wc"] + p["bc"]
-    a -= a.max(1, keepdims=True)
-    e = np.exp(a)
-    z = e.sum(1)
+    if not len(a):
+        return np.zeros(0, np.float32), np.zeros_like(h)
+    e, z = _exponents(a)
     rows = np.arange(len(h))
     out = a[rows, klass] - np.log(z)
     dh = None
@@ -158,9 +171,7 @@ def _logits(h: np.ndarray, target: np.ndarray, p: dict, grad: dict | None) -> tu
             continue
         hc, at = h[own], target[own] - c * CLASS_WORDS
         a = hc @ p["wo"][c].T + p["bo"][c]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        z = e.sum(1)
+        e, z = _exponents(a)
         rows = np.arange(len(own))
         out[own] += a[rows, at] - np.log(z)
         if grad is not None:
@@ -221,8 +232,9 @@ class Trainer:
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (before - c) * z * (1 - z)
             dr = dc * ghc * r * (1 - r)
-            dgx[t] = np.concatenate([dz, dr, dc], 1)
-            dgh = np.concatenate([dz, dr, dc * r], 1)
+            dgx[t, :, :n], dgx[t, :, n:2 * n], dgx[t, :, 2 * n:] = dz, dr, dc
+            dgh = dgx[t].copy()
+            dgh[:, 2 * n:] *= r
             g["wh"] += before.T @ dgh
             dh = (dh * z + dgh @ p["wh"].T) * ~begin[t][:, None]
         flat = dgx.reshape(-1, 3 * n)
@@ -351,14 +363,14 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: dict[s
         vocab, weights = pickle.loads(shared.value)
         log = dict(zip(vocab.words, np.log10(vocab.counts + 1.0).tolist()))
         row = TaskContext.get().partitionId() << 33
-        for window in windows(batches, chars=1 << 22):
+        for window in windows(batches, chars=1 << 24):
             runs, rows = [], []
             for doc, text in zip(window.column("doc_id").to_pylist(), window.column("text").to_pylist()):
                 words = tokens(text)
                 words.append(END)
                 codes = vocab.codes(words)
                 runs.append(codes)
-                found = np.array(list(map(log.get, words)), float)      # a word without a count at hand is not a number
+                found = np.fromiter(map(log.get, words, repeat(np.nan)), float, len(words))      # a word without a count at hand is not a number
                 known, tail = ~np.isnan(found), codes >= FREQUENT
                 rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
                 # counts of all words and of those beyond the frequent ones add up apart
