@@ -39,7 +39,9 @@ MANIFEST = "shard long, path string, n_docs long, n_tokens long, dictionary_sha2
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """Filesystem and path of an address; s3a and s3n, as Spark names them, are S3's."""
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if colon and scheme in ("s3a", "s3n") else uri)
 
 
 @lru_cache(maxsize=4)
@@ -149,7 +151,7 @@ def write_store(docs: DataFrame, folder: str, tokens: str, end: int) -> DataFram
     bounds = sorted({int(c) for c in cuts})
     frames = docs.mapInArrow(partial(_compressed, tokens=tokens, end=end, raw=raw, bounds=bounds),
                              "doc_id long, shard long, n_tokens long, frame binary")
-    ordered = frames.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "frame")
+    ordered = frames.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "frame")
     ordered.mapInArrow(partial(_write, folder=f"{folder}/shards", width=word_ids(tokens).width, digest=digest), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
