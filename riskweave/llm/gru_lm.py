@@ -303,7 +303,7 @@ def train(docs: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD_TOKENS)
     for low, high in zip(shares[:-1].tolist(), shares[1:].tolist()):
         shared = context.broadcast(pickle.dumps((small, weights)))
         rows = documents(docs).where((place >= low) & (place < high)).withColumn("shard", F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(shards)).cast("int"))
-        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text", "doc_id", F.lit(2)), "doc_id", "text")
+        dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("text", "doc_id", F.lit(2)), "doc_id", "text")
         parts = dealt.select("shard", "text").mapInArrow(partial(_follow, shared=shared), "name string, w array<float>, seen long")
         sums = parts.select("name", "seen", F.posexplode("w").alias("at", "w")).groupBy("name", "at").agg(
             (F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w"))
