@@ -159,7 +159,7 @@ def search(rows: DataFrame, every: int, space: Space, k: int, shard_rows: int, b
     base, many = (F.element_at(F.array(*map(F.lit, x.tolist())), F.col("shard") + 1) for x in (first, np.maximum(cells, 1)))
     placed = dealt.withColumn("cell", (base + F.pmod(F.xxhash64("vec_id"), many)).cast("int")).drop("shard", "apart")
     total = int(cells.sum())
-    index = keep(placed.repartition(total, "cell").sortWithinPartitions("cell", "vec_id").mapInArrow(partial(_index, space=space), "cell int, index binary"), "index")
+    index = keep(placed.repartitionById(total, F.col("cell")).sortWithinPartitions("cell", "vec_id").mapInArrow(partial(_index, space=space), "cell int, index binary"), "index")
     one = placed.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("q"))
     queries = keep(one.select("q.cell", "vec_id", "q.v", F.lit(float("-inf")).alias("bound")), "queries")
     found = f"query_id long, vec_id long, score {space.kind}"
@@ -167,7 +167,7 @@ def search(rows: DataFrame, every: int, space: Space, k: int, shard_rows: int, b
     def ask(asked: DataFrame) -> DataFrame:
         both = index.select("cell", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("double").alias("bound"), "index")
         both = both.unionByName(asked.select("cell", "vec_id", "v", "bound").withColumn("index", F.lit(None).cast("binary")))
-        dealt_out = both.repartition(total, "cell").sortWithinPartitions("cell", F.col("index").isNull(), "vec_id")
+        dealt_out = both.repartitionById(total, F.col("cell")).sortWithinPartitions("cell", F.col("index").isNull(), "vec_id")
         return dealt_out.mapInArrow(partial(_ask, space=space, block=block_rows), found)
 
     near = keep(ask(queries), "near")
