@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,11 +65,13 @@ def _reaper(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         state.remove()
     else:
         rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        for us, new in zip(rows["us"], rows["status"]):
-            # the gap before this event may already have been too long
-            if status in _LIMIT_US and us > since + _LIMIT_US[status]:
-                out.append((key[0], pd.Timestamp(since + _LIMIT_US[status], unit="us"), fv.STALE_MESSAGES[status]))
-            status, since = new, us
+        # each event beside the one before it: a gap may already have been too long
+        at = np.concatenate([[since], rows["us"].to_numpy(np.int64)])
+        told = [status, *rows["status"]]
+        limit = np.array([_LIMIT_US.get(s, np.iinfo(np.int64).max) for s in told])
+        for i in np.flatnonzero(at[1:] - at[:-1] > limit[:-1]).tolist():
+            out.append((key[0], pd.Timestamp(int(at[i] + limit[i]), unit="us"), fv.STALE_MESSAGES[told[i]]))
+        status, since = told[-1], int(at[-1])
         if status in _LIMIT_US:
             state.update((status, int(since)))
             due_ms = (since + _LIMIT_US[status]) // 1000 + 1
