@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from riskweave import fixed_values as fv
 from riskweave.operators.analytics import display_name
+from riskweave.operators.spread_join import spread_join
 from riskweave.schemas import missing
 
 
@@ -139,10 +140,16 @@ def finding_notifications(events: DataFrame, findings: DataFrame, users: DataFra
 
 def project_deleted_notifications(deleted: DataFrame, members: DataFrame) -> DataFrame:
     """deleted(project_id, name, organization_id, created_by, actor_id) -> notices to creator and team."""
-    own = deleted.filter("created_by is not null").select("*", F.col("created_by").alias("user_id"))
-    team = deleted.join(members.select("organization_id", "user_id"), "organization_id").select(*own.columns)
-    return (own.unionByName(team).filter(~F.col("user_id").eqNullSafe(F.col("actor_id")))
-            .dropDuplicates(["project_id", "user_id"])
+    known = ["project_id", "name", "organization_id", "created_by", "actor_id"]
+    rows = deleted.select(*known).distinct().withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy("project_id")))
+    team = members.select("organization_id", "user_id").distinct()
+    # a project of one row meets each member once: what is left to tell apart is its creator, so its notices need no shuffle
+    one, several = rows.filter("_rows = 1"), rows.filter("_rows > 1")
+    others = spread_join(one, team, ["organization_id"], ["project_id"], ["user_id"]).filter(
+        F.col("created_by").isNull() | ~F.col("user_id").eqNullSafe(F.col("created_by")))
+    own = rows.filter("created_by is not null").withColumn("user_id", F.col("created_by"))
+    shared = own.filter("_rows > 1").unionByName(several.join(team, "organization_id")).dropDuplicates(["project_id", "user_id"])
+    return (own.filter("_rows = 1").unionByName(others).unionByName(shared).filter(~F.col("user_id").eqNullSafe(F.col("actor_id")))
             .select("user_id", F.lit("project_deleted").alias("type"), F.lit("Project deleted").alias("title"),
                     F.concat("name", F.lit(" was deleted.")).alias("message"),
                     F.to_json(F.struct(F.col("project_id").cast("string").alias("projectId"),

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from riskweave.operators import detection as d
+from riskweave.operators import detection as d, governance as go
 from riskweave.operators.spread_join import spread_join
 
 
@@ -21,3 +21,15 @@ def test_one_hot_version_costs_many_tasks(spark):
     found = d.match_advisories(deps.coalesce(1), advisories).select("scan_id", "nth")
     got = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("nth").alias("nth")).collect()
     assert len(got) > 1 and sum(r.n for r in got) == 9000 * 1500 and max(r.nth for r in got) == 1500
+
+
+def test_notices_of_a_deleted_project_are_told_once(spark):
+    deleted = spark.createDataFrame([(1, "one", 7, "u1", "u9"), (1, "one", 7, "u1", "u9"), (2, "two", 7, None, "u2"), (3, "x", 7, "u5", "u9"), (3, "x", 8, "u1", "u9"), (None, "n", 8, "u4", "u4")],
+                                    "project_id int, name string, organization_id int, created_by string, actor_id string")
+    members = spark.createDataFrame([(7, "u1"), (7, "u1"), (7, "u2"), (7, "u9"), (7, None), (8, "u1"), (8, "u4")], "organization_id int, user_id string")
+    out = go.project_deleted_notifications(deleted, members)
+    got = Counter((r.user_id, r.message) for r in out.collect())
+    assert got == Counter([("u1", "one was deleted."), ("u2", "one was deleted."), (None, "one was deleted."), ("u1", "two was deleted."), ("u9", "two was deleted."), (None, "two was deleted."),
+                           ("u1", "x was deleted."), ("u2", "x was deleted."), ("u4", "x was deleted."), ("u5", "x was deleted."), (None, "x was deleted."), ("u1", "n was deleted.")])
+    plain = go.project_deleted_notifications(deleted.filter("project_id = 2"), members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Deduplicate" not in plain
