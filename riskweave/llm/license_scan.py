@@ -8,7 +8,7 @@ paragraphs out.  A predicted family counts once the paragraph also shares enough
 with a template of that family, one of them in no other family's templates.
 
 A notice may be wrapped: where no line of a block of lines (up to WRAPPED characters each, none empty
-between) is a notice, the lines are read as one paragraph too.
+between) is a notice, the lines are read as one paragraph too, a long block as overlapping stretches.
 
 Scope: the families and notice texts of TEMPLATES; whole licence texts are known by the paragraphs
 listed there.
@@ -67,7 +67,7 @@ PARAGRAPH = re.compile(r"[^\n\r]+")
 SAMPLE_ROWS = 2000                 # documents whose paragraphs train the unknown class, at most
 SAMPLE_PARAGRAPHS = 4              # of each of them
 WRAPPED = 120                      # characters of a line that may be part of a longer paragraph
-BLOCK_WORDS = 400                  # of a wrapped paragraph
+BLOCK_WORDS = 400                  # of a wrapped paragraph, or of a stretch of a longer block
 CONFIRM = 0.5                      # least share of a template's or the paragraph's two-grams in common
 FALSE_RATE = 0.0005                # of held-out unknown paragraphs that may pass the threshold
 FOUND = "doc_id long, paragraphs long, notices array<struct<family:string,start:long,end:long,probability:double>>"
@@ -215,11 +215,25 @@ def notices_of(text: str, classify) -> tuple[int, list[dict]]:
         found.append({"family": got[0], "start": start, "end": end, "probability": got[1]})
 
     def close() -> None:
-        """Lines that stand together and are no notices by themselves, as one paragraph."""
-        if len(block) > 1:
-            whole = " ".join(m[0] for m in block)
-            if whole.count(" ") < BLOCK_WORDS and (got := classify(whole)) is not None:
-                add(block[0].start(), block[-1].end(), got)
+        """Lines that stand together and are no notices by themselves, as one paragraph; a longer block as
+        stretches of BLOCK_WORDS words, each beginning half of that behind the last or where a notice ended."""
+        n = [m[0].count(" ") + 1 for m in block]
+        at = 0
+        while len(block) - at > 1:
+            end, words = at + 1, n[at]
+            while end < len(block) and words + n[end] <= BLOCK_WORDS:
+                words, end = words + n[end], end + 1
+            got = classify(" ".join(m[0] for m in block[at:end])) if end - at > 1 else None
+            if got is not None:
+                add(block[at].start(), block[end - 1].end(), got)
+            if end == len(block):
+                break
+            if got is not None:
+                at = end
+                continue
+            at, passed = at + 1, n[at]
+            while passed + n[at] <= BLOCK_WORDS // 2:
+                at, passed = at + 1, passed + n[at]
         block.clear()
 
     for m in lines:

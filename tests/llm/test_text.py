@@ -409,3 +409,25 @@ def test_wrapped_licence_texts(licences):
     n, found = license_scan.notices_of(text, licences.family)
     assert n == 6 and [f["family"] for f in found] == ["MIT"]
     assert text[found[0]["start"]:found[0]["end"]].startswith("# Permission") or "granted" in text[found[0]["start"]:found[0]["end"]]
+
+
+def test_a_notice_in_a_long_block_of_short_lines():
+    from riskweave.llm import license_scan as ls
+    lines = [f"plain words of row {i} and more" for i in range(300)]
+    at = 170
+    lines[at:at + 3] = ["Licensed under", "the Zero", "Terms."]
+
+    def classify(text):
+        return ("Z", 1.0) if "Licensed under the Zero Terms." in text else None
+    text = "\n".join(lines)
+    n, found = ls.notices_of(text, classify)
+    start = text.index("Licensed")
+    assert n == 300 and len(found) == 1
+    assert found[0]["start"] <= start and text.index("Terms.") + 6 <= found[0]["end"]
+    assert len(text[found[0]["start"]:found[0]["end"]].split()) <= ls.BLOCK_WORDS
+    calls = []
+    ls.notices_of(text, lambda t: calls.append(t))
+    joined = "\n".join(t for t in calls if len(t) > 120)
+    assert all(line in joined for line in lines)
+    short = "\n".join(lines[at - 20:at + 20])
+    assert [(f["start"], f["end"]) for f in ls.notices_of(short, classify)[1]] == [(0, len(short))]
