@@ -62,3 +62,20 @@ def test_a_report_reads_the_findings_twice(spark, small, name, monkeypatch):
 def test_the_overview_has_one_public_subquery(spark, small):
     plan = registry.callables()["a10_dashboard_overview"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert len(set(re.findall(r"Subquery subquery#(\d+)", plan))) <= 1
+
+
+def _report_findings(spark, scans, each):
+    from pyspark.sql import functions as F
+    base = spark.range(scans * each).select((F.col("id") % scans).alias("scan_id"), F.lpad(F.col("id").cast("string"), 10, "0").alias("seq"))
+    texts = {n: F.concat(F.lit(n), (F.xxhash64("seq", F.lit(n)) % 3).cast("string")) for n in (
+        "id", "rule_id", "scan_category", "engine", "title", "vuln_type", "verification_status", "cwe_id", "owasp_category", "file_path", "code_snippet", "evidence", "poc",
+        "remediation", "source", "sink", "dedupe_hash")}
+    return base.withColumns({**texts, "severity": F.lit("High"), "status": F.lit("open"), "cvss4_score": F.lit(1.0), "confidence": F.lit(0.5),
+                             **{n: F.lit(1) for n in ("line_number", "line_start", "line_end")}})
+
+
+def test_a_finding_makes_four_cells_and_one_position(spark):
+    from riskweave.sources import reports
+    cells = reports.report_cells(_report_findings(spark, 30, 1))
+    assert cells.count() == 4 * 30 and cells.where("first is not null").count() == 30
+    assert set(cells.columns) == {"scan_id", "kind", "key", "state", "n", "first"}
