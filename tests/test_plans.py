@@ -74,6 +74,15 @@ def _report_findings(spark, scans, each):
                              **{n: F.lit(1) for n in ("line_number", "line_start", "line_end")}})
 
 
+def test_a_report_deals_its_wide_rows_once_and_sorts_none(spark):
+    from pyspark.sql import functions as F
+    from riskweave.sources import reports
+    findings = _report_findings(spark, 50, 4)
+    scans = findings.select("scan_id").distinct().select("scan_id", *[F.lit("x").alias(n) for n in ("status", "risk_level", "source_type", "source_value")], F.lit(1.0).alias("risk_percent"))
+    wide = [line for line in reports.executive_json(scans, findings, "u", "t")._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert any("ShuffledHashJoin" in line for line in wide) and not any("SortMergeJoin" in line for line in wide)
+
+
 def test_a_finding_makes_four_cells_and_one_position(spark):
     from riskweave.sources import reports
     cells = reports.report_cells(_report_findings(spark, 30, 1))
