@@ -14,6 +14,8 @@ back what goes into them, and functions do not see each other's names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 PYTHON, JAVA = ".py", ".java"
@@ -38,26 +40,34 @@ def _targets(left: Column) -> Column:
     return F.regexp_extract_all(bare, F.lit("(" + _NAME + r")\s*(?:,|$)"), F.lit(1))
 
 
-def statements(lines: Column, suffix: str, sources: str, sanitizers: str, sinks: str) -> Column:
-    """array<struct>: the lines that open a function, define a name or carry a mark of the rule."""
+def statements(lines: Column, suffix: str, source: Callable[[Column], Column], clean: Callable[[Column], Column],
+               sink: Callable[[Column], Column]) -> Column:
+    """array<struct>: the lines that open a function, define a name or carry a mark of the rule.
+
+    source, clean, sink: tests of a line.  A pattern runs on a line that holds a literal of it only.
+    """
     # one step after the other, each bound by its lambda, so that no text is taken apart twice
     def marked(text: Column, i: Column) -> Column:
         return F.struct(
-            (i + 1).cast("int").alias("line"), text.alias("text"), text.rlike(_OPENS[suffix]).alias("opens"),
+            (i + 1).cast("int").alias("line"), text.alias("text"),
+            (text.contains("def" if suffix == PYTHON else "(") & text.rlike(_OPENS[suffix])).alias("opens"),
             (F.lit(suffix == PYTHON) & text.rlike(r"^[^\s#@)\]}]")).alias("outermost"),
-            text.rlike("(?d)" + sources).alias("source"), text.rlike("(?d)" + sanitizers).alias("clean"), text.rlike("(?d)" + sinks).alias("sink"))
+            source(text).alias("source"), clean(text).alias("clean"), sink(text).alias("sink"))
 
     def bared(s: Column) -> Column:
-        code = F.regexp_replace(F.regexp_replace(s["text"], _QUOTED, '""'), _COMMENT[suffix], "")
+        quoted = s["text"].contains('"') | s["text"].contains("'")
+        unquoted = F.when(quoted, F.regexp_replace(s["text"], _QUOTED, '""')).otherwise(s["text"])
+        code = F.when(s["text"].contains(_COMMENT[suffix][:-3]), F.regexp_replace(unquoted, _COMMENT[suffix], "")).otherwise(unquoted)
         return F.struct(*[s[c].alias(c) for c in ("line", "text", "opens", "outermost", "source", "clean", "sink")], code.alias("code"))
 
     def parted(s: Column) -> Column:
+        none, assigns = F.array().cast("array<string>"), s["code"].contains("=")
         added = s["code"].rlike(_ADDED)
         left = F.when(added, F.regexp_extract(s["code"], _ADDED, 1)).otherwise(F.regexp_extract(s["code"], _LEFT, 1))
-        right = F.when(added, s["code"]).otherwise(F.regexp_replace(s["code"], _LEFT, ""))
-        parameters = F.regexp_extract_all(s["text"], F.lit(_PARAMETER), F.lit(1)) if suffix == JAVA else F.array().cast("array<string>")
-        return F.struct(*[s[c].alias(c) for c in ("line", "opens", "outermost", "source", "clean", "sink")],
-                        _targets(left).alias("defines"), F.regexp_extract_all(right, F.lit(_NAME), F.lit(0)).alias("uses"), parameters.alias("parameters"))
+        right = F.when(~assigns | added, s["code"]).otherwise(F.regexp_replace(s["code"], _LEFT, ""))
+        parameters = F.when(s["text"].contains("@"), F.regexp_extract_all(s["text"], F.lit(_PARAMETER), F.lit(1))).otherwise(none) if suffix == JAVA else none
+        return F.struct(*[s[c].alias(c) for c in ("line", "opens", "outermost", "source", "clean", "sink")], F.when(assigns, _targets(left)).otherwise(none).alias("defines"),
+                        F.regexp_extract_all(right, F.lit(_NAME), F.lit(0)).alias("uses"), parameters.alias("parameters"))
 
     def tells(s: Column) -> Column:
         return s["opens"] | s["outermost"] | s["source"] | s["clean"] | s["sink"] | s["text"].contains("=")

@@ -28,10 +28,10 @@ _DEF_FIXED = r"\bdef\s+([A-Za-z_]\w*)\s*\("
 _DEF_STRICT = r"\bdef\s+([A-Za-z_]\w*)\\s*\("
 # The method-header pattern names the identifier before '(' when whitespace and an
 # earlier word of the same run of header characters come before it.
-_FUNCTION_PATTERNS = [
-    r"\bfunction\s+([A-Za-z_]\w*)\s*\(",
-    r"\w[<>\[\],\s]*\s([A-Za-z_]\w*)\s*\(",
-    r"\b([A-Za-z_]\w*)\s*=\s*\([^)]*\)\s*=>",
+_FUNCTION_PATTERNS = [  # with a literal that every match contains
+    ("function", r"\bfunction\s+([A-Za-z_]\w*)\s*\("),
+    ("(", r"\w[<>\[\],\s]*\s([A-Za-z_]\w*)\s*\("),
+    ("=>", r"\b([A-Za-z_]\w*)\s*=\s*\([^)]*\)\s*=>"),
 ]
 
 
@@ -60,12 +60,14 @@ def match_hits(content: Column, pattern: str) -> Column:
 
 def function_names(lines: Column, strict: bool = False) -> Column:
     """array<struct<line,name>> of the lines that open a function."""
-    patterns = [_DEF_STRICT if strict else _DEF_FIXED, *_FUNCTION_PATTERNS]
+    patterns = [("def", _DEF_STRICT if strict else _DEF_FIXED), *_FUNCTION_PATTERNS]
 
     def name(line):
-        return F.coalesce(*[F.nullif(F.regexp_extract(line, "(?U)" + p, 1), F.lit("")) for p in patterns])
+        # the filter's lambda binds each name, so that no pattern runs twice on a line
+        found = F.array(*[F.when(line.contains(word), F.regexp_extract(line, "(?U)" + p, 1)) for word, p in patterns])
+        return F.try_element_at(F.filter(found, lambda n: n != ""), F.lit(1))
 
-    # four cheap literals rule out most lines before any pattern runs
+    # cheap literals rule out most lines before any pattern runs
     named = F.transform(lines, lambda s, i: F.struct(
         (i + 1).alias("line"), F.when(s.contains("("), name(s)).alias("name")))
     return F.filter(named, lambda x: x["name"].isNotNull())
@@ -125,27 +127,29 @@ _NEEDLES = {
 _ODD_LETTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
 
 
+def _may_match(content: Column, low: Column, rule: dict) -> Column:
+    """Whether the literals of a rule allow a match."""
+    options = []
+    for needle in _NEEDLES[rule["rule_id"]]:
+        words = (needle,) if isinstance(needle, str) else needle
+        together = low.contains(words[0])
+        for word in words[1:]:
+            together = together & low.contains(word)
+        options.append(together)
+    return _either(options + [content.contains(x) for x in _ODD_LETTERS])
+
+
 def _table_gate(content: Column, low: Column, rules: list[dict]) -> Column:
-    odd = _either([content.contains(x) for x in _ODD_LETTERS])
-    parts = []
-    for rule in rules:
-        options = []
-        for needle in _NEEDLES[rule["rule_id"]]:
-            words = (needle,) if isinstance(needle, str) else needle
-            together = low.contains(words[0])
-            for word in words[1:]:
-                together = together & low.contains(word)
-            options.append(together)
-        parts.append((_either(options) | odd) & content.rlike(_FLAGS + rule["regex"]))
-    return _either(parts)
-
-
-def _table_hits(content: Column, family: int, rules: list[dict]) -> Column:
+    return _either([_may_match(content, low, rule) & content.rlike(_FLAGS + rule["regex"]) for rule in rules])
+
+
+def _table_hits(content: Column, low: Column, family: int, rules: list[dict]) -> Column:
     parts = []
     for n, rule in enumerate(rules):
         pattern = _FLAGS + rule["regex"]
         found = F.transform(match_hits(content, pattern), _tagger(family, n))
-        parts.append(F.when(content.rlike(pattern), found).otherwise(F.array().cast(_HIT)))
+        here = _may_match(content, low, rule) & content.rlike(pattern)
+        parts.append(F.when(here, found).otherwise(F.array().cast(_HIT)))
     return F.concat(*parts)
 
 
@@ -158,9 +162,37 @@ def _script_hits(content: Column) -> Column:
     return F.array_compact(F.array(*options))
 
 
+# Literals of which a source, a sink, a sanitizer of a flow rule must contain at least one.
+_FLOW_NEEDLES = {
+    "java-sqli-taint": (
+        [".getParameter(", ".getHeader(", ".getQueryString(", "@RequestParam", "@PathVariable", "@RequestBody"],
+        [".execute", ".prepareStatement(", ".createNativeQuery(", ".createQuery("],
+        [".parseInt(", ".parseLong(", ".setString(", ".setInt("]),
+    "java-command-injection-taint": (
+        [".getParameter(", "@RequestParam", "@PathVariable"], [".exec(", "ProcessBuilder("], [".compile("]),
+    "java-path-traversal-taint": (
+        [".getParameter(", "@RequestParam", "@PathVariable"], ["File(", "FileInputStream(", "FileReader(", "Paths.get("],
+        [".normalize()", ".getCanonicalPath()"]),
+    "java-ssrf-taint": (
+        [".getParameter(", "@RequestParam", "@RequestBody"],
+        [".openConnection()", ".openStream()", ".connect()", ".retrieve()", ".getForEntity("], [".validateUrl("]),
+    "python-sqli-taint": (["request."], [".execute("], ["int(", "float(", ".execute("]),
+    "python-command-injection-taint": (["request."], ["os.system(", "os.popen(", "subprocess.", "eval("], ["shlex.quote("]),
+    "python-ssrf-taint": (["request."], ["requests.", "httpx.", "urllib.request.urlopen("], [".validate_url("]),
+    "python-path-traversal-taint": (["request."], ["open(", "Path("], ["os.path.realpath(", ".joinpath("]),
+}
+
+
+def _flow_marks(rule: dict) -> list:
+    """Tests of a text for a source, a sink and a sanitizer of a flow rule: literals first, then the pattern."""
+    def test(words: list[str], pattern: str):
+        return lambda text: _either([text.contains(w) for w in words]) & text.rlike("(?d)" + pattern)
+    return [test(words, rule[part]) for words, part in zip(_FLOW_NEEDLES[rule["rule_id"]], ("sources", "sinks", "sanitizers"))]
+
+
 def _taint_pair(rule: dict) -> Column:
-    content = F.col("content")
-    return content.rlike("(?d)" + rule["sources"]) & content.rlike("(?d)" + rule["sinks"])
+    source, sink, _ = _flow_marks(rule)
+    return source(F.col("content")) & sink(F.col("content"))
 
 
 def _taint_gate() -> Column:
@@ -184,11 +216,12 @@ def _reached_sinks(rule: int, sinks: Column, flows: Column) -> Column:
     return F.element_at(F.transform(F.array(flows), with_origin), 1)
 
 
-def _taint_hits(content: Column) -> Column:
+def _taint_hits(content: Column, lines: Column) -> Column:
     """Sinks that a source of their rule reaches; origin is the source's line."""
     parts = []
     for n, rule in enumerate(fv.TAINT_RULES):
-        steps = dataflow.statements(split_lines(content), rule["suffix"], rule["sources"], rule["sanitizers"], rule["sinks"])
+        source, sink, clean = _flow_marks(rule)
+        steps = dataflow.statements(lines, rule["suffix"], source, clean, sink)
         made = _reached_sinks(n, match_hits(content, "(?d)" + rule["sinks"]), dataflow.flows(steps))
         here = has_suffix(F.col("file_path"), [rule["suffix"]]) & _taint_pair(rule)
         parts.append(F.when(here, made).otherwise(F.array().cast(_HIT)))
@@ -219,23 +252,21 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
     }
     none = F.array().cast(_HIT)
     made = {
-        TAINT: lambda: _taint_hits(content),
-        SCRIPT: lambda: F.when(has_suffix(path, fv.JS_SUFFIXES), _script_hits(content)).otherwise(none),
-        PATTERN: lambda: F.when(is_scannable(path), _table_hits(content, PATTERN, fv.PATTERN_RULES)).otherwise(none),
-        SECRET: lambda: _table_hits(content, SECRET, fv.SECRET_RULES),
+        TAINT: lambda low: _taint_hits(content, F.col("lines")),
+        SCRIPT: lambda low: F.when(has_suffix(path, fv.JS_SUFFIXES), _script_hits(content)).otherwise(none),
+        PATTERN: lambda low: F.when(is_scannable(path), _table_hits(content, low, PATTERN, fv.PATTERN_RULES)).otherwise(none),
+        SECRET: lambda low: _table_hits(content, low, SECRET, fv.SECRET_RULES),
     }
     # one lower-cased copy per file serves every literal test: the lambda binds it once
     passes = F.exists(F.array(F.lower(content)), lambda low: _either([gates[f](low) for f in families]))
     marked = files.select("scan_id", "file_path", "content").filter(passes)
-    parts = [made[f]() for f in families]
-    found = (
-        marked.select("scan_id", "file_path", F.concat(*parts).alias("hits"), split_lines(content).alias("lines"))
-        .withColumn("names", function_names(F.col("lines"), strict))
-    )
+    hits = F.flatten(F.transform(F.array(F.lower(content)), lambda low: F.concat(*[made[f](low) for f in families])))
+    found = marked.withColumn("lines", split_lines(content)).withColumn("names", function_names(F.col("lines"), strict))
     # one row a hit first: the surroundings are then plain columns, in memory for one hit at a
     # time, and absent from the plan where nobody asks for them
     h = F.col("h")
-    return found.select("scan_id", "file_path", "lines", "names", F.explode("hits").alias("h")).select(
+    # exploded as an expression: of a column, Spark would ask first whether it is empty, and make the hits three times
+    return found.select("scan_id", "file_path", "lines", "names", F.explode(hits).alias("h")).select(
         "scan_id", "file_path", h["family"].alias("family"), h["rule"].alias("rule"), h["pos"].alias("pos"),
         F.when(h["family"] == TAINT, F.coalesce(F.get(F.col("lines"), h["line"] - 1), F.lit("")))
         .otherwise(h["snippet"]).alias("snippet"),

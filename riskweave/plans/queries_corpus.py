@@ -170,12 +170,17 @@ def d8(v: Views) -> DataFrame:
     return d.taint_findings(_handlers(v)).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace", "severity")
 
 
+def _dealt_orders(v: Views) -> DataFrame:
+    """Orders dealt over the tasks while they are narrow: a few splits of the table become many files to read."""
+    return v.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _handlers(v: Views) -> DataFrame:
     """One small Python handler per order, written from its columns."""
-    return v.sql("""SELECT o_custkey AS scan_id, 'app/h' || CAST(o_orderkey AS STRING) || '.py' AS file_path,
+    return v.spark.sql("""SELECT o_custkey AS scan_id, 'app/h' || CAST(o_orderkey AS STRING) || '.py' AS file_path,
       'def handler_' || CAST(o_orderkey AS STRING) || '(request):' || chr(10) || '    v = request.args.get("q")' || chr(10) ||
       CASE WHEN o_orderstatus = 'F' THEN '    v = shlex.quote(v)' || chr(10) ELSE '' END ||
-      CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END || chr(10) AS content FROM {orders}""")
+      CASE WHEN o_orderpriority < '3' THEN '    os.system("run " + v)' ELSE '    requests.get(v)' END || chr(10) AS content FROM {orders}""", orders=_dealt_orders(v))
 
 
 @query("d8_handler_flows", """SELECT o_custkey AS scan_id, 'app/h' || o_orderkey || '.py' AS file_path, CASE WHEN o_orderpriority < '3' THEN 'python-command-injection-taint' ELSE 'python-ssrf-taint' END AS rule_id,
@@ -193,7 +198,7 @@ _JAVA_FLOWS = """SELECT o_custkey AS scan_id, 'src/H' || o_orderkey || '.java' A
 @query("d8_java_flows", f"SELECT scan_id, file_path, f.rule AS rule_id, f.line AS line_start, '[{{\"message\":\"source\",\"path\":\"' || file_path || '\",\"line\":' || f.origin || '}},{{\"message\":\"sink\",\"path\":\"' || file_path || '\",\"line\":' || f.line || '}}]' AS dataflow_trace FROM ({_JAVA_FLOWS})")
 def d8_java(v: Views) -> DataFrame:
     """A renamed variable, a sanitizer on another variable, one on this, a name in two methods, an annotated parameter, an overwritten value, two rules."""
-    files = v.sql("""SELECT o_custkey AS scan_id, 'src/H' || CAST(o_orderkey AS STRING) || '.java' AS file_path, 'public class H {{' || chr(10) || CASE o_orderkey % 7
+    files = v.spark.sql("""SELECT o_custkey AS scan_id, 'src/H' || CAST(o_orderkey AS STRING) || '.java' AS file_path, 'public class H {{' || chr(10) || CASE o_orderkey % 7
       WHEN 4 THEN '  public void run(@RequestParam(\"c\") String cmd) {{' || chr(10) || '    Runtime.getRuntime().exec(cmd);'
       ELSE '  public void get(HttpServletRequest req) {{' || chr(10) || '    String id = req.getParameter(\"id\");' || chr(10) || CASE o_orderkey % 7
         WHEN 0 THEN '    String q = \"select \" + id;' || chr(10) || '    stmt.executeQuery(q);'
@@ -201,7 +206,7 @@ def d8_java(v: Views) -> DataFrame:
         WHEN 2 THEN '    int n = Integer.parseInt(id);' || chr(10) || '    stmt.executeQuery(\"select id \" + n);'
         WHEN 3 THEN '  }}' || chr(10) || '  private void put(String id) {{' || chr(10) || '    stmt.executeUpdate(id);'
         WHEN 5 THEN '    id = \"fixed\";' || chr(10) || '    stmt.executeQuery(id); // id was ' || CAST(o_orderkey AS STRING)
-        ELSE '    File f = new File(\"/data/\" + id);' || chr(10) || '    new URL(id).openStream();' END END || chr(10) || '  }}' || chr(10) || '}}' || chr(10) AS content FROM {orders}""")
+        ELSE '    File f = new File(\"/data/\" + id);' || chr(10) || '    new URL(id).openStream();' END END || chr(10) || '  }}' || chr(10) || '}}' || chr(10) AS content FROM {orders}""", orders=_dealt_orders(v))
     return d.taint_findings(files).select("scan_id", "file_path", "rule_id", "line_start", "dataflow_trace")
 
 
@@ -210,8 +215,8 @@ def d8_java(v: Views) -> DataFrame:
 SELECT scan_id, file_path, x.id AS rule_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY x.e, file_path, x.r) AS INT) AS position FROM f""")
 def u3(v: Views) -> DataFrame:
     """Place of every finding among those of all engines: by engine, then file, then rule."""
-    hits = d.rule_hits(_handlers(v), (d.TAINT, d.PATTERN))
-    both = en.union_engines(d.pattern_findings_of(hits), d.taint_findings_of(hits)).filter(F.col("rule_id") != "sast.ssrf-url-sink")
+    files = _handlers(v)
+    both = en.union_engines(d.pattern_findings(files), d.taint_findings(files)).filter(F.col("rule_id") != "sast.ssrf-url-sink")
     order = Window.partitionBy("scan_id").orderBy("seq")
     return both.select("scan_id", "file_path", "rule_id", F.row_number().over(order).alias("position"))
 
