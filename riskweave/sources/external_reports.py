@@ -118,30 +118,23 @@ def eslint_findings(reports: DataFrame) -> DataFrame:
 
 
 # S7 -----------------------------------------------------------------------
-_TRIVY = """struct<Results:array<struct<Target:string,
-  Vulnerabilities:array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,
-    FixedVersion:string,Severity:string,Title:string,PrimaryURL:string>>,
-  Secrets:array<struct<RuleID:string,Title:string,Severity:string,StartLine:int,Match:string,
-    Code:struct<Lines:string>,Category:string>>,
-  Misconfigurations:array<struct<ID:string,Type:string,Title:string,Severity:string,Message:string,
-    Description:string,Resolution:string,CauseMetadata:struct<StartLine:int>>>>>>"""
+# the three lists share one item shape, so that they open as rows of one column; a kind reads its own fields
+_TRIVY_ITEM = """struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,FixedVersion:string,PrimaryURL:string,
+  Severity:string,Title:string,RuleID:string,StartLine:int,Match:string,Code:struct<Lines:string>,Category:string,
+  ID:string,Type:string,Message:string,Description:string,Resolution:string,CauseMetadata:struct<StartLine:int>>"""
+_TRIVY = f"""struct<Results:array<struct<Target:string,Vulnerabilities:array<{_TRIVY_ITEM}>,Secrets:array<{_TRIVY_ITEM}>,
+  Misconfigurations:array<{_TRIVY_ITEM}>>>>"""
 
 
 def trivy_findings(reports: DataFrame) -> DataFrame:
     """Vulnerabilities, secrets and misconfigurations of every target, in that order.
 
-    The report is parsed once; each item becomes a tagged struct of one array, so no
-    branch reads the reports again.
+    The report is parsed once and its lists are opened as rows; what an item says is then worked out a row,
+    in generated code, and fields nobody asks for are not.
     """
     results = reports.select("scan_id", F.posexplode(F.from_json("report", _TRIVY)["Results"]).alias("n", "r"))
-
-    def tagged(kind, items, fields):
-        typed = F.transform(items, lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("pos"), *[c.alias(n) for n, c in fields(x).items()]))
-        return F.coalesce(typed, F.array())
-
     v, s, m = fv.TRIVY_VULN_TEXT, fv.TRIVY_SECRET_TEXT, fv.TRIVY_MISCONFIG_TEXT
-    target = _or(F.col("r.Target"), "")
+    target = _or(F.col("file_path"), "")
 
     def vuln(x):
         severity = sc.trivy_severity(x["Severity"])
@@ -188,16 +181,15 @@ def trivy_findings(reports: DataFrame) -> DataFrame:
             "why_vulnerable": F.coalesce(x["Description"], x["Message"], F.lit("")),
         }
 
-    items = F.concat(
-        tagged(0, F.col("r.Vulnerabilities"), vuln),
-        tagged(1, F.col("r.Secrets"), secret),
-        tagged(2, F.col("r.Misconfigurations"), misconfig),
-    )
-    flat = results.select("scan_id", "n", target.alias("file_path"), F.explode(items).alias("i"))
+    lists = results.select("scan_id", "n", _or(F.col("r.Target"), "").alias("file_path"), F.posexplode(
+        F.array("r.Vulnerabilities", "r.Secrets", "r.Misconfigurations")).alias("kind", "items"))
+    flat = lists.select("scan_id", "n", "file_path", "kind", F.posexplode("items").alias("pos", "i"))
+    item, kind = F.col("i"), F.col("kind")
+    of = [fields(item) for fields in (vuln, secret, misconfig)]
+    said = [F.when(kind == 0, of[0][name]).when(kind == 1, of[1][name]).otherwise(of[2][name]).alias(name) for name in of[0]]
     return as_raw_findings(flat.select(
-        "scan_id", "file_path", seq(4, F.lpad(F.col("n").cast("string"), 9, "0"), F.col("i.kind"), F.col("i.pos")).alias("seq"),
-        F.lit("trivy").alias("engine"), "i.*",
-    ).drop("kind", "pos"))
+        "scan_id", "file_path", seq(4, F.lpad(F.col("n").cast("string"), 9, "0"), kind, F.col("pos")).alias("seq"),
+        F.lit("trivy").alias("engine"), *said))
 
 
 # S8 -----------------------------------------------------------------------
