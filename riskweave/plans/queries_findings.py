@@ -528,13 +528,13 @@ def o1_global(v: Views) -> DataFrame:
 SELECT id, severity, position, 4000 AS page, total, CAST(ceil(total / 3) AS BIGINT) AS total_pages FROM r WHERE position BETWEEN 11998 AND 12000""")
 def o1_deep(v: Views) -> DataFrame:
     order = [F.desc("cvss4_score"), F.asc("created_at"), F.asc("id")]
-    return an.page_per_scope(v.scan_findings, "severity", order, 4000, 3).select("id", "severity", "position", "page", "total", "total_pages")
+    return an.page_per_scope(v.scan_findings.select("id", "severity", "cvss4_score", "created_at"), "severity", order, 4000, 3).select("id", "severity", "position", "page", "total", "total_pages")
 
 
 @query("o1_deep_page_global", f"""SELECT id, severity, 501 AS page, (SELECT count(*) FROM scan_findings) AS total, CAST(ceil((SELECT count(*) FROM scan_findings) / 100) AS BIGINT) AS total_pages
   FROM scan_findings ORDER BY {_RANK} DESC, cvss4_score DESC, created_at, id LIMIT 100 OFFSET 50000""")
 def o1_deep_global(v: Views) -> DataFrame:
-    return an.page(v.scan_findings, an.severity_order(), 501, 100).select("id", "severity", "page", "total", "total_pages")
+    return an.page(v.scan_findings.select("id", "severity", "cvss4_score", "created_at"), an.severity_order(), 501, 100).select("id", "severity", "page", "total", "total_pages")
 
 
 @query("o2_severity_order", f"""SELECT id, scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {_RANK} DESC, cvss4_score DESC, created_at, id) AS INT) AS position FROM scan_findings""")
