@@ -49,9 +49,14 @@ def write_reports(lines: DataFrame, path: str) -> None:
 
 
 # S14 ----------------------------------------------------------------------
+def readable(resolved: DataFrame) -> DataFrame:
+    """Requests whose token may read the report, and its scan: no other report need be made for them."""
+    return resolved.filter("outcome = 'ok'").select("request_id", "scan_id")
+
+
 def ci_reports(resolved: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of the reports a token may read: resolved(request_id, scan_id, outcome)."""
-    return lines.join(resolved.filter("outcome = 'ok'").select("request_id", "scan_id"), "scan_id")
+    return lines.join(readable(resolved), "scan_id")
 
 
 # S15 ----------------------------------------------------------------------
