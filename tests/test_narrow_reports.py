@@ -47,7 +47,9 @@ def test_rules_without_a_first_finding_keep_their_scan(folder):
     assert {(r["scan_id"], r["f"]) for r in narrow.where("first_seq is null").collect()} == {(40, None), (41, None)}
 
 
-def test_texts_are_made_behind_the_join(spark, folder):
+def test_texts_are_made_behind_the_join(spark, folder, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.debug.maxToStringFields"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     plan = rp.service_json(_scans(spark), folder.finding_rows, "now", texts=folder.finding_texts)._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
     join = next(i for i, line in enumerate(lines) if "Join Inner" in line)
