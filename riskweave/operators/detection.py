@@ -86,6 +86,7 @@ def line_window(lines: Column, start: Column, end: Column, radius: int = 10) ->
 
 # One pass over the corpus ----------------------------------------------------
 TAINT, SCRIPT, PATTERN, SECRET = 0, 2, 3, 5  # families, numbered by engine order
+RULES_OF = {TAINT: fv.TAINT_RULES, SCRIPT: fv.JS_SINKS, PATTERN: fv.PATTERN_RULES, SECRET: fv.SECRET_RULES}
 _HIT = "array<struct<family:int,rule:int,pos:int,snippet:string,line:int,origin:int>>"
 
 
@@ -190,18 +191,18 @@ def _flow_marks(rule: dict) -> list:
     return [test(words, rule[part]) for words, part in zip(_FLOW_NEEDLES[rule["rule_id"]], ("sources", "sinks", "sanitizers"))]
 
 
-def _taint_pair(rule: dict) -> Column:
+def _taint_pair(content: Column, rule: dict) -> Column:
     source, sink, _ = _flow_marks(rule)
-    return source(F.col("content")) & sink(F.col("content"))
+    return source(content) & sink(content)
 
 
-def _taint_gate() -> Column:
+def _taint_gate(path: Column, content: Column) -> Column:
     """Files that hold a source and a sink of one rule; the suffix is read once a language."""
     literals = {".py": ["request."], ".java": [".get", "@Request", "@PathVariable"]}
     out = []
     for tail, words in literals.items():
-        pairs = [_taint_pair(r) for r in fv.TAINT_RULES if r["suffix"] == tail]
-        out.append(has_suffix(F.col("file_path"), [tail]) & _either([F.col("content").contains(w) for w in words]) & _either(pairs))
+        pairs = [_taint_pair(content, r) for r in fv.TAINT_RULES if r["suffix"] == tail]
+        out.append(has_suffix(path, [tail]) & _either([content.contains(w) for w in words]) & _either(pairs))
     return _either(out)
 
 
@@ -218,14 +219,14 @@ def _reached_sinks(rule: int, sinks: Column, flows: Column) -> Column:
 
 def _taint_hits(content: Column, lines: Column) -> Column:
     """Sinks that a source of their rule reaches; origin is the source's line."""
-    parts = []
+    none, parts = F.array().cast(_HIT), {}
     for n, rule in enumerate(fv.TAINT_RULES):
         source, sink, clean = _flow_marks(rule)
         steps = dataflow.statements(lines, rule["suffix"], source, clean, sink)
         made = _reached_sinks(n, match_hits(content, "(?d)" + rule["sinks"]), dataflow.flows(steps))
-        here = has_suffix(F.col("file_path"), [rule["suffix"]]) & _taint_pair(rule)
-        parts.append(F.when(here, made).otherwise(F.array().cast(_HIT)))
-    return F.concat(*parts)
+        parts.setdefault(rule["suffix"], []).append(F.when(_taint_pair(content, rule), made).otherwise(none))
+    # the suffix is read once a language
+    return F.concat(*[F.when(has_suffix(F.col("file_path"), [tail]), F.concat(*made)).otherwise(none) for tail, made in parts.items()])
 
 
 def _either(conditions: list[Column]) -> Column:
@@ -245,10 +246,10 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
     """
     path, content = F.col("file_path"), F.col("content")
     gates = {
-        TAINT: lambda low: _taint_gate(),
-        SCRIPT: lambda low: has_suffix(path, fv.JS_SUFFIXES) & _either([content.contains(r["needle"]) for r in fv.JS_SINKS]),
-        PATTERN: lambda low: is_scannable(path) & _table_gate(content, low, fv.PATTERN_RULES),
-        SECRET: lambda low: _table_gate(content, low, fv.SECRET_RULES),
+        TAINT: lambda f: _taint_gate(f["path"], f["text"]),
+        SCRIPT: lambda f: has_suffix(f["path"], fv.JS_SUFFIXES) & _either([f["text"].contains(r["needle"]) for r in fv.JS_SINKS]),
+        PATTERN: lambda f: is_scannable(f["path"]) & _table_gate(f["text"], f["low"], fv.PATTERN_RULES),
+        SECRET: lambda f: _table_gate(f["text"], f["low"], fv.SECRET_RULES),
     }
     none = F.array().cast(_HIT)
     made = {
@@ -257,8 +258,10 @@ def rule_hits(files: DataFrame, families: tuple[int, ...] = (TAINT, SCRIPT, PATT
         PATTERN: lambda low: F.when(is_scannable(path), _table_hits(content, low, PATTERN, fv.PATTERN_RULES)).otherwise(none),
         SECRET: lambda low: _table_hits(content, low, SECRET, fv.SECRET_RULES),
     }
-    # one lower-cased copy per file serves every literal test: the lambda binds it once
-    passes = F.exists(F.array(F.lower(content)), lambda low: _either([gates[f](low) for f in families]))
+    # one lower-cased copy per file serves every literal test: the lambda binds it once; it binds path and text too, since
+    # Spark moves the filter below the projection that makes them, where each mention would make them again
+    file = F.struct(path.alias("path"), content.alias("text"), F.lower(content).alias("low"))
+    passes = F.exists(F.array(file), lambda f: _either([gates[family](f) for family in families]))
     marked = files.select("scan_id", "file_path", "content").filter(passes)
     hits = F.flatten(F.transform(F.array(F.lower(content)), lambda low: F.concat(*[made[f](low) for f in families])))
     found = marked.withColumn("lines", split_lines(content)).withColumn("names", function_names(F.col("lines"), strict))
