@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATUS_OF = {"queued": "queued", "running": "running", "sast_scan_started": "running",
              "completed": "completed", "failed": "failed"}
 TERMINAL = ("completed", "failed")
 FED = "us long, id long, status string, sign int"
+FED_ROW = Row("scan_id", "us", "id", "status", "sign")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,67 +44,73 @@ def changes_after(before: str | None, events: list[tuple[int, int, str]]) -> lis
     return out
 
 
+KEPT = "status string, ended long, due long, open array<struct<us: long, id: long, status: string>>"
+
+
+def _in_order(events: list[tuple]) -> list[tuple]:
+    """By time, then id (null first), then status."""
+    return sorted(events, key=lambda e: (e[0], e[1] is not None, e[1] or 0, e[2]))
+
+
 class Feed(StatefulProcessor):
+    """Rows in, rows out.  Every call to the state is a round trip for each scan, so all that is kept of a scan is one value,
+    its timer's time included: a batch reads it once, and writes it and moves the timer only where they change."""
+
     def __init__(self, keep_us: int):
         self.keep_us = keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "status string, ended long")
-        self.open = handle.getListState("open", "us long, id long, status string")
+        self.kept = handle.getValueState("kept", KEPT)
+
+    def _state(self) -> tuple:
+        """Settled status, time of its end, the timer, events still open."""
+        status, ended, due, held = self.kept.get() or (None, None, None, None)
+        return status, ended, due, [tuple(e) for e in held or ()]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        status, ended = self.settled.get() if self.settled.exists() else (None, None)
-        held = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
+        before = status, ended, _, held = self._state()
         told = changes_after(status, held)
         fresh, late = [], []
-        for part in rows:
-            on_time = part["us"].notna() & (part["us"] >= mark)
-            fresh += zip(part["us"][on_time].astype("int64").tolist(), part["id"][on_time].tolist(), part["status"][on_time].tolist())
-            behind = part[~on_time]
-            late += [(None if pd.isna(us) else int(us), i, s, 0) for us, i, s in zip(behind["us"], behind["id"].tolist(), behind["status"].tolist())]
+        for r in rows:
+            if r.us is not None and r.us >= mark:
+                fresh.append((r.us, r.id, r.status))
+            else:
+                late.append((r.us, r.id, r.status, 0))
+        out = late
         if ended is None:
-            held = sorted(held + fresh)
+            held = _in_order(held + fresh)
             now = changes_after(status, held)
-            yield self._rows(key, [(*e, 1) for e in set(now).difference(told)] + [(*e, -1) for e in set(told).difference(now)])
-            self._settle(status, held, mark)
-        yield self._rows(key, late)
+            out = [(*e, 1) for e in set(now).difference(told)] + [(*e, -1) for e in set(told).difference(now)] + late
+            self._settle(before, status, held, mark)
+        return iter([FED_ROW(key[0], *e) for e in out])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        status, ended = self.settled.get() if self.settled.exists() else (None, None)
+        status, ended, _, held = self._state()
         if ended is not None and ended + self.keep_us <= mark:
-            self.settled.clear()
-            self.open.clear()
+            self.kept.clear()
         else:
-            self._settle(status, sorted(tuple(r) for r in self.open.get()) if self.open.exists() else [], mark, ended)
-        yield self._rows(key, [])
+            # the timer that brought us here is spent
+            self._settle((status, ended, None, held), status, held, mark, ended)
+        return iter([])
 
-    def _settle(self, status: str | None, held: list, mark: int, ended: int | None = None) -> None:
+    def _settle(self, before: tuple, status: str | None, held: list, mark: int, ended: int | None = None) -> None:
         """Take in what lies behind the watermark, keep the rest, set the next timer."""
         for event in changes_after(status, [e for e in held if e[0] < mark]):
             status = event[2]
             ended = event[0] if status in TERMINAL else ended
         still_open = [e for e in held if e[0] >= mark] if ended is None else []
-        if status is not None:
-            self.settled.update((status, ended))
-        if still_open:
-            self.open.put(still_open)
-        else:
-            self.open.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
         due = ended + self.keep_us if ended is not None else still_open[-1][0] if still_open else None
-        if due is not None:
-            self.handle.registerTimer(max(due, mark) // 1000 + 1)
-
-    @staticmethod
-    def _rows(key, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["us", "id", "status", "sign"]).astype({"us": "Int64", "id": "int64", "status": object, "sign": "int32"})
-        # plain objects: pandas would keep joined texts in several chunks, which Arrow does not take
-        out.insert(0, "scan_id", pd.Series([key[0]] * len(rows), dtype=object if isinstance(key[0], str) else None))
-        return out
+        due = None if due is None else max(due, mark) // 1000 + 1
+        if due != before[2]:
+            if before[2] is not None:
+                self.handle.deleteTimer(before[2])
+            if due is not None:
+                self.handle.registerTimer(due)
+        if (status, ended, due, still_open) != before:
+            self.kept.update((status, ended, due, still_open))
 
     def close(self) -> None:
         pass
@@ -121,7 +127,7 @@ def status_feed(events: DataFrame, delay: str = "1 hour", keep_hours: float = 24
     rows = events.withColumn("status", status_of(F.col("event_type"))).where("status is not null")
     timed = rows.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", delay)
     slim = timed.select("scan_id", F.unix_micros("at").alias("us"), F.col("id").cast("long").alias("id"), "status")
-    return slim.groupBy("scan_id").transformWithStateInPandas(Feed(int(keep_hours * 3600e6)), f"scan_id {key}, {FED}", "append", "eventTime")
+    return slim.groupBy("scan_id").transformWithState(Feed(int(keep_hours * 3600e6)), f"scan_id {key}, {FED}", "append", "eventTime")
 
 
 def changes(events: DataFrame) -> DataFrame:
