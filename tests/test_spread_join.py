@@ -23,6 +23,22 @@ def test_one_hot_version_costs_many_tasks(spark):
     assert len(got) > 1 and sum(r.n for r in got) == 9000 * 1500 and max(r.nth for r in got) == 1500
 
 
+def test_texts_of_one_side_are_made_below_the_join(spark):
+    deps = spark.createDataFrame([("s", "package.json", "npm", "p", "1", "^1", "x"), ("t", "requirements.txt", "PyPI", "q", "2", "2", "y")],
+                                 "scan_id string, file_path string, ecosystem string, package string, version string, declared string, snippet string")
+    advisories = spark.createDataFrame([("npm", "p", "1", 1.0, "V1", None), ("npm", "p", "1", 1.0, None, "two"), ("PyPI", "q", "2", 0.0, "V3", "three")],
+                                       "ecosystem string, package string, version string, rank double, vuln_id string, summary string")
+    found = d.advisory_findings(deps, advisories)
+    got = sorted(tuple(r) for r in found.select("scan_id", "rule_id", "title", "source", "poc", "secure_example", "why_vulnerable", "seq.file_path", "seq.hit_ord").collect())
+    assert [r[:4] for r in got] == [("s", "V1", "Vulnerable dependency", "p@^1"), ("s", "dependency-vulnerability", "two", "p@^1"), ("t", "V3", "three", "q==2")]
+    assert [r[4:] for r in got] == [("V1", '"p": "<patched_version>"', "OSV returned advisory V1 for p@^1.", "0:p:1", 2),
+                                    ("See advisory", '"p": "<patched_version>"', "OSV returned advisory unknown for p@^1.", "0:p:1", 1),
+                                    ("V3", "q==<patched_version>", "OSV returned advisory V3 for q==2.", "1:q:2", 1)]
+    plan = found.select("scan_id", "rule_id", "title", "source")._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any("concat_ws" in line for line in plan[:join]) and any("concat_ws" in line for line in plan[join:])
+
+
 def test_notices_of_a_deleted_project_are_told_once(spark):
     deleted = spark.createDataFrame([(1, "one", 7, "u1", "u9"), (1, "one", 7, "u1", "u9"), (2, "two", 7, None, "u2"), (3, "x", 7, "u5", "u9"), (3, "x", 8, "u1", "u9"), (None, "n", 8, "u4", "u4")],
                                     "project_id int, name string, organization_id int, created_by string, actor_id string")
