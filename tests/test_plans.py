@@ -88,3 +88,14 @@ def test_a_finding_makes_four_cells_and_one_position(spark):
     cells = reports.report_cells(_report_findings(spark, 30, 1))
     assert cells.count() == 4 * 30 and cells.where("first is not null").count() == 30
     assert set(cells.columns) == {"scan_id", "kind", "key", "state", "n", "first"}
+
+
+def test_the_outcome_of_a_scan_job_broadcasts_no_row_for_every_scan(spark, monkeypatch):
+    from riskweave.plans import queries_corpus as qc
+    done = spark.createDataFrame([(1, "completed", "Low", 5.0, 7000), (2, "completed", "High", 60.0, 7000)], "scan_id long, status string, risk_level string, risk_percent double, duration_ms long")
+    events = done.selectExpr("scan_id", "'done ' || risk_level AS message")
+    notices = spark.createDataFrame([('{"scanId":"2"}', "u")], "payload string, user_id string")
+    monkeypatch.setattr(qc, "_job", lambda v: {"scans": done, "events": events, "notifications": notices})
+    out = qc.job_outcome(None)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.scan_id, r.message, r.notified) for r in out.collect()) == [(1, "done Low", None), (2, "done High", "u")]
