@@ -1,5 +1,6 @@
-"""Archives that are files: a member index first, bodies by ranges, dealt to tasks by bytes.
+"""Archives that are files: a list first, then a member index, then bodies by ranges, dealt to tasks by bytes.
 
+Folders are listed in tasks, level by level, and the list is a staged table: the driver knows the root alone.
 A zip's index is its central directory, a tar's its headers; both are read by seeking, without the bodies.
 Members are then packed into parts of about `task_bytes` of the archive, and every part is a task that
 opens the archive and reads its own ranges, so an archive of any size is spread and none is held
@@ -8,6 +9,7 @@ whole.  A compressed tar has no ranges: it is one part, read once as a stream, m
 
 from __future__ import annotations
 
+import os
 import stat
 import tarfile
 import zipfile
@@ -19,9 +21,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from riskweave.session import stage
 from riskweave.sources.corpus import ArchiveLimits
 
 TASK_BYTES = 128 << 20
+LISTED = "path string, folder boolean"
 INDEX = "path string, archive string, ordinal int, member string, size bigint, kind string, stored bigint, at bigint, ranges boolean"
 MEMBERS = "archive string, ordinal int, member string, size bigint, kind string, content binary"
 BROKEN = (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError)
@@ -92,10 +96,44 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def _shown(name: str) -> bool:
+    """Names that Spark's file sources read; the others are work in progress or metadata."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name)
+
+
+def _entries_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in every folder: files with a byte at least, and folders."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, inside = locate(path)
+            before = path.rstrip("/").removesuffix(inside.rstrip("/"))                # the scheme, and the host where the place has one
+            infos = [i for i in system.get_file_info(fs.FileSelector(inside)) if _shown(i.base_name) and (i.type == fs.FileType.Directory or i.type == fs.FileType.File and i.size)]
+            for at in range(0, len(infos), 10_000):
+                some = infos[at:at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([before + i.path for i in some], pa.string()), pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_())], ["path", "folder"])
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path of every file below root; a folder is listed by one task, and a level of folders is one staged table."""
+    if ":" not in root:
+        root = f"file:{os.path.abspath(root)}"
+    system, inside = locate(root)
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    level = spark.range(1, numPartitions=1).select(F.lit(root).alias("path"), F.lit(True).alias("folder"))
+    if system.get_file_info(inside).type == fs.FileType.File:
+        return level.select("path")
+    found = None
+    while True:
+        level = stage(level.where("folder").select("path").repartition(tasks).mapInArrow(_entries_of, LISTED), "listing")
+        files = level.where("not folder").select("path")
+        found = files if found is None else found.unionByName(files)
+        if level.where("folder").isEmpty():
+            return found
+
+
 def archive_index(spark: SparkSession, root: str) -> DataFrame:
-    """One row a member of every archive below root, without bodies; the files are listed by Spark, their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_index, INDEX)
+    """One row a member of every archive below root, without bodies."""
+    return listing(spark, root).repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_index, INDEX)
 
 
 def parts(index: DataFrame, limits: ArchiveLimits = ArchiveLimits(), task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -169,7 +207,7 @@ def expand_archive_files(spark: SparkSession, root: str, limits: ArchiveLimits =
     """Members of every archive below root, as `corpus.expand_archives` gives them for bodies at hand.
 
     archive is the file's name.  Bodies beyond the limits are null; a damaged archive, or a damaged member,
-    has a row of kind 'corrupt'; other files one of kind 'unsupported'.  Files without a byte are not listed by Spark.
+    has a row of kind 'corrupt'; other files one of kind 'unsupported'.  Files without a byte are left out, as Spark's file sources do.
     """
     dealt = parts(archive_index(spark, root), limits, task_bytes)
     names = [c.split()[0] for c in MEMBERS.split(", ")]

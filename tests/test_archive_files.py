@@ -67,3 +67,25 @@ def test_parts_follow_bytes_and_no_body_is_read_for_the_index(spark, folder, mon
     assert len(dealt) == 11 and max(dealt.values()) <= 250_000
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_files_are_listed_in_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    for name in ("a.zip", "1:b %20.zip", "_x/in.zip", "_k=1/in.zip", ".h/in.zip", "d/e/_metadata", "d/e/f/g.tar", "d/.hid.zip", "d/_tmp.zip", "d/c._COPYING_", "d/empty.zip"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"x")
+    want = sorted(r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path").collect())
+    assert len(want) == 4
+    # nothing is listed by the driver, which asks for the root alone
+    asked = []
+    place = af.locate
+    monkeypatch.setattr(af, "locate", lambda path: asked.append(path) or place(path))
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        found = af.listing(spark, root)
+        assert sorted("file:/" + r.path.split(":", 1)[1].lstrip("/") for r in found.collect()) == want
+        assert not any("x.zip" in f or str(tmp_path) in f for f in found.inputFiles())
+    assert len(asked) == 3
+    assert [r.path for r in af.listing(spark, f"{tmp_path}/a.zip").collect()] == [f"file:{tmp_path}/a.zip"]
+    (tmp_path / "none").mkdir()
+    assert af.listing(spark, f"{tmp_path}/none").count() == 0 and af.archive_index(spark, f"{tmp_path}/d/e").count() == 1
+    with pytest.raises(Exception):
+        af.listing(spark, f"{tmp_path}/gone").count()
