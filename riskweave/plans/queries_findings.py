@@ -426,7 +426,7 @@ SELECT f.id, CASE WHEN o.status = 'fixed' THEN 'reopened' WHEN o.status IN ('fal
   o.assignee_id, CASE WHEN o.id IS NOT NULL THEN o.verification_status ELSE f.verification_status END AS verification_status
 FROM findings f LEFT JOIN o ON f.id = o.id""")
 def j1(v: Views) -> DataFrame:
-    return hi.carry_forward(v.findings, v.findings).select("id", "status", "assignee_id", "verification_status")
+    return hi.carry_forward(v.project_findings, v.project_findings).select("id", "status", "assignee_id", "verification_status")
 
 
 @query("j2_previous_false_positive", """SELECT id, EXISTS (SELECT 1 FROM findings o WHERE o.project_id = f.project_id AND o.dedupe_hash = f.dedupe_hash

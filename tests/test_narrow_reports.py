@@ -82,3 +82,20 @@ def test_deep_pages_stage_what_they_show(spark, small, monkeypatch, name):
     monkeypatch.setattr(order_statistics, "stage", lambda df, what: seen.append((what, set(df.columns))) or df.localCheckpoint())
     registry.callables()[name](spark, small).count()
     assert dict(seen)["slices"] == {"id", "severity", "cvss4_score", "created_at", "_slice", "_place"}
+
+
+def test_findings_of_projects_are_made_behind_their_join(spark, tmp_path):
+    day = dt.datetime(1995, 1, 1)
+    rows = [(o, 7 * o + n, 3 * o + n, n, float(n * 11), 100.0 * n, 0.05, "ANR"[n % 3], "FO"[o % 2], day + dt.timedelta(n)) for o in (1, 2, 3, 4) for n in (1, 2)]
+    spark.createDataFrame(rows + rows[:1] + [(None, 1, 1, 1, 1.0, 1.0, 0.0, "A", "F", day), (3, None, 1, 1, 1.0, None, 0.0, "A", "F", day)], _ITEMS).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 9), (2, 9), (2, 9), (3, None), (None, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    v = Views(spark, str(tmp_path))
+    assert v.project_findings.columns == v.findings.columns
+    assert sorted(map(str, v.project_findings.collect())) == sorted(map(str, v.findings.collect())) and v.findings.count() == 3 + 4 + 3
+    lines = registry.QUERIES["j1_carry_forward"](v)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(re.match(r"[ :+-]*", line).group())
+    below = [i for i, line in enumerate(lines) if re.search(r"Join Inner", line)]
+    assert len(below) == 2
+    for i in below:
+        end = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(lines[i])), len(lines))
+        assert not any("AS dedupe_hash" in line or " AS id" in line for line in lines[i:end])
